@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from plenara.llm import bpe
+from plenara.llm import bpe, decontam
 
 
 def queries() -> dict:
     return {
         "op5_bpe_roundtrip": bpe.op5_bpe_roundtrip,
+        "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_benchmark_decontamination": decontam.OP8_SQL,
+    }
