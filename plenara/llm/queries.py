@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from plenara.llm import bpe, decontam
+from plenara.llm import bpe, decontam, quality, secrets
 
 
 def queries() -> dict:
     return {
         "op5_bpe_roundtrip": bpe.op5_bpe_roundtrip,
         "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
+        "op9_quality_rules": quality.op9_quality_rules,
+        "op10_secret_scan": secrets.op10_secret_scan,
     }
 
 
