@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plenara.llm import bpe, decontam, quality, secrets
+from plenara.llm import bpe, decontam, neardup, quality, secrets
 
 
 def queries() -> dict:
     return {
         "op5_bpe_roundtrip": bpe.op5_bpe_roundtrip,
+        "op6_order_minhash": neardup.op6_order_minhash,
         "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_secret_scan": secrets.op10_secret_scan,
