@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from plenara.llm import bpe, decontam, neardup, quality, secrets
+from plenara.llm import bpe, decontam, langid, linetree, neardup, quality, secrets, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": langid.op1_language_id,
+        "op2_hash_tree_sharding": sharding.op2_hash_tree_sharding,
         "op5_bpe_roundtrip": bpe.op5_bpe_roundtrip,
         "op6_order_minhash": neardup.op6_order_minhash,
+        "op7_line_templates": linetree.op7_line_templates,
         "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_secret_scan": secrets.op10_secret_scan,
