@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from plenara.llm import bpe, decontam, langid, linetree, neardup, quality, secrets, sharding
+from plenara.llm import bpe, chat, decontam, langid, linetree, neardup, quality, secrets, sharding
 
 
 def queries() -> dict:
     return {
         "op1_language_id": langid.op1_language_id,
         "op2_hash_tree_sharding": sharding.op2_hash_tree_sharding,
+        "op3_chat_formatting": chat.op3_chat_formatting,
         "op5_bpe_roundtrip": bpe.op5_bpe_roundtrip,
         "op6_order_minhash": neardup.op6_order_minhash,
         "op7_line_templates": linetree.op7_line_templates,
@@ -20,5 +21,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_chat_formatting": chat.OP3_SQL,
         "op8_benchmark_decontamination": decontam.OP8_SQL,
     }
