@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plenara.llm import bpe, chat, decontam, langid, linetree, neardup, quality, secrets, sharding
+from plenara.llm import bpe, chat, decontam, langid, linetree, neardup, quality, secrets, sharding, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_language_id": langid.op1_language_id,
         "op2_hash_tree_sharding": sharding.op2_hash_tree_sharding,
         "op3_chat_formatting": chat.op3_chat_formatting,
+        "op4_warc_derivatives": warc.op4_warc_derivatives,
         "op5_bpe_roundtrip": bpe.op5_bpe_roundtrip,
         "op6_order_minhash": neardup.op6_order_minhash,
         "op7_line_templates": linetree.op7_line_templates,
