@@ -14,30 +14,60 @@ so that one copy of what repeats stays in the corpus. Whole copies of a text cou
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plenara.llm.common import checkpointed, table, without, written
 
 MIN_DOCS, LEAD, ALIKE, MIN_TOKENS = 3, 3, 0.75, 4
 #: Bits of the filter that spares most lines the exact test of their leaf; it is 2^20 rows of 64 bits at most.
 FILTER_BITS = 26
-
-
-def _masked(line: Column) -> Column:
-    """The line's tokens, those with a digit as <*>."""
-    return F.transform(F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " "), lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
+_DIGIT = re.compile(rb"[0-9]")
 
 
 def _text_hash(text: str) -> Column:
     return F.xxhash64(F.col(text), F.length(text))
 
 
-def lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(id, th, no, tokens, leaf) for every line of MIN_TOKENS tokens or more; th tells texts of one id apart."""
-    cut = docs.where(F.col(text).isNotNull()).select("id", _text_hash(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
-    masked = cut.select("id", "th", "no", _masked(F.col("line")).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
-    return masked.withColumn("leaf", F.xxhash64(F.size("tokens"), *[F.col("tokens")[k] for k in range(LEAD)]))
+def parsed(text: str) -> list[tuple[int, bytes, bytes]]:
+    """(number, masked line, its leaf's tokens) of each line of MIN_TOKENS tokens or more."""
+    out = []
+    for no, line in enumerate(text.encode("utf-8", "replace").split(b"\n")):
+        tokens = line.split()
+        if len(tokens) >= MIN_TOKENS:
+            if _DIGIT.search(line):
+                tokens = [b"<*>" if _DIGIT.search(t) else t for t in tokens]
+            out.append((no, b" ".join(tokens), b"%d %s" % (len(tokens), b" ".join(tokens[:LEAD]))))
+    return out
+
+
+def lines(docs: DataFrame, text: str = "text", whole: bool = True) -> DataFrame:
+    """(id, th, no, leaf, lh, masked) for the lines that `parsed` gives, or (th, leaf) without `whole`; th tells texts of one id apart."""
+    import pyarrow as pa
+    import xxhash
+
+    docs = docs.where(F.col(text).isNotNull()).select("id", _text_hash(text).alias("th"), F.col(text).alias("text"))
+    schema = T.StructType([*(docs.schema.fields[:2] if whole else docs.schema.fields[1:2]), *T.DataType.fromDDL("no int, leaf long, lh long, masked string" if whole else "leaf long").fields])
+
+    def run(batches):
+        number = lambda xs: pa.array([h - (1 << 64) if h >> 63 else h for h in map(xxhash.xxh3_64_intdigest, xs)], pa.int64())
+        for all_ in batches:
+            for at in range(0, all_.num_rows, 256):
+                batch = all_.slice(at, 256)
+                found = [(i, *x) for i, t in enumerate(batch.column(2).to_pylist()) for x in parsed(t)]
+                rows = batch.take(pa.array([x[0] for x in found], pa.int64()))
+                leaf = number([x[3] for x in found])
+                if whole:
+                    masked = [x[2] for x in found]
+                    columns = [rows.column(0), rows.column(1), pa.array([x[1] for x in found], pa.int32()), leaf, number(masked), pa.array([m.decode() for m in masked], pa.string())]
+                else:
+                    columns = [rows.column(1), leaf]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+
+    return docs.mapInArrow(run, schema)
 
 
 def _leaves(all_lines: DataFrame) -> DataFrame:
@@ -56,10 +86,8 @@ def _maybe_in(some: DataFrame, leaves: DataFrame) -> DataFrame:
 
 def recurring(docs: DataFrame, text: str = "text") -> DataFrame:
     """(id, th, no, template) for every line whose template recurs."""
-    every = lines(docs, text)
-    leaves = checkpointed(_leaves(every))
-    near = _maybe_in(every, leaves).withColumn("masked", F.array_join("tokens", " ")).drop("tokens")
-    found = written(near.join(leaves, "leaf", "left_semi").withColumn("lh", F.xxhash64("masked", F.length("masked"))))
+    leaves = checkpointed(_leaves(lines(docs, text, whole=False)))
+    found = written(_maybe_in(lines(docs, text), leaves).join(leaves, "leaf", "left_semi"))
     forms = found.select("leaf", "lh", "th").distinct().groupBy("leaf", "lh").agg(F.count("*").alias("texts"))
     forms = checkpointed(forms)
     exact = forms.where(F.col("texts") >= MIN_DOCS).select("leaf", "lh", F.xxhash64(F.lit("line"), "leaf", "lh").alias("template"))
