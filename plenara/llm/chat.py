@@ -33,32 +33,37 @@ def unescaped(text: Column) -> Column:
     return text
 
 
-def climbed(messages: DataFrame) -> list[DataFrame]:
-    """Tables (tree, message, up, total, n): `up` is the ancestor 2^k above (null past the root), with the sum and number of scores on the way.
+def climbed(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Jumps and totals: for each k a table (tree, message, up) of the ancestors 2^k above, and (tree, message, total, n) of each path from the root.
 
-    Each table is the self-join of the one before it, so there are as many as the logarithm of
-    the deepest tree. In the last one only messages on or below a cycle still have an `up`.
+    A round joins only the messages that haven't passed the root yet with what is known of the
+    ancestors they have reached, so there are as many rounds as the logarithm of the deepest
+    tree, and a shallow tree takes part in few of them. Messages on or below a cycle never pass
+    a root and get no total.
     """
     found = messages.select("tree", "message", "parent", F.coalesce("score", F.lit(0.0)).alias("total"))
     known = found.select("tree", F.col("message").alias("parent"), F.lit(True).alias("there"))
     linked = found.join(known, ["tree", "parent"], "left")
-    levels = [checkpointed(linked.select("tree", "message", F.when(F.col("there"), F.col("parent")).alias("up"), "total", F.lit(1).cast("long").alias("n")))]
-    deepest = levels[0].groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    now = checkpointed(linked.select("tree", "message", F.when(F.col("there"), F.col("parent")).alias("up"), "total", F.lit(1).cast("long").alias("n")))
+    deepest = now.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    done, jumps = now.where("up IS NULL"), []
+    now = now.where("up IS NOT NULL")
     for _ in range(deepest.bit_length()):
-        now = levels[-1]
-        if now.where("up IS NOT NULL").isEmpty():
+        if now.isEmpty():
             break
-        above = now.select("tree", F.col("message").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("n").alias("steps"))
-        joined = now.join(above, ["tree", "up"], "left")
-        zero = lambda c: F.coalesce(c, F.lit(0))
-        levels.append(checkpointed(joined.select("tree", "message", F.col("next").alias("up"), (F.col("total") + zero("more")).alias("total"), (F.col("n") + zero("steps")).alias("n"))))
-    return levels
+        jumps.append(now.select("tree", "message", "up"))
+        above = done.unionByName(now).select("tree", F.col("message").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("n").alias("steps"))
+        made = checkpointed(now.join(above, ["tree", "up"]).select("tree", "message", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("n") + F.col("steps")).alias("n")))
+        done, now = done.unionByName(made.where("up IS NULL")), made.where("up IS NOT NULL")
+    return jumps, done.drop("up")
 
 
-def branches(levels: list[DataFrame], best: int | None) -> DataFrame:
+def branches(jumps: list[DataFrame], totals: DataFrame, best: int | None) -> DataFrame:
     """(tree, leaf, branch, score): the `best` leaves of each tree by their path's mean score, of equal ones the lower leaf; all if None."""
-    inner = levels[0].where("up IS NOT NULL").select("tree", F.col("up").alias("message")).distinct()
-    leaves = levels[-1].where("up IS NULL").join(inner, ["tree", "message"], "left_anti").select("tree", F.col("message").alias("leaf"), (F.col("total") / F.col("n")).alias("score"))
+    leaves = totals.select("tree", F.col("message").alias("leaf"), (F.col("total") / F.col("n")).alias("score"))
+    if jumps:
+        inner = jumps[0].select("tree", F.col("up").alias("leaf")).distinct()
+        leaves = leaves.join(inner, ["tree", "leaf"], "left_anti")
     if best == 1:
         first = leaves.groupBy("tree").agg(F.min(F.struct((-F.col("score")).alias("low"), "leaf")).alias("first"))
         return first.select("tree", F.col("first.leaf").alias("leaf"), F.lit(1).alias("branch"), (-F.col("first.low")).alias("score"))
@@ -66,16 +71,15 @@ def branches(levels: list[DataFrame], best: int | None) -> DataFrame:
     return ranked if best is None else ranked.where(F.col("branch") <= best)
 
 
-def steps(levels: list[DataFrame], chosen: DataFrame) -> DataFrame:
+def steps(jumps: list[DataFrame], chosen: DataFrame) -> DataFrame:
     """(tree, branch, score, message, height) for every message from each chosen leaf (height 0) to its root.
 
     Heights are filled in from the farthest jump to the nearest; the rows are those of the
     result, each made once.
     """
-    out = chosen.select("tree", "branch", "score", F.col("leaf").alias("message"), F.lit(0).cast("long").alias("height"))
-    for k in range(len(levels) - 1, -1, -1):
-        up = levels[k].where("up IS NOT NULL").select("tree", "message", "up")
-        reached = out.join(up, ["tree", "message"]).select("tree", "branch", "score", F.col("up").alias("message"), (F.col("height") + (1 << k)).alias("height"))
+    out = checkpointed(chosen.select("tree", "branch", "score", F.col("leaf").alias("message"), F.lit(0).cast("long").alias("height")))
+    for k in range(len(jumps) - 1, -1, -1):
+        reached = out.join(jumps[k], ["tree", "message"]).select("tree", "branch", "score", F.col("up").alias("message"), (F.col("height") + (1 << k)).alias("height"))
         out = checkpointed(out.unionByName(reached))
     return out
 
@@ -91,9 +95,9 @@ def formatted(messages: DataFrame, best: int | None = 1) -> DataFrame:
     learns from, the escaped texts of the assistant's turns. An empty table gives none; further
     columns are ignored.
     """
-    levels = climbed(messages)
+    jumps, totals = climbed(messages)
     clean = messages.select("tree", "message", F.coalesce("role", F.lit("")).alias("role"), escaped(F.coalesce("text", F.lit(""))).alias("body"))
-    turns = steps(levels, branches(levels, best)).join(clean, ["tree", "message"])
+    turns = steps(jumps, branches(jumps, totals, best)).join(clean, ["tree", "message"])
     turns = turns.withColumn("head", F.concat(F.lit(OPEN), escaped(F.col("role")), F.lit(BODY)))
     turn = F.struct((-F.col("height")).alias("at"), F.concat("head", "body", F.lit(CLOSE)).alias("said"), F.length("head").alias("head"), F.length("body").alias("body"), (F.col("role") == LEARNED_ROLE).alias("learned"))
     # where each turn starts: a running sum over the turns of one conversation
