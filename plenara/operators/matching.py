@@ -97,7 +97,8 @@ def attainable(decision_value: Column, disagreement: Column, polarization: float
 def stance_disagreement(stances: Column) -> Column:
     """Mean of entropy and separation of a map of faction to agree, disagree or pass."""
     said = F.map_values(stances)
-    counts = [F.size(F.filter(said, lambda x, k=k: x == k)) for k in V.LABELS]
+    count = lambda label: F.size(F.filter(said, lambda x: x == label))
+    counts = [count(label) for label in V.LABELS]
     return (V.entropy(*counts) + V.separation(*counts)) / 2
 
 

@@ -567,8 +567,8 @@ ml AS (SELECT sz.task, st.stage, max((coalesce(a.cand, -1) > 0)::INT + (coalesce
 w AS (SELECT task, max(m) FILTER (stage = 'localized') AS l, max(m) FILTER (stage = 'typed') AS t, max(m) FILTER (stage = 'diagnosed') AS d, max(m) FILTER (stage = 'related') AS r FROM ml GROUP BY task)"""
 
 
-@_query(_EDGES + """ SELECT task, r::INTEGER AS true_positive, round(2 * r / (nc + ni), 6) AS f1, round(coalesce(l / ni, 0), 6) AS localization_recall, round(CASE WHEN l > 0 THEN t / l ELSE 0 END, 6) AS type_accuracy,
-  round(coalesce(d / ni, 0), 6) AS diagnosis_recall, round(2 * (l + t + d + r) / (nc + ni) / 4, 6) AS training_reward FROM w JOIN sz USING (task)""")
+@_query(_EDGES + """ SELECT task, r::INTEGER AS true_positive, round(2 * r / (nc + ni), 6) AS f1, round(CASE WHEN ni > 0 THEN l / ni ELSE 0 END, 6) AS localization_recall, round(CASE WHEN l > 0 THEN t / l ELSE 0 END, 6) AS type_accuracy,
+  round(CASE WHEN ni > 0 THEN d / ni ELSE 0 END, 6) AS diagnosis_recall, round(2 * (l + t + d + r) / (nc + ni) / 4, 6) AS training_reward FROM w JOIN sz USING (task)""")
 def stage_f1_matching(spark, sf_dir):
     out = matching.stage_scores(*_answers(spark, sf_dir))
     return out.select("task", "true_positive", *[_r(c).alias(c) for c in ("f1", "localization_recall", "type_accuracy", "diagnosis_recall", "training_reward")])
