@@ -133,9 +133,3 @@ def truncated(text: Column, limit: int, anchors: Column) -> Column:
 
     cut = F.aggregate(F.sequence(F.lit(0), F.size(anchors)), F.lit(limit), earlier)
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(F.substring(text, F.lit(1), cut)), F.lit("…")))
-
-
-def public_profiles(items: str = "visible_items") -> Column:
-    """What of the items a question task may publish, in order of their decisions."""
-    shown = F.transform(items, lambda x: F.struct(F.to_json(x["decision"]).alias("order"), F.struct(x["doc_id"].alias("doc_id"), x["anchor_quote"].alias("quote"), x["type"].alias("type"), x["decision"].alias("decision"), x["related_evidence"].alias("related_evidence")).alias("profile")))
-    return F.transform(F.array_sort(shown, lambda a, b: F.when(a["order"] < b["order"], -1).when(a["order"] > b["order"], 1).otherwise(0)), lambda x: x["profile"])

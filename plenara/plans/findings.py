@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenara.functions import text as X
-from plenara.operators import matching, spans
+from plenara.operators import matching, prompts, spans, views
 
 TYPES = ("ambiguity", "contradiction", "gap")
 
@@ -55,23 +55,88 @@ def items_of(scenarios: DataFrame, items: str = "planted_items") -> DataFrame:
     )
 
 
-def question_weights(candidates: DataFrame, items: DataFrame, polarization: float) -> tuple[DataFrame, DataFrame]:
-    """(weights, worths) of candidate questions (task, cand, doc_id, quote, type, question, decision, yes_choice, related_evidence, target_stances).
+def question_pairs(candidates: DataFrame, items: DataFrame, polarization: float) -> DataFrame:
+    """Every candidate question (task, cand, doc_id, quote, type, question, decision, yes_choice, related_evidence, target_stances) with every item of its task.
 
-    A question is grounded if document, type, quote, related evidence and decision are the
-    item's after normalisation, it is a yes/no question and says which outcome yes stands for.
+    evidence: document, type, quote and related evidence are the item's after normalisation.
+    grounded: so is the decision, and it is a yes/no question that says which outcome yes stands for.
     """
     i = items.select("task", "item", *[F.col(c).alias(f"i_{c}") for c in ("doc_id", "type", "quote", "related_evidence", "decision", "alternative_stances", "target_stances", "decision_value")])
     worth = matching.attainable(F.col("i_decision_value"), matching.stance_disagreement(F.col("i_target_stances")), polarization)
-    worths = i.select("task", "item", worth.alias("worth"))
     same = lambda a, b: X.contract_text(F.col(a)) == X.contract_text(F.col(b))
     no_related = F.col("related_evidence").isNull() & F.col("i_related_evidence").isNull()
     related = F.coalesce((F.col("related_evidence.doc_id") == F.col("i_related_evidence.doc_id")) & same("related_evidence.quote", "i_related_evidence.quote"), F.lit(False))
-    met = candidates.join(i, "task").withColumn("worth", worth)
-    grounded = (F.col("doc_id") == F.col("i_doc_id")) & (F.col("type") == F.col("i_type")) & same("quote", "i_quote") & (no_related | related) & X.is_yes_no_question(F.col("question")) & F.col("yes_choice").isin("anchor", "alternative")
-    grounded = F.coalesce(grounded & matching.public_profile_matches(F.col("decision"), F.col("i_decision")), F.lit(False))
-    accuracy = matching.stance_accuracy(F.col("target_stances"), matching.oriented_stances(F.col("i_alternative_stances"), F.col("yes_choice")))
-    return met.select("task", "cand", "item", matching.question_weight(grounded, accuracy, F.col("worth")).alias("weight")), worths
+    evidence = F.coalesce((F.col("doc_id") == F.col("i_doc_id")) & (F.col("type") == F.col("i_type")) & same("quote", "i_quote") & (no_related | related), F.lit(False))
+    asks = X.is_yes_no_question(F.col("question")) & F.col("yes_choice").isin("anchor", "alternative") & matching.public_profile_matches(F.col("decision"), F.col("i_decision"))
+    expected = matching.oriented_stances(F.col("i_alternative_stances"), F.col("yes_choice"))
+    accuracy = matching.stance_accuracy(F.col("target_stances"), expected)
+    opportunities = F.coalesce(F.size(expected), F.lit(0))
+    met = candidates.join(i, "task").select("task", "cand", "item", worth.alias("worth"), evidence.alias("evidence"), F.coalesce(evidence & asks, F.lit(False)).alias("grounded"), accuracy.alias("accuracy"), opportunities.cast("long").alias("opportunities"))
+    return met.withColumn("correct", F.coalesce(F.round(F.col("accuracy") * F.col("opportunities")), F.lit(0.0)).cast("long"))
+
+
+def question_weights(candidates: DataFrame, items: DataFrame, polarization: float) -> tuple[DataFrame, DataFrame]:
+    """(weights, worths) for question_utility."""
+    pairs = question_pairs(candidates, items, polarization)
+    worth = matching.attainable(F.col("decision_value"), matching.stance_disagreement(F.col("target_stances")), polarization)
+    return pairs.select("task", "cand", "item", matching.question_weight(F.col("grounded"), F.col("accuracy"), F.col("worth")).alias("weight")), items.select("task", "item", worth.alias("worth"))
+
+
+def question_metrics(candidates: DataFrame, items: DataFrame, polarization: float, questions: int) -> DataFrame:
+    """Utility and companion metrics of every task with items; all are 0 unless exactly `questions` candidates are given.
+
+    `candidates` holds answers that keep the form; a task without any is malformed or empty.
+    """
+    pairs = question_pairs(candidates, items, polarization)
+    weights, worths = question_weights(candidates, items, polarization)
+    said = candidates.groupBy("task").agg(F.count("*").cast("int").alias("n"))
+    factions = items.groupBy("task").agg(F.max(F.size("target_stances")).alias("factions"))
+    sizes = factions.join(said, "task", "left").select("task", "factions", F.coalesce("n", F.lit(0)).alias("n_candidates"))
+    named = lambda rows, name: matching.best_assignment(rows, questions).select("task", *[F.col(c).alias(f"{name}_{c}") for c in ("n_pairs", "correct", "opportunities")])
+    top = items.select("task", "item", "doc_id", "quote").join(worths, ["task", "item"])
+    top = top.withColumn("r", F.row_number().over(Window.partitionBy("task").orderBy(F.desc("worth"), "doc_id", "quote"))).where(F.col("r") <= questions).select("task", "item")
+    out = sizes.join(matching.question_utility(weights, worths, sizes.select("task", "n_candidates"), questions), "task")
+    for name, rows in (("g", pairs.where("grounded")), ("e", pairs.where("evidence")), ("t", pairs.where("evidence").join(top, ["task", "item"], "left_semi"))):
+        out = out.join(named(rows, name), "task", "left")
+    ok, zero = F.col("n_candidates") == questions, F.lit(0.0)
+    metric = lambda n, d: F.when(ok & (d > 0), F.coalesce(n, F.lit(0)) / d).otherwise(zero)
+    k = F.lit(questions)
+    return out.select(
+        "task", "utility", ok.cast("double").alias("format_validity"), metric(F.col("g_n_pairs"), k).alias("grounding_recall"), metric(F.col("g_correct"), k * F.col("factions")).alias("grounded_stance_recall"),
+        metric(F.col("e_n_pairs"), k).alias("evidence_match_recall"), metric(F.col("e_correct"), F.col("e_opportunities")).alias("evidence_matched_stance_accuracy"), metric(F.col("t_n_pairs"), k).alias("top_selection_accuracy"),
+    )
+
+
+def scenario_tasks(scenarios: DataFrame, task: str = "find", questions: int = 1, polarization: float = 1.0, **difficulty) -> DataFrame:
+    """Task rows (example_id, prompt, answer, info) of scenarios under a difficulty (document_view); `task` is find or ask.
+
+    Items that a difficulty hides are in neither prompt nor answer; reference questions are in
+    order of their worth. Tasks left with fewer items than `questions` drop out.
+    """
+    if task not in ("find", "ask"):
+        raise ValueError("task must be find or ask")
+    if not isinstance(questions, int) or questions < 1 or not 0 <= polarization <= 1:
+        raise ValueError("questions must be positive and polarization between 0 and 1")
+    seen = views.document_view(scenarios, **difficulty).where(F.size("visible_items") >= questions)
+    text = lambda doc: F.get(F.filter("documents", lambda d: d["doc_id"] == doc), F.lit(0))["text"]
+    worth = lambda x: matching.attainable(x["decision_value"], matching.stance_disagreement(x["target_stances"]), polarization)
+    asked = lambda x: F.struct(
+        (-worth(x)).alias("o1"), x["doc_id"].alias("o2"), x["anchor_quote"].alias("o3"),
+        F.to_json(F.struct(
+            x["alternative_stances"].alias("alternative_stances"), x["decision"].alias("decision"), x["decision_value"].alias("decision_value"), x["doc_id"].alias("doc_id"), text(x["doc_id"]).alias("document_text"), x["anchor_quote"].alias("quote"), x["canonical_question"].alias("question"),
+            text(x["related_evidence"]["doc_id"]).alias("related_document_text"), x["related_evidence"].alias("related_evidence"), x["target_stances"].alias("target_stances"), x["type"].alias("type"), x["value_weights"].alias("value_weights"), x["canonical_yes_choice"].alias("yes_choice"),
+        ), {"ignoreNullFields": "false"}).alias("json"),
+    )
+    found = lambda x: F.to_json(F.struct(x["canonical_question"].alias("diagnosis"), x["doc_id"].alias("doc_id"), text(x["doc_id"]).alias("document_text"), x["anchor_quote"].alias("quote"), text(x["related_evidence"]["doc_id"]).alias("related_document_text"), x["related_evidence"].alias("related_evidence"), x["type"].alias("type")), {"ignoreNullFields": "false"})
+    listed = lambda c: F.concat(F.lit("["), F.array_join(c, ","), F.lit("]"))
+    questions_json = listed(F.transform(F.array_sort(F.transform("visible_items", asked)), lambda x: x["json"]))
+    answer = F.concat(F.lit('{"questions":'), questions_json, F.lit("}")) if task == "ask" else F.concat(F.lit('{"findings":'), listed(F.transform("visible_items", found)), F.lit(f',"question_count":{questions},"questions":'), questions_json, F.lit("}"))
+    info = F.to_json(F.struct(
+        F.lit(task == "find").alias("allow_combined_questions"), F.size("documents").alias("document_count"), F.lit(polarization).alias("panel_polarization"), F.size("visible_items").alias("plant_count"), F.lit(questions).alias("question_count"),
+        "scenario_id", F.col("provenance.synthetic").alias("synthetic"), F.lit(task).alias("task_label"), F.col("provenance.template_set").alias("template_set"),
+    ))
+    prompt = prompts.ask_prompt(questions, polarization) if task == "ask" else prompts.find_prompt(questions)
+    return seen.select(F.col("scenario_id").alias("example_id"), F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content"))).alias("prompt"), answer.alias("answer"), info.alias("info"))
 
 
 def reference_suite(scenarios: DataFrame) -> DataFrame:

@@ -171,6 +171,27 @@ def test_generated_scenarios_are_valid_and_scored(spark, scenario_table):
     assert generate.canonical(generate.scenario("clinic-access", 3)) == generate.canonical(generate.scenario("clinic-access", 3))
 
 
+def test_scenario_tasks_and_question_metrics(spark, scenario_table):
+    good, _ = scenario_table
+    for task in ("find", "ask"):
+        row = findings.scenario_tasks(good, task, questions=2).first()
+        answer = json.loads(row.answer)
+        assert len(answer["questions"]) == 3 and json.loads(row.info)["task_label"] == task
+        prompt = row.prompt[0].content
+        assert all(q["document_text"] in prompt for q in answer["questions"]) and ("alternative_tradeoff_weights" in prompt) == (task == "ask")
+        assert not any(json.dumps(q["target_stances"]) in prompt for q in answer["questions"])
+    items = findings.items_of(good)
+    asked = items.select("task", F.col("item").alias("cand"), "doc_id", "quote", "type", "question", "decision", "yes_choice", "related_evidence", "target_stances")
+    right = findings.question_metrics(asked, items, 1.0, 3).first()
+    assert all(abs(right[c] - 1) < 1e-9 for c in right.asDict() if c != "task")
+    swapped = asked.withColumn("target_stances", F.transform_values("target_stances", lambda k, v: F.lit("pass"))).withColumn("question", F.lit("why?"))
+    wrong = findings.question_metrics(swapped, items, 1.0, 3).first()
+    assert wrong.utility == wrong.grounding_recall == 0 and wrong.evidence_match_recall == 1 and wrong.evidence_matched_stance_accuracy < 1
+    assert findings.question_metrics(asked.where("cand < 2"), items, 1.0, 3).first().format_validity == 0
+    with pytest.raises(ValueError):
+        findings.scenario_tasks(good, "other")
+
+
 def test_scenario_mutations(spark):
     base = generate.scenario("library-records", 4)
 
