@@ -25,8 +25,10 @@ from plenara.llm.common import add_columns, table
 
 #: Fixed value: the pattern with which byte-level vocabularies of this family split text.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Bounds of what a Python worker remembers: pieces of at most so many letters, so many of them, and pairs of tokens.
 LONGEST_KEPT = 64
-PIECES_KEPT = 400_000
+PIECES_KEPT = 150_000
+PAIRS_KEPT = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -36,19 +38,45 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def token_bytes(spec: dict) -> dict[int, bytes]:
+    """The bytes of each id of a vocabulary file, special tokens included."""
+    letters = byte_letters()
+    raw = {i: bytes(letters[c] for c in name) for name, i in spec["model"]["vocab"].items() if all(c in letters for c in name)}
+    return raw | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+
+
+class OffsetTable:
+    """All tokens' bytes in a row, and where each id's bytes start: all that decoding needs."""
+
+    def __init__(self, path: str) -> None:
+        raw = token_bytes(json.load(open(path, encoding="utf-8")))
+        self.size = max(raw) + 1
+        parts = [raw.get(i, b"") for i in range(self.size)]
+        self.blob = np.frombuffer(b"".join(parts), np.uint8)
+        self.offset = np.cumsum([0, *map(len, parts)], dtype=np.int64)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """Bytes of the ids, gathered through the offsets; unknown ids have none."""
+        out = []
+        for at in range(0, len(ids), 1 << 18):
+            x = ids[at : at + (1 << 18)].astype(np.int64)
+            x = x[(x >= 0) & (x < self.size)]
+            size = self.offset[x + 1] - self.offset[x]
+            ends = np.cumsum(size)
+            if len(x):
+                out.append(self.blob[np.repeat(self.offset[x] - ends + size, size) + np.arange(ends[-1])].tobytes())
+        return b"".join(out)
+
+
 class Vocabulary:
-    """A vocabulary file of the tokenizers library (byte-level BPE without a normalizer)."""
+    """A vocabulary file of the tokenizers library (byte-level BPE without a normalizer), ready to encode."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         spec = json.load(open(path, encoding="utf-8"))
-        letters, ids = byte_letters(), spec["model"]["vocab"]
-        raw = {i: bytes(letters[c] for c in name) for name, i in ids.items() if all(c in letters for c in name)}
+        ids, raw = spec["model"]["vocab"], token_bytes(spec)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        for name, i in self.special.items():
-            raw[i] = name.encode()
-        self.size = max(raw) + 1
         # tokens are numbered by the merge that makes them, single bytes first
         merges = [m if isinstance(m, list) else m.split(" ", 1) for m in spec["model"]["merges"]]
         order = [i for i in raw if len(raw[i]) == 1 and i not in self.special.values()]
@@ -72,12 +100,10 @@ class Vocabulary:
             self.automaton.add_word(t, n)
         self.automaton.make_automaton()
         self.shorter: dict[int, int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.blob = np.frombuffer(b"".join(raw.get(i, b"") for i in range(self.size)), np.uint8)
-        self.offset = np.concatenate([[0], np.cumsum([len(raw.get(i, b"")) for i in range(self.size)])]).astype(np.int64)
+        self.fits: dict[int, bool] = {}  # by left << 20 | right
         self.split = regex.compile(SPLIT)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.classes = Tokenizer.from_file(path).pre_tokenizer
+        self.classes = ByteLevel(add_prefix_space=False)
         self.known: set[str] = set(map(chr, range(128)))
         self.stand_in: dict[int, str] = {}
         self.kept = _Pieces(self)
@@ -96,7 +122,7 @@ class Vocabulary:
         The merges are undone from the latest; at each step no merge across the border may
         come before the one that was undone last. Answers are kept in the pair table.
         """
-        known = self.fits.get((left, right))
+        known = self.fits.get(left << 20 | right)
         if known is not None:
             return known
         a, b, before, answer = left, right, len(self.halves), True
@@ -112,9 +138,9 @@ class Vocabulary:
                 before, a = a, self.halves[a][1]
             else:
                 before, b = b + 1, self.halves[b][0]
-        if len(self.fits) >= 4_000_000:
+        if len(self.fits) >= PAIRS_KEPT:
             self.fits.clear()
-        self.fits[left, right] = answer
+        self.fits[left << 20 | right] = answer
         return answer
 
     def encode_piece(self, piece: str) -> list[int]:
@@ -165,18 +191,6 @@ class Vocabulary:
                 out += map(self.kept.__getitem__, self.pieces(part))
         return b"".join(out)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """Bytes of the ids, gathered from the vocabulary's bytes through its offset table; unknown ids have none."""
-        out = []
-        for at in range(0, len(ids), 1 << 20):
-            x = ids[at : at + (1 << 20)].astype(np.int64)
-            x = x[(x >= 0) & (x < self.size)]
-            size = self.offset[x + 1] - self.offset[x]
-            ends = np.cumsum(size)
-            if len(x):
-                out.append(self.blob[np.repeat(self.offset[x] - ends + size, size) + np.arange(ends[-1])].tobytes())
-        return b"".join(out)
-
 
 class _Pieces(dict):
     """Ids of pieces seen before; long pieces aren't kept, and the table starts anew when full."""
@@ -199,24 +213,31 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """`docs` plus `ids array<int>`, the token ids of each whole text.
+@lru_cache(maxsize=2)
+def offset_table(path: str) -> OffsetTable:
+    return OffsetTable(path)
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """`docs` plus `ids array<int>`, the token ids of each whole text, and if `decoded` names a column, what they decode to.
 
-    `path` is a vocabulary file that every executor has. Null and empty texts have no ids; a
-    special token's string in a text is that token. Rows, repeated ones too, are independent;
-    an existing column named `ids` is replaced.
+    `path` is a vocabulary file that every executor has. Null and empty texts have no ids and
+    decode to an empty text; a special token's string in a text is that token. Rows, repeated
+    ones too, are independent; existing columns of these names are replaced. Decoding in the
+    same pass spares a second Python worker and the ids' way there.
     """
 
     def make():
         def work(texts):
-            coded = [v.encode(t) if t else b"" for t in texts]
-            ends = np.cumsum([0, *(len(c) // 4 for c in coded)], dtype=np.int32)
-            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))]
+            coded = [np.frombuffer(v.encode(t), np.int32) if t else none for t in texts]
+            ends = np.cumsum([0, *map(len, coded)], dtype=np.int32)
+            out = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([none, *coded])))]
+            return out if decoded is None else [*out, [table_.decode(c).decode("utf-8", "replace") for c in coded]]
 
-        v = vocabulary(path)
+        v, table_, none = vocabulary(path), decoded and offset_table(path), np.zeros(0, np.int32)
         return work
 
-    return add_columns(docs, [text], f"`{ids}` array<int>", make)
+    return add_columns(docs, [text], f"`{ids}` array<int>" + (f", `{decoded}` string" if decoded else ""), make)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -229,9 +250,9 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
         def work(lists):
             ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
             ends = np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()])
-            return [[v.decode(ids[a:b]).decode("utf-8", "replace") for a, b in itertools.pairwise(ends)]]
+            return [[t.decode(ids[a:b]).decode("utf-8", "replace") for a, b in itertools.pairwise(ends)]]
 
-        v = vocabulary(path)
+        t = offset_table(path)
         return work
 
     return add_columns(docs, [ids], f"`{text}` string", make, arrow=True)
@@ -251,5 +272,5 @@ def op5_bpe_roundtrip(spark, sf_dir: str, path: str | None = None) -> DataFrame:
     """Encode and decode every whole text of `documents`; see the README's contract table."""
     path = path or default_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs, path).drop("text"), path)
+    coded = encode(docs, path, decoded="decoded")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest().alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))

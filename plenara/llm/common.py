@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -52,6 +55,25 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*clash) if clash else df
 
 
+def set_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`df` with columns that clash with `names` renamed, and a function that gives a table made from it the columns of `df` again.
+
+    For stages that compute columns only to decide by them: nothing of the input is replaced,
+    and nothing is carried twice.
+    """
+    taken = {n.lower() for n in names}
+    held = {c: f"__held_{i}" for i, c in enumerate(df.columns) if c.lower() in taken}
+    columns = [F.col(held.get(c, c)).alias(c) for c in df.columns]
+    return (df.withColumnsRenamed(held) if held else df), lambda out: out.select(*columns)
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: Python workers live on, beside others on the executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def add_columns(df: DataFrame, inputs: list[str], schema: str, make: Callable[[], Callable[..., list]], rows: int = 256, arrow: bool = False) -> DataFrame:
     """`df` plus the columns of `schema`, computed from the columns `inputs` in Arrow batches.
 
@@ -75,5 +97,7 @@ def add_columns(df: DataFrame, inputs: list[str], schema: str, make: Callable[[]
                 out = work(*[part.column(i) if arrow else part.column(i).to_pylist() for i in places])
                 new = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(out, target, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *target.names])
+            batch = part = out = new = None
+            give_back()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))

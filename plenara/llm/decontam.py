@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plenara.llm.common import add_columns, checkpointed, table
+from plenara.llm.common import add_columns, checkpointed, set_aside, table
 
 WINDOW = 10
 #: Bytes of item text that one automaton holds at most; a larger benchmark is scanned in several passes.
@@ -158,8 +158,8 @@ def hit_spans(docs: DataFrame, text: str = "text", hits: str = "hits", spans: st
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs`, columns unchanged, in which no benchmark window occurs."""
-    marked = contaminated_words(docs.withColumn("__text", F.col(text)).select(F.struct(*docs.columns).alias("__row"), "__text"), benchmark, text="__text")
-    return marked.where(F.size("hits") == 0).select("__row.*")
+    free, restored = set_aside(docs, ["hits", "items", "n_words"])
+    return restored(contaminated_words(free, benchmark, text=text).where(F.size("hits") == 0))
 
 
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

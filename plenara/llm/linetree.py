@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plenara.llm.common import checkpointed, table, without, written
+from plenara.llm.common import checkpointed, give_back, table, without, written
 
 MIN_DOCS, LEAD, ALIKE, MIN_TOKENS = 3, 3, 0.75, 4
 #: Bits of the filter that spares most lines the exact test of their leaf; it is 2^20 rows of 64 bits at most.
@@ -66,6 +66,8 @@ def lines(docs: DataFrame, text: str = "text", whole: bool = True) -> DataFrame:
                 else:
                     columns = [rows.column(1), leaf]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+            all_ = batch = found = rows = leaf = columns = masked = None
+            give_back()
 
     return docs.mapInArrow(run, schema)
 

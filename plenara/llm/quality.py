@@ -22,6 +22,8 @@ MAX_LABELLED = 4000
 MIN_WORDS, MAX_REPEATED = 50, 50
 _SYMBOLS, _UPPER, _DIGIT, _MARKS = b"#*$%&|<>", bytes(range(65, 91)), b"0123456789", b"!?"
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digit", "n_marks")
+#: What apply_rules adds.
+COLUMNS = (*_COUNTS, "base_failed", "rule", "kept")
 FEATURES = ("n_words", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "mean_word", "upper_ratio", "digit_ratio", "mark_ratio")
 
 
