@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenara.llm import bpe, decontam, linetree, neardup, quality
-from plenara.llm.common import table, written
+from plenara.llm.common import set_aside, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base checks or the learned decision list reject go."""
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
-    row = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("__text"))
-    return quality.apply_rules(row, rules, "__text").where("kept").select("__row.*")
+    free, restored = set_aside(docs, quality.COLUMNS)
+    return restored(quality.apply_rules(free, rules).where("kept"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, encoded; the decoded text's digest shows that nothing was lost."""
     path = bpe.default_path()
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text"), path)
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, decoded="decoded")
     return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest().alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
