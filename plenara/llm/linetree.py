@@ -25,6 +25,8 @@ from plenara.llm.common import checkpointed, give_back, table, without, written
 MIN_DOCS, LEAD, ALIKE, MIN_TOKENS = 3, 3, 0.75, 4
 #: Bits of the filter that spares most lines the exact test of their leaf; it is 2^20 rows of 64 bits at most.
 FILTER_BITS = 26
+#: Tasks over which the lines of one template are spread where they meet it.
+SALTS = 16
 _DIGIT = re.compile(rb"[0-9]")
 
 
@@ -112,7 +114,14 @@ def recurring(docs: DataFrame, text: str = "text") -> DataFrame:
             break
         templates = templates.unionByName(met.where("alike").join(again, "leaf", "left_semi").select("leaf", "lh", F.xxhash64(F.lit(turn), "leaf").alias("template")))
         left = checkpointed(left.join(again, "leaf", "left_semi").join(met.where("alike").select("leaf", "lh"), ["leaf", "lh"], "left_anti"))
-    return found.select("id", "th", "no", "leaf", "lh").join(templates, ["leaf", "lh"]).select("id", "th", "no", "template")
+    return _salted(found.select("id", "th", "no", "leaf", "lh"), templates, ["leaf", "lh"]).select("id", "th", "no", "template")
+
+
+def _salted(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """`many` joined with the rows of `few` by keys that `few` has once each; a key with very many rows is met in SALTS tasks."""
+    spread = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = many.withColumn("__salt", F.pmod(F.xxhash64("th", "no"), F.lit(SALTS)).cast("int"))
+    return dealt.join(spread, [*keys, "__salt"]).drop("__salt")
 
 
 def dropped_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -120,7 +129,7 @@ def dropped_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     hits = checkpointed(recurring(docs, text))
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("i"), F.col("th").alias("t"), F.col("no").alias("n"))
     first = hits.groupBy("template").agg(F.min(place).alias("first"))
-    gone = hits.withColumn("place", place).join(first, "template").where("place <> first")
+    gone = _salted(hits.withColumn("place", place), first, ["template"]).where("place <> first")
     return gone.groupBy("id", "th").agg(F.collect_set("no").alias("dropped"))
 
 
