@@ -1,7 +1,7 @@
 """Line dedup with a fixed-depth template tree.
 
 A line's tokens that hold a digit become `<*>`. Its leaf in the tree is its number of tokens and
-its first LEAD tokens. Leaves that fewer than MIN_DOCS different texts reach are left alone. In
+its first LEAD tokens, or all of them where there are fewer. Leaves that fewer than MIN_DOCS different texts reach are left alone. In
 the others, a line that itself stands in MIN_DOCS texts is a template. The rest of a leaf is
 generalised: the commonest token at each position forms the leaf's pattern, and the lines that
 agree with it on a share of ALIKE belong to one template, the positions where they differ being
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from plenara.llm.common import checkpointed, give_back, table, without, written
 
-MIN_DOCS, LEAD, ALIKE, MIN_TOKENS = 3, 3, 0.75, 4
+MIN_DOCS, LEAD, ALIKE, MIN_TOKENS = 3, 3, 0.75, 1
 #: Bits of the filter that spares most lines the exact test of their leaf; it is 2^20 rows of 64 bits at most.
 FILTER_BITS = 26
 #: Tasks over which the lines of one template are spread where they meet it.
@@ -138,7 +138,7 @@ def without_recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "te
 
     With `marks`, also n_lines, n_dropped (long) and dropped (line numbers from 0); existing
     columns of these names are replaced then. A null text stays null with no lines, an empty
-    one has one line; blank and short lines always stay. Of two equal lines in one text the
+    one has one line; blank lines always stay. Of two equal lines in one text the
     later one goes if their template recurs. Repeated rows (same id, same text) are one text
     and keep the same lines; null ids come last in the order that decides which line is first.
     """

@@ -85,3 +85,15 @@ def test_pipeline_columns_and_empty_table(spark, tmp_path):
     assert tree.without_recurring_lines(docs).columns == docs.columns
     docs.where(F.lit(False)).write.parquet(f"{tmp_path}/documents.parquet")
     assert tree.op7_line_templates(spark, str(tmp_path)).count() == 0
+
+
+def dropped(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.dropped for r in tree.without_recurring_lines(docs, marks=True).orderBy("doc_id").collect()]
+
+
+def test_short_lines_and_lines_without_blanks_recur(spark):
+    short = ["Les.", "And ornd.", "All rights reserved.", "这一行没有空格但在每个文本中都出现", " ", ""]
+    texts = ["\n".join([*short, f"own {'abcd'[i]}"]) for i in range(4)]
+    assert dropped(spark, texts) == [[], *[[0, 1, 2, 3]] * 3]
+    assert dropped(spark, texts[:2]) == [[], []]
