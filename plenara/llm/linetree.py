@@ -5,8 +5,9 @@ its first LEAD tokens, or all of them where there are fewer. Leaves that fewer t
 the others, a line that itself stands in MIN_DOCS texts is a template. The rest of a leaf is
 generalised: the commonest token at each position forms the leaf's pattern, and the lines that
 agree with it on a share of ALIKE belong to one template, the positions where they differ being
-its variable fields. If MIN_DOCS texts hold that template it recurs; its lines are set apart and
-the leaf is generalised again, until no leaf gives another.
+its variable fields. If MIN_DOCS different texts hold that template it recurs. Its lines are set
+apart and the leaf is generalised again, until no leaf gives another; lines that reach MIN_DOCS
+only because one text has several of them are set apart too, but stay in their texts.
 
 Every line of a recurring template is dropped but the first (by document id, then line number),
 so that one copy of what repeats stays in the corpus. Whole copies of a text count once.
@@ -99,6 +100,7 @@ def recurring(docs: DataFrame, text: str = "text") -> DataFrame:
     varied = forms.where(F.col("texts") < MIN_DOCS).groupBy("leaf").agg(F.sum("texts").alias("sum"), F.count("*").alias("n")).where((F.col("sum") >= MIN_DOCS) & (F.col("n") > 1))
     wanted = forms.where(F.col("texts") < MIN_DOCS).join(varied.select("leaf"), "leaf", "left_semi")
     shown = found.groupBy("leaf", "lh").agg(F.first("masked").alias("masked"))
+    holders = written(found.select("leaf", "lh", "th").distinct().join(wanted.select("leaf", "lh"), ["leaf", "lh"], "left_semi"))
     left = written(shown.join(wanted, ["leaf", "lh"]).select("leaf", "lh", "texts", F.transform(F.split("masked", " "), lambda t: F.xxhash64(t)).alias("tokens")))
     templates, turn = exact, 0
     while True:
@@ -112,7 +114,9 @@ def recurring(docs: DataFrame, text: str = "text") -> DataFrame:
         again = checkpointed(again)
         if again.isEmpty():
             break
-        templates = templates.unionByName(met.where("alike").join(again, "leaf", "left_semi").select("leaf", "lh", F.xxhash64(F.lit(turn), "leaf").alias("template")))
+        held = holders.join(met.where("alike").join(again, "leaf", "left_semi").select("leaf", "lh"), ["leaf", "lh"], "left_semi")
+        taken = held.select("leaf", "th").distinct().groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= MIN_DOCS).select("leaf")
+        templates = templates.unionByName(met.where("alike").join(checkpointed(taken), "leaf", "left_semi").select("leaf", "lh", F.xxhash64(F.lit(turn), "leaf").alias("template")))
         left = checkpointed(left.join(again, "leaf", "left_semi").join(met.where("alike").select("leaf", "lh"), ["leaf", "lh"], "left_anti"))
     return _salted(found.select("id", "th", "no", "leaf", "lh"), templates, ["leaf", "lh"]).select("id", "th", "no", "template")
 

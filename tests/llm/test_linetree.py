@@ -97,3 +97,11 @@ def test_short_lines_and_lines_without_blanks_recur(spark):
     texts = ["\n".join([*short, f"own {'abcd'[i]}"]) for i in range(4)]
     assert dropped(spark, texts) == [[], *[[0, 1, 2, 3]] * 3]
     assert dropped(spark, texts[:2]) == [[], []]
+
+
+def test_a_template_counts_each_text_once(spark):
+    refrain = "\n".join(f"we sing the same song of {x} once again today" for x in ("spring", "summer", "autumn"))
+    assert dropped(spark, [refrain, "another text altogether"]) == [[], []]
+    shared = [f"we sing the same song of {x} once again today" for x in ("peace", "hope")]
+    assert dropped(spark, [refrain, shared[0]]) == [[], []]
+    assert dropped(spark, [refrain, *shared]) == [[1, 2], [0], [0]]
