@@ -3,7 +3,8 @@
 Every text is scanned as it stands. Then each layer is searched for encodings: percent escapes
 and backslash escapes turn the whole layer into one new layer; each base64 run, decompressed if
 it holds gzip or zlib data, into another. New layers are scanned and unwrapped in turn until
-none is new; a layer already seen isn't entered again. Each layer knows, for each of its code
+none is new; a layer already seen isn't entered again, unless it stands for another part of the
+original: the same run at two places is found at both. Each layer knows, for each of its code
 points, the part of the original text it stands for, so every find maps back to it.
 """
 
@@ -154,7 +155,7 @@ def scan(text: str, limit: int = UNPACK_BYTES) -> tuple[list[tuple[int, int, int
     if not coded and not _BASE64.search(text):
         return base, base, 1, 0
     whole = np.arange(len(text))
-    work, seen, found, closed = [Layer(text, whole, whole + 1)], {text}, set(base), 0
+    work, seen, found, closed = [Layer(text, whole, whole + 1)], {(text, 0, len(text))}, set(base), 0
     while work:
         layer = work.pop()
         made = [x for x in (_percent(layer), _escapes(layer)) if x]
@@ -164,8 +165,10 @@ def scan(text: str, limit: int = UNPACK_BYTES) -> tuple[list[tuple[int, int, int
             else:
                 made.append(x)
         for x in made:
-            if x.text not in seen:
-                seen.add(x.text)
+            # cycles repeat both, and texts of one original have finitely many spans
+            key = (x.text, *x.original(0, len(x.text))) if x.text else None
+            if key and key not in seen:
+                seen.add(key)
                 work.append(x)
                 found |= {(*x.original(a, b), kind) for a, b, kind in finds(x.text)}
     return base, sorted(found), len(seen), closed

@@ -65,3 +65,12 @@ def test_nested_layers_end_and_bombs_stay_closed():
 
 def test_empty_table(spark):
     assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_run_that_stands_twice_is_found_twice():
+    plain = base64.b64encode(f"my key is {KEY} end".encode()).decode()
+    for run in (plain, base64.b64encode(gzip.compress(plain.encode())).decode()):
+        text = f"{run} and {run}"
+        spans = [(a, b) for a, b, _ in secrets.scan(text)[1]]
+        assert len(spans) == 2 and spans[0][1] <= len(run) < spans[1][0]
+        assert len({text[a:b] for a, b in spans}) == 1
