@@ -1,8 +1,10 @@
 """Secret scan with a worklist that unwraps encoded layers.
 
 Every text is scanned as it stands. Then each layer is searched for encodings: percent escapes
-and backslash escapes turn the whole layer into one new layer; each base64 run, decompressed if
-it holds gzip or zlib data, into another. New layers are scanned and unwrapped in turn until
+and backslash escapes turn the whole layer into one new layer; each base64 run, joined across line
+ends, into others: one for each of its four alignments that is text or leads on, as other signs of
+its alphabet may stand before it, and one for each place where gzip or zlib data begins. Bytes that
+aren't UTF-8 are replaced, not a reason to leave a run closed. New layers are scanned and unwrapped in turn until
 none is new; a layer already seen isn't entered again, unless it stands for another part of the
 original: the same run at two places is found at both. Each layer knows, for each of its code
 points, the part of the original text it stands for, so every find maps back to it.
@@ -11,19 +13,23 @@ points, the part of the original text it stands for, so every find maps back to
 from __future__ import annotations
 
 import base64
-import binascii
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plenara.llm.common import add_columns, table
 
 KINDS = ("assign", "access", "hex")
-#: Bytes that one compressed run may unpack to; a larger one is left closed and counted in `oversize`.
+#: Bytes that one compressed run may unpack to at once; a larger one is scanned in overlapping parts of this size and counted in `oversize`.
 UNPACK_BYTES = 16 << 20
+#: Bytes that parts overlap by at least; a coded run that goes on beyond a part begins the next one, up to half a part.
+OVERLAP = 1 << 16
+_STEP = 1 << 16
 SHORTEST_RUN = 16
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -31,7 +37,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
-_BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{SHORTEST_RUN},}}={{0,2}}")
+_BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{SHORTEST_RUN},}}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={{0,2}}")
+#: How gzip and zlib data begin in base64.
+_PACKED = re.compile(r"H4sI|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]")
+_CODED = re.compile(rf"{_PERCENT.pattern}|{_ESCAPE.pattern}|{_BASE64.pattern}")
+_ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\\\r\n"
 
 
 def finds(text: str) -> list[tuple[int, int, int]]:
@@ -65,13 +75,14 @@ class Layer:
         return Layer("".join([*texts, self.text[at:]]), np.concatenate([*starts, self.start[at:]]), np.concatenate([*ends, self.end[at:]]))
 
 
-def _characters(data: bytes, unit: int, base: int) -> tuple[str, np.ndarray, np.ndarray] | None:
-    """UTF-8 bytes that stand `unit` code points apart, as text with the span of each code point."""
+def _characters(data: bytes, unit: int, base: int) -> tuple[str, np.ndarray, np.ndarray]:
+    """UTF-8 bytes that stand `unit` code points apart, as text with the span of each code point; in other bytes each one beyond ASCII is replaced."""
     try:
         text = data.decode()
+        size = np.array([len(c.encode()) for c in text], np.int64)
     except UnicodeDecodeError:
-        return None
-    size = np.array([len(c.encode()) for c in text], np.int64)
+        text = data.decode("ascii", "replace")
+        size = np.ones(len(text), np.int64)
     ends = np.cumsum(size)
     return text, base + (ends - size) * unit, base + ends * unit
 
@@ -79,8 +90,7 @@ def _characters(data: bytes, unit: int, base: int) -> tuple[str, np.ndarray, np.
 def _percent(layer: Layer) -> Layer | None:
     runs = []
     for m in _PERCENT.finditer(layer.text):
-        if got := _characters(bytes.fromhex(m[0].replace("%", "")), 3, m.start()):
-            runs.append((m.start(), m.end(), *got))
+        runs.append((m.start(), m.end(), *_characters(bytes.fromhex(m[0].replace("%", "")), 3, m.start())))
     return layer.replaced(runs)
 
 
@@ -102,18 +112,56 @@ def _escapes(layer: Layer) -> Layer | None:
     return layer.replaced(runs)
 
 
-def _unpacked(data: bytes, limit: int) -> bytes | None:
-    """Decompressed gzip or zlib data; None if it is neither; raises OverflowError beyond the limit."""
-    if not (data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0):
-        return None
-    try:
-        engine = zlib.decompressobj(47)
-        out = engine.decompress(data, limit + 1)
-        if len(out) > limit:
-            raise OverflowError
-        return out if engine.eof else None
-    except zlib.error:
-        return None
+def _packed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0
+
+
+def _inflated(parts):
+    """Parts of what gzip or zlib data unpacks to, all its members; what comes before an error counts."""
+    engine = zlib.decompressobj(47)
+    head = b""
+    for part in parts:
+        part, head, more = head + part, b"", False
+        while part or more:
+            if engine.eof:
+                part = part.lstrip(b"\0")
+                if 0 < len(part) < 3:
+                    head = part
+                    break
+                if not _packed(part):
+                    return
+                engine = zlib.decompressobj(47)
+            try:
+                out = engine.decompress(part, _STEP)
+                part = engine.unused_data if engine.eof else engine.unconsumed_tail
+            except zlib.error:
+                return
+            more = len(out) == _STEP and not engine.eof  # output may wait when all input is read
+            if out:
+                yield out
+
+
+def _unpacked(data: bytes):
+    """Parts of what compressed data holds, through all its layers of compression; a layer that unpacks to itself ends there."""
+    parts, heads, first = iter([data]), set(), data
+    while _packed(first) and first[:_STEP] not in heads:
+        heads.add(first[:_STEP])
+        parts = _inflated(chain([first], parts))
+        first = next(parts, b"")
+    return chain([first], parts)
+
+
+def _pieces(parts, limit: int):
+    """The parts put together to pieces of `limit` bytes at most that overlap."""
+    held = bytearray()
+    for part in parts:
+        held += part
+        while len(held) > limit:
+            piece = bytes(held[:limit])
+            yield piece
+            back = max(min(OVERLAP, limit // 2), min(limit // 2, limit - len(piece.rstrip(_ALPHABET))))
+            del held[: limit - back]
+    yield bytes(held)
 
 
 def _readable(text: str) -> bool:
@@ -121,59 +169,63 @@ def _readable(text: str) -> bool:
 
 
 def _base64(layer: Layer, limit: int):
-    """Layers of the layer's base64 runs; True for a run that is too large when unpacked."""
+    """Layers of the layer's base64 runs; True for a run that is large when unpacked, before its parts."""
     for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        at = m.start()
-        try:
-            inner, depth = data, 0
-            while (more := _unpacked(inner, limit)) is not None:
-                inner, depth = more, depth + 1
-        except OverflowError:
-            yield True
-            continue
-        if depth:
-            text = inner.decode("utf-8", "replace")
-            a, b = layer.original(at, m.end())
-            yield Layer(text, np.full(len(text), a), np.full(len(text), b))
-        elif (got := _characters(data, 1, 0)) and _readable(got[0]):
-            text, low, high = got
-            where = at + np.arange(len(body))
-            yield Layer(text, layer.start[where[low // 3 * 4 + low % 3]], layer.end[where[np.minimum((high - 1) // 3 * 4 + (high - 1) % 3 + 1, len(body) - 1)]])
+        signs = np.frombuffer(m[0].rstrip("=").encode(), np.uint8)
+        where = np.flatnonzero((signs != 10) & (signs != 13) & (signs != 32) & (signs != 9))
+        body = signs[where].tobytes().translate(bytes.maketrans(b"-_", b"+/"))
+        where += m.start()
+        for p in _PACKED.finditer(body.decode()):
+            a, b = layer.original(int(where[p.start()]), m.end())
+            for k, piece in enumerate(_pieces(_unpacked(_decoded(body[p.start() :])), limit)):
+                if k == 1:
+                    yield True
+                text = piece.decode("utf-8", "replace")
+                yield Layer(text, np.broadcast_to(a, len(text)), np.broadcast_to(b, len(text)))
+        for off in range(4):
+            text, low, high = _characters(_decoded(body[off:]), 1, 0)
+            if text and (off == 0 and _readable(text) or finds(text) or _CODED.search(text)):
+                at = where[off:]
+                yield Layer(text, layer.start[at[low // 3 * 4 + low % 3]], layer.end[at[np.minimum((high - 1) // 3 * 4 + (high - 1) % 3 + 1, len(at) - 1)]])
+
+
+def _decoded(body: bytes) -> bytes:
+    """The bytes of a run of the base64 alphabet; a last sign that is no byte is left out."""
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + b"=" * (-len(body) % 4))
 
 
 def scan(text: str, limit: int = UNPACK_BYTES) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
-    """Open finds; all finds with those of unwrapped layers; the number of layers; runs left closed."""
+    """Open finds; all finds with those of unwrapped layers; the number of layers; runs that unpack to more than `limit` bytes."""
     base = finds(text)
     coded = "%" in text or "\\" in text
     if not coded and not _BASE64.search(text):
         return base, base, 1, 0
     whole = np.arange(len(text))
-    work, seen, found, closed = [Layer(text, whole, whole + 1)], {(text, 0, len(text))}, set(base), 0
+    work, seen, found, closed = [iter([Layer(text, whole, whole + 1)])], set(), set(base), 0
     while work:
-        layer = work.pop()
-        made = [x for x in (_percent(layer), _escapes(layer)) if x]
-        for x in _base64(layer, limit):
-            if x is True:
-                closed += 1
-            else:
-                made.append(x)
-        for x in made:
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+        elif layer is True:
+            closed += 1
+        elif layer.text:
             # cycles repeat both, and texts of one original have finitely many spans
-            key = (x.text, *x.original(0, len(x.text))) if x.text else None
-            if key and key not in seen:
+            key = (xxhash.xxh3_128_digest(layer.text.encode("utf-8", "replace")), *layer.original(0, len(layer.text)))
+            if key not in seen:
                 seen.add(key)
-                work.append(x)
-                found |= {(*x.original(a, b), kind) for a, b, kind in finds(x.text)}
+                if len(seen) > 1:
+                    found |= {(*layer.original(a, b), kind) for a, b, kind in finds(layer.text)}
+                work.append(_inside(layer, limit))
     return base, sorted(found), len(seen), closed
 
 
+def _inside(layer: Layer, limit: int):
+    """What a layer's encodings hold, one after the other."""
+    yield from (x for x in (_percent(layer), _escapes(layer)) if x)
+    yield from _base64(layer, limit)
+
+
 _SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -182,8 +234,8 @@ def find_secrets(docs: DataFrame, text: str = "text", limit: int = UNPACK_BYTES)
 
     `base` has what stands openly, `spans` that and what unwrapped layers hold. Null and empty
     texts have neither; repeated rows are scanned each for itself; a text's finds at one place
-    are listed once a kind. A compressed run that unpacks to more than `limit` bytes stays
-    closed and is counted in `oversize`. Existing columns of these names are replaced.
+    are listed once a kind. A compressed run that unpacks to more than `limit` bytes is scanned in
+    overlapping parts and counted in `oversize`. Existing columns of these names are replaced.
     """
 
     def make():

@@ -74,3 +74,27 @@ def test_a_run_that_stands_twice_is_found_twice():
         spans = [(a, b) for a, b, _ in secrets.scan(text)[1]]
         assert len(spans) == 2 and spans[0][1] <= len(run) < spans[1][0]
         assert len({text[a:b] for a, b in spans}) == 1
+
+
+def test_runs_that_are_glued_wrapped_or_not_quite_text():
+    whole = f"my key is {KEY} and that is all of it there is".encode()
+    coded = base64.b64encode(whole).decode()
+    wrapped = lambda run, n: "\r\n".join(run[i : i + n] for i in range(0, len(run), n))
+    body = b"".join(bytes([97 + i * i % 26, 33 + i * 7 % 90]) for i in range(200)) + whole
+    packed = base64.b64encode(gzip.compress(body)).decode()
+    cases = [f"{p}{coded}" for p in ("https://h/x/", "key-", "id_", "a/", "ab/")] + [coded + "/more-of-it", wrapped(coded, 20), wrapped(packed, 64), wrapped(packed, 76)]
+    cases += [f"{p}{base64.b64encode(pack(body)).decode()}" for p in ("key-", "id_", "x/") for pack in (gzip.compress, zlib.compress)]
+    cases += [base64.b64encode(whole + b).decode() for b in (b" \0", b" \xff\xfe")]
+    cases += [base64.b64encode(gzip.compress(b"first member") + gzip.compress(whole)).decode()]
+    cases += ["%FF" + "".join(f"%{c:02x}" for c in whole)]
+    for text in cases:
+        assert unwrapped(f"see {text} there"), text
+
+
+def test_large_streams_are_scanned_in_parts():
+    for at in (5, 9_990, 10_003, 40_000):
+        large = b"- " * (at // 2) + KEY.encode() + b" -" * 20_000
+        base, spans, _, oversize = secrets.scan(base64.b64encode(zlib.compress(large)).decode(), limit=10_000)
+        assert not base and len(spans) == 1 and oversize == 1, at
+    last = zlib.compress(b"- " * 3_000_000 + KEY.encode())
+    assert len(secrets.scan(base64.b64encode(last).decode(), limit=1_000_000)[1]) == 1
