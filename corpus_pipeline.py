@@ -21,9 +21,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates are cut, all but the first of each; n_chars follows the text."""
-    out = linetree.without_recurring_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    """Lines of recurring templates are cut, all but the first of each; n_chars follows the text.
+
+    A text that would lose more than half of its words stays whole: it is a copy of others, of which
+    the next stage leaves one, and a stub of it would no longer be told as one.
+    """
+    out = linetree.without_recurring_lines(docs, most=0.5)
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

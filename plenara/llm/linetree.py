@@ -1,33 +1,40 @@
 """Line dedup with a fixed-depth template tree.
 
 A line's tokens that hold a digit become `<*>`. Its leaf in the tree is its number of tokens and
-its first LEAD tokens, or all of them where there are fewer. Leaves that fewer than MIN_DOCS different texts reach are left alone. In
-the others, a line that itself stands in MIN_DOCS texts is a template. The rest of a leaf is
-generalised: the commonest token at each position forms the leaf's pattern, and the lines that
-agree with it on a share of ALIKE belong to one template, the positions where they differ being
-its variable fields. If MIN_DOCS different texts hold that template it recurs. Its lines are set
-apart and the leaf is generalised again, until no leaf gives another; lines that reach MIN_DOCS
-only because one text has several of them are set apart too, but stay in their texts.
-
-Every line of a recurring template is dropped but the first (by document id, then line number),
-so that one copy of what repeats stays in the corpus. Whole copies of a text count once.
+its first LEAD tokens, or all of them where there are fewer. The tokens after those are cut into
+SEGMENTS parts at most, of nearly equal length. A template is a leaf with some of its parts made
+variable: as many as leave ALIKE of the tokens fixed, two at most. A line so has a handful of
+templates, and two lines share one if they differ in those parts only. A template recurs if
+MIN_DOCS different texts hold lines of it. A line of LONG tokens or more recurs from two texts on
+if it stands there as it is, but for tokens with digits.
+
+A line is dropped if an earlier one (by document id, then line number) shares a recurring template
+with it. So the first line of whatever repeats stays in the corpus. Whole copies of a text count once.
+
+Everything is found by one pass over the lines and a fixed number of aggregations, whatever the
+leaves hold; no leaf or template is ever gathered in one task.
 """
 
 from __future__ import annotations
 
 import re
+import struct
+from itertools import combinations
 
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plenara.llm.common import checkpointed, give_back, table, without, written
+from plenara.llm.common import add_columns, give_back, table, without, written
 
-MIN_DOCS, LEAD, ALIKE, MIN_TOKENS = 3, 3, 0.75, 1
-#: Bits of the filter that spares most lines the exact test of their leaf; it is 2^20 rows of 64 bits at most.
-FILTER_BITS = 26
-#: Tasks over which the lines of one template are spread where they meet it.
-SALTS = 16
+MIN_DOCS, LEAD, ALIKE = 3, 3, 0.75
+SEGMENTS, VARIABLE = 8, 2
+#: Tokens from which a line that stands in two texts recurs.
+LONG = 50
+#: Bytes of text after which rows that were made of it are handed on.
+_HAND_ON = 1 << 20
 _DIGIT = re.compile(rb"[0-9]")
 
 
@@ -35,130 +42,153 @@ def _text_hash(text: str) -> Column:
     return F.xxhash64(F.col(text), F.length(text))
 
 
-def parsed(text: str) -> list[tuple[int, bytes, bytes]]:
-    """(number, masked line, its leaf's tokens) of each line of MIN_TOKENS tokens or more."""
-    out = []
+def _signed(data: bytes) -> int:
+    number = xxhash.xxh3_64_intdigest(data)
+    return number - (1 << 64) if number >> 63 else number
+
+
+def parsed(text: str) -> dict[bytes, tuple[list[bytes], list[int]]]:
+    """The masked lines of a text that have a token: the tokens of each and the numbers of the lines that it stands in."""
+    out: dict[bytes, tuple[list[bytes], list[int]]] = {}
     for no, line in enumerate(text.encode("utf-8", "replace").split(b"\n")):
         tokens = line.split()
-        if len(tokens) >= MIN_TOKENS:
+        if tokens:
             if _DIGIT.search(line):
                 tokens = [b"<*>" if _DIGIT.search(t) else t for t in tokens]
-            out.append((no, b" ".join(tokens), b"%d %s" % (len(tokens), b" ".join(tokens[:LEAD]))))
+            out.setdefault(b" ".join(tokens), (tokens, []))[1].append(no)
     return out
 
 
-def lines(docs: DataFrame, text: str = "text", whole: bool = True) -> DataFrame:
-    """(id, th, no, leaf, lh, masked) for the lines that `parsed` gives, or (th, leaf) without `whole`; th tells texts of one id apart."""
-    import pyarrow as pa
-    import xxhash
+def segments(tokens: list[bytes]) -> list[bytes]:
+    """The tokens after the leading ones in SEGMENTS parts, or in one part each if they are fewer."""
+    rest = tokens[LEAD:]
+    n = min(SEGMENTS, len(rest))
+    return [b" ".join(rest[len(rest) * i // n : len(rest) * (i + 1) // n]) for i in range(n)]
+
+
+def variable(n_tokens: int) -> int:
+    """How many parts of a line of so many tokens are variable in a template."""
+    parts = min(SEGMENTS, max(0, n_tokens - LEAD))
+    return min(parts, VARIABLE, int((1 - ALIKE) * n_tokens))
 
+
+def lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(id, th, n, leaf, lh, parts, nos): a row for each different masked line of each text; th tells texts of one id apart.
+
+    n is the number of tokens, leaf, lh and parts are hashes of the leaf, the line and its
+    parts, nos the numbers of the lines in the text. No row carries a text.
+    """
     docs = docs.where(F.col(text).isNotNull()).select("id", _text_hash(text).alias("th"), F.col(text).alias("text"))
-    schema = T.StructType([*(docs.schema.fields[:2] if whole else docs.schema.fields[1:2]), *T.DataType.fromDDL("no int, leaf long, lh long, masked string" if whole else "leaf long").fields])
+    schema = T.StructType([*docs.schema.fields[:2], *T.DataType.fromDDL("n int, leaf long, lh long, parts array<long>, nos array<int>").fields])
+
+    def made(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        where, *columns = zip(*rows, strict=True)
+        keys = batch.select([0, 1]).take(pa.array(where, pa.int64()))
+        typed = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True)]
+        return pa.RecordBatch.from_arrays([*keys.columns, *typed], names=schema.fieldNames())
 
     def run(batches):
-        number = lambda xs: pa.array([h - (1 << 64) if h >> 63 else h for h in map(xxhash.xxh3_64_intdigest, xs)], pa.int64())
-        for all_ in batches:
-            for at in range(0, all_.num_rows, 256):
-                batch = all_.slice(at, 256)
-                found = [(i, *x) for i, t in enumerate(batch.column(2).to_pylist()) for x in parsed(t)]
-                rows = batch.take(pa.array([x[0] for x in found], pa.int64()))
-                leaf = number([x[3] for x in found])
-                if whole:
-                    masked = [x[2] for x in found]
-                    columns = [rows.column(0), rows.column(1), pa.array([x[1] for x in found], pa.int32()), leaf, number(masked), pa.array([m.decode() for m in masked], pa.string())]
-                else:
-                    columns = [rows.column(1), leaf]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
-            all_ = batch = found = rows = leaf = columns = masked = None
+        for batch in batches:
+            rows, size = [], 0
+            for i in range(batch.num_rows):
+                text = batch.column(2)[i].as_py()
+                for masked, (tokens, nos) in parsed(text).items():
+                    leaf = b"%d %s" % (len(tokens), b" ".join(tokens[:LEAD]))
+                    rows.append((i, len(tokens), _signed(leaf), _signed(masked), [_signed(s) for s in segments(tokens)], nos))
+                size += len(text)
+                if rows and size >= _HAND_ON:
+                    yield made(batch, rows)
+                    rows, size = [], 0
+            if rows:
+                yield made(batch, rows)
+            batch = rows = text = tokens = None
             give_back()
 
     return docs.mapInArrow(run, schema)
 
 
-def _leaves(all_lines: DataFrame) -> DataFrame:
-    return all_lines.select("leaf", "th").distinct().groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= MIN_DOCS).select("leaf")
-
-
-def _maybe_in(some: DataFrame, leaves: DataFrame) -> DataFrame:
-    """The rows of `some` whose leaf may be in `leaves`, by a bit table of a fixed size; what passes wrongly is met by the exact join that follows."""
-    slot = F.pmod("leaf", F.lit(1 << FILTER_BITS))
-    bits = leaves.select(F.shiftright(slot, 6).alias("word"), F.pmod(slot, F.lit(64)).cast("int").alias("bit"))
-    words = bits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    probe = some.withColumn("word", F.shiftright(slot, 6))
-    hit = F.expr(f"(shiftright(bits, cast(pmod(pmod(leaf, {1 << FILTER_BITS}L), 64) as int)) & 1L) = 1")
-    return probe.join(F.broadcast(words), "word").where(hit).drop("word", "bits")
-
-
-def recurring(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(id, th, no, template) for every line whose template recurs."""
-    leaves = checkpointed(_leaves(lines(docs, text, whole=False)))
-    found = written(_maybe_in(lines(docs, text), leaves).join(leaves, "leaf", "left_semi"))
-    forms = found.select("leaf", "lh", "th").distinct().groupBy("leaf", "lh").agg(F.count("*").alias("texts"))
-    forms = checkpointed(forms)
-    exact = forms.where(F.col("texts") >= MIN_DOCS).select("leaf", "lh", F.xxhash64(F.lit("line"), "leaf", "lh").alias("template"))
-    # what is left is generalised, with the leaf's exact templates as part of its pattern
-    varied = forms.where(F.col("texts") < MIN_DOCS).groupBy("leaf").agg(F.sum("texts").alias("sum"), F.count("*").alias("n")).where((F.col("sum") >= MIN_DOCS) & (F.col("n") > 1))
-    wanted = forms.where(F.col("texts") < MIN_DOCS).join(varied.select("leaf"), "leaf", "left_semi")
-    shown = found.groupBy("leaf", "lh").agg(F.first("masked").alias("masked"))
-    holders = written(found.select("leaf", "lh", "th").distinct().join(wanted.select("leaf", "lh"), ["leaf", "lh"], "left_semi"))
-    left = written(shown.join(wanted, ["leaf", "lh"]).select("leaf", "lh", "texts", F.transform(F.split("masked", " "), lambda t: F.xxhash64(t)).alias("tokens")))
-    templates, turn = exact, 0
-    while True:
-        turn += 1
-        counted = left.select("leaf", "texts", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("texts").alias("n"))
-        commonest = counted.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token"))["token"].alias("token"))
-        pattern = commonest.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("pattern"))
-        same = F.aggregate(F.zip_with("tokens", "pattern", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
-        met = checkpointed(left.join(pattern, "leaf").select("leaf", "lh", "texts", (same >= ALIKE * F.size("tokens")).alias("alike")))
-        again = met.where("alike").groupBy("leaf").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= MIN_DOCS).select("leaf")
-        again = checkpointed(again)
-        if again.isEmpty():
-            break
-        held = holders.join(met.where("alike").join(again, "leaf", "left_semi").select("leaf", "lh"), ["leaf", "lh"], "left_semi")
-        taken = held.select("leaf", "th").distinct().groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= MIN_DOCS).select("leaf")
-        templates = templates.unionByName(met.where("alike").join(checkpointed(taken), "leaf", "left_semi").select("leaf", "lh", F.xxhash64(F.lit(turn), "leaf").alias("template")))
-        left = checkpointed(left.join(again, "leaf", "left_semi").join(met.where("alike").select("leaf", "lh"), ["leaf", "lh"], "left_anti"))
-    return _salted(found.select("id", "th", "no", "leaf", "lh"), templates, ["leaf", "lh"]).select("id", "th", "no", "template")
-
-
-def _salted(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
-    """`many` joined with the rows of `few` by keys that `few` has once each; a key with very many rows is met in SALTS tasks."""
-    spread = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = many.withColumn("__salt", F.pmod(F.xxhash64("th", "no"), F.lit(SALTS)).cast("int"))
-    return dealt.join(spread, [*keys, "__salt"]).drop("__salt")
+def template_keys(n: int, leaf: int, lh: int, parts: list[int]) -> list[tuple[int, int]]:
+    """(key, number of texts from which it recurs) of a masked line's templates."""
+    out = []
+    for open_ in combinations(range(len(parts)), variable(n)):
+        fixed = [0 if i in open_ else x for i, x in enumerate(parts)]
+        out.append((_signed(struct.pack(f"<{len(parts) + 2}q", leaf, sum(1 << i for i in open_), *fixed)), MIN_DOCS))
+    if n >= LONG:
+        out.append((_signed(struct.pack("<q", lh)), 2))
+    return out
 
 
-def dropped_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(id, th, dropped): the numbers of each text's lines that go."""
-    hits = checkpointed(recurring(docs, text))
-    place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("i"), F.col("th").alias("t"), F.col("no").alias("n"))
-    first = hits.groupBy("template").agg(F.min(place).alias("first"))
-    gone = _salted(hits.withColumn("place", place), first, ["template"]).where("place <> first")
-    return gone.groupBy("id", "th").agg(F.collect_set("no").alias("dropped"))
+def _first_of_each(found: DataFrame) -> DataFrame:
+    """(leaf, lh, first): for each masked line with a recurring template, the earliest place of a line that shares one."""
+    place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("i"), F.col("th").alias("t"), F.array_min("nos").alias("n"))
+    texts = found.groupBy("leaf", "lh", "th").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("parts").alias("parts"))
+    forms = texts.groupBy("leaf", "lh").agg(F.count("*").alias("texts"), F.min("th").alias("low"), F.max("th").alias("high"), F.min("first").alias("first"), F.first("n").alias("n"), F.first("parts").alias("parts"))
 
+    def make():
+        return lambda *columns: [[[{"key": k, "need": m} for k, m in template_keys(*x)] for x in zip(*columns, strict=True)]]
 
-def without_recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", marks: bool = False) -> DataFrame:
+    keyed = add_columns(forms, ["n", "leaf", "lh", "parts"], "keys array<struct<key:long,need:int>>", make)
+    keyed = written(keyed.select("leaf", "lh", "texts", "low", "high", "first", F.explode("keys").alias("k")).select("leaf", "lh", "texts", "low", "high", "first", "k.key", "k.need"))
+    # the texts of a line that stands in fewer than three are the lowest and the highest
+    sure = (F.col("texts") >= MIN_DOCS).alias("sure")
+    each = keyed.select("key", "need", sure, "first", F.explode(F.array("low", "high")).alias("th"))
+    each = each.groupBy("key", "need", "th").agg(F.max("sure").alias("sure"), F.min("first").alias("first"))
+    counted = each.groupBy("key", "need").agg(F.max("sure").alias("sure"), F.count("*").alias("texts"), F.min("first").alias("first"))
+    recurring = written(counted.where(F.col("sure") | (F.col("texts") >= F.col("need"))).select("key", "need", "first"))
+    met = keyed.select("leaf", "lh", "key", "need").join(recurring, ["key", "need"])
+    return met.groupBy("leaf", "lh").agg(F.min("first").alias("first"))
+
+
+def dropped_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(id, th, dropped): the numbers of each text's lines that go."""
+    all_lines = written(lines(docs, text))
+    # a leaf that too few texts reach has no recurring template
+    reached = all_lines.select("leaf", "n", "th").distinct().groupBy("leaf", "n").agg(F.count("*").alias("texts"))
+    leaves = written(reached.where(F.col("texts") >= F.when(F.col("n") >= LONG, F.lit(2)).otherwise(F.lit(MIN_DOCS))).select("leaf"))
+    found = written(all_lines.join(leaves, "leaf", "left_semi"))
+    first = written(_first_of_each(found))
+    met = found.select("id", "th", "leaf", "lh", "nos").join(first, ["leaf", "lh"])
+    later = F.filter("nos", lambda no: F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("i"), F.col("th").alias("t"), no.alias("n")) > F.col("first"))
+    gone = met.select("id", "th", later.alias("nos")).where(F.size("nos") > 0)
+    return gone.groupBy("id", "th").agg(F.array_sort(F.flatten(F.collect_set("nos"))).alias("dropped"))
+
+
+def without_recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", marks: bool = False, most: float | None = None) -> DataFrame:
     """`docs` with the lines of recurring templates cut from the text, other columns unchanged.
 
     With `marks`, also n_lines, n_dropped (long) and dropped (line numbers from 0); existing
-    columns of these names are replaced then. A null text stays null with no lines, an empty
-    one has one line; blank lines always stay. Of two equal lines in one text the
-    later one goes if their template recurs. Repeated rows (same id, same text) are one text
-    and keep the same lines; null ids come last in the order that decides which line is first.
+    columns of these names are replaced then. With `most`, a text that would lose more than this
+    share of its words stays whole: it is a copy of earlier texts, which near dedup decides on.
+    A null text stays null with no lines, an empty one has one line; blank lines always stay. Of
+    two equal lines in one text the later one goes if their template recurs. Repeated rows (same
+    id, same text) are one text and keep the same lines; null ids come last in the order that
+    decides which line is first. A text of any length is parsed line by line, and what leaves
+    the parse are hashes and line numbers.
     """
     docs = without(docs, ["n_lines", "n_dropped", "dropped"]) if marks else docs
     gone = dropped_lines(docs.select(F.col(id).alias("id"), F.col(text).alias(text)), text)
-    gone = gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("dropped").alias("__dropped"))
-    met = docs.join(gone, F.col(id).eqNullSafe(F.col("__id")) & (_text_hash(text) == F.col("__th")), "left")
-    parts = F.split(text, "\n", -1)
-    cut = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__dropped", i)), "\n")
-    new = F.when(F.col("__dropped").isNull(), F.col(text)).otherwise(cut)
-    columns = [new.alias(c) if c == text else F.col(c) for c in docs.columns]
+    gone = written(gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("dropped").alias("__dropped")))
+    met = docs.join(gone, F.col(id).eqNullSafe(F.col("__id")) & (_text_hash(text) == F.col("__th")), "left").drop("__id", "__th")
+
+    def cut(whole: str | None, numbers: list[int] | None) -> tuple:
+        if whole is None:
+            return None, 0, 0, []
+        if not numbers:
+            return whole, whole.count("\n") + 1, 0, []
+        parts, off = whole.split("\n"), set(numbers)
+        if most is not None and sum(len(parts[k].split()) for k in off) > most * len(whole.split()):
+            return whole, len(parts), 0, []
+        return "\n".join(p for k, p in enumerate(parts) if k not in off), len(parts), len(off), sorted(off)
+
+    def make():
+        return lambda texts, numbers: [list(c) for c in zip(*map(cut, texts, numbers), strict=True)] or [[], [], [], []]
+
+    names = ["__text", "__n_lines", "__n_dropped", "__numbers"]
+    done = add_columns(met, [text, "__dropped"], "__text string, __n_lines long, __n_dropped long, __numbers array<int>", make)
+    columns = [F.col("__text").alias(c) if c == text else F.col(c) for c in docs.columns]
     if marks:
-        none = F.array().cast("array<int>")
-        listed = F.coalesce(F.array_sort("__dropped"), none)
-        columns += [F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.size(listed).cast("long").alias("n_dropped"), listed.alias("dropped")]
-    return met.select(*columns)
+        columns += [F.col(n).alias(c) for n, c in zip(names[1:], ["n_lines", "n_dropped", "dropped"], strict=True)]
+    return done.select(*columns)
 
 
 def op7_line_templates(spark, sf_dir: str) -> DataFrame:
