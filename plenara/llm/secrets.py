@@ -1,13 +1,16 @@
 """Secret scan with a worklist that unwraps encoded layers.
 
-Every text is scanned as it stands. Then each layer is searched for encodings: percent escapes
-and backslash escapes turn the whole layer into one new layer; each base64 run, joined across line
-ends, into others: one for each of its four alignments that is text or leads on, as other signs of
-its alphabet may stand before it, and one for each place where gzip or zlib data begins. Bytes that
-aren't UTF-8 are replaced, not a reason to leave a run closed. New layers are scanned and unwrapped in turn until
-none is new; a layer already seen isn't entered again, unless it stands for another part of the
-original: the same run at two places is found at both. Each layer knows, for each of its code
-points, the part of the original text it stands for, so every find maps back to it.
+Every text is scanned as it stands. Then each layer is searched for encodings. Percent escapes,
+backslash escapes and character references turn the whole layer into new layers: one with each
+of these kinds unwrapped once, and one with all of them unwrapped until none is left, however
+deep they are nested, in one pass. Each base64 run, joined across line ends, gives others: one for
+each of its four alignments that leads on, as other signs of its alphabet may stand before it, as
+UTF-8 and, where it holds zero bytes, as UTF-16; and one for each place where gzip or zlib data
+begins. Bytes that aren't UTF-8 are replaced, not a reason to leave a run closed. New layers are
+scanned and unwrapped in turn until none is new; a layer already seen isn't entered again, unless
+it stands for another part of the original: the same run at two places is found at both. Each
+layer knows, for each of its code points, the part of the original text it stands for, so every
+find maps back to it.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -30,17 +34,22 @@ UNPACK_BYTES = 16 << 20
 #: Bytes that parts overlap by at least; a coded run that goes on beyond a part begins the next one, up to half a part.
 OVERLAP = 1 << 16
 _STEP = 1 << 16
+#: Letters of a base64 run at least: fewer hold eleven bytes at most, and no find is shorter than sixteen signs.
 SHORTEST_RUN = 16
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
+_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\})+")
+_REFERENCE = re.compile(r"(?:&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:amp|lt|gt|quot|apos);)+")
+#: The named references that every HTML and XML text knows.
+_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
 _BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{SHORTEST_RUN},}}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={{0,2}}")
 #: How gzip and zlib data begin in base64.
 _PACKED = re.compile(r"H4sI|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]")
-_CODED = re.compile(rf"{_PERCENT.pattern}|{_ESCAPE.pattern}|{_BASE64.pattern}")
+_TEXTUAL = re.compile(rf"{_PERCENT.pattern}|{_ESCAPE.pattern}|{_REFERENCE.pattern}")
+_CODED = re.compile(rf"{_TEXTUAL.pattern}|{_BASE64.pattern}")
 _ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\\\r\n"
 
 
@@ -54,10 +63,10 @@ def finds(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A text and, for each of its code points, the start and end of what it stands for in the original."""
+    """A text and, for each of its code points, the start and end of what it stands for in the original; `plain` if escapes in it are left to others."""
 
-    def __init__(self, text: str, start: np.ndarray, end: np.ndarray) -> None:
-        self.text, self.start, self.end = text, start, end
+    def __init__(self, text: str, start: np.ndarray, end: np.ndarray, plain: bool = False) -> None:
+        self.text, self.start, self.end, self.plain = text, start, end, plain
 
     def original(self, a: int, b: int) -> tuple[int, int]:
         return int(self.start[a:b].min()), int(self.end[a:b].max())
@@ -72,17 +81,28 @@ class Layer:
             at = b
         if not texts:
             return None
-        return Layer("".join([*texts, self.text[at:]]), np.concatenate([*starts, self.start[at:]]), np.concatenate([*ends, self.end[at:]]))
+        return Layer("".join([*texts, self.text[at:]]), np.concatenate([*starts, self.start[at:]]), np.concatenate([*ends, self.end[at:]]), plain=True)
 
 
-def _characters(data: bytes, unit: int, base: int) -> tuple[str, np.ndarray, np.ndarray]:
-    """UTF-8 bytes that stand `unit` code points apart, as text with the span of each code point; in other bytes each one beyond ASCII is replaced."""
+def _decoded_utf8(data: bytes) -> tuple[str, np.ndarray]:
+    """What is valid UTF-8 as text, each other byte as U+FFFD, and the number of bytes of each code point."""
     try:
         text = data.decode()
-        size = np.array([len(c.encode()) for c in text], np.int64)
+        if len(text) == len(data):
+            return text, np.ones(len(text), np.int64)
     except UnicodeDecodeError:
-        text = data.decode("ascii", "replace")
-        size = np.ones(len(text), np.int64)
+        text = data.decode("utf-8", "surrogateescape")
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    odd = (code >= 0xDC80) & (code <= 0xDCFF)
+    size = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+    if odd.any():
+        text = np.where(odd, np.uint32(0xFFFD), code).astype("<u4").tobytes().decode("utf-32-le")
+    return text, np.where(odd, 1, size).astype(np.int64)
+
+
+def _characters(data: bytes, unit: int, base: int) -> tuple[str, np.ndarray, np.ndarray]:
+    """UTF-8 bytes that stand `unit` code points apart, as text with the span of each code point."""
+    text, size = _decoded_utf8(data)
     ends = np.cumsum(size)
     return text, base + (ends - size) * unit, base + ends * unit
 
@@ -94,24 +114,119 @@ def _percent(layer: Layer) -> Layer | None:
     return layer.replaced(runs)
 
 
-def _escapes(layer: Layer) -> Layer | None:
+def _sign(code: int) -> str:
+    return chr(code) if code < 0xD800 or 0xE000 <= code < 0x110000 else "\ufffd"
+
+
+def _one_by_one(layer: Layer, run: re.Pattern, one: re.Pattern, value) -> Layer | None:
+    """The layer with each run of escapes unwrapped; `value` gives the code of a match of one escape."""
     runs = []
-    for m in _ESCAPE.finditer(layer.text):
-        new, low, high, at = [], [], [], m.start()
-        for u in re.finditer(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})", m[0]):
-            code = int(u[1] or u[2], 16)
-            if new and 0xDC00 <= code < 0xE000 and 0xD800 <= ord(new[-1]) < 0xDC00:
-                new[-1] = chr(0x10000 + ((ord(new[-1]) - 0xD800) << 10) + code - 0xDC00)
+    for m in run.finditer(layer.text):
+        codes, low, high, at = [], [], [], m.start()
+        for u in one.finditer(m[0]):
+            code = value(u)
+            if codes and 0xDC00 <= code < 0xE000 and 0xD800 <= codes[-1] < 0xDC00:
+                codes[-1] = 0x10000 + ((codes[-1] - 0xD800) << 10) + code - 0xDC00
                 high[-1] = at + u.end()
                 continue
-            new.append(chr(code))
+            codes.append(code)
             low.append(at + u.start())
             high.append(at + u.end())
-        new = [c if not 0xD800 <= ord(c) < 0xE000 else "�" for c in new]
-        runs.append((m.start(), m.end(), "".join(new), np.array(low), np.array(high)))
+        runs.append((m.start(), m.end(), "".join(map(_sign, codes)), np.array(low), np.array(high)))
     return layer.replaced(runs)
 
 
+_ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uxU]([0-9A-Fa-f]+)")
+_BACKSLASHED = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}")
+_ONE_REFERENCE = re.compile(r"&(?:#([0-9]+)|#[xX]([0-9A-Fa-f]+)|([a-z]+));")
+
+
+def _escapes(layer: Layer) -> Layer | None:
+    def value(u: re.Match) -> int:
+        m = _ONE_ESCAPE.fullmatch(u[0])
+        return int(m[1] or m[2], 16)
+
+    return _one_by_one(layer, _ESCAPE, _BACKSLASHED, value)
+
+
+def _reference(m: re.Match) -> int:
+    return int(m[1]) if m[1] else int(m[2], 16) if m[2] else ord(_NAMED.get(m[3], "\ufffd"))
+
+
+def _references(layer: Layer) -> Layer | None:
+    return _one_by_one(layer, _REFERENCE, _ONE_REFERENCE, _reference)
+
+
+_HEX_DIGITS = frozenset(b"0123456789abcdefABCDEF")
+
+
+def _hex(held: bytearray, digits: int) -> int | None:
+    """The value of the last digits held, if they are hexadecimal."""
+    part = held[len(held) - digits :]
+    return int(part, 16) if len(part) == digits and _HEX_DIGITS.issuperset(part) else None
+
+
+def _closed(held: bytearray) -> tuple[int, int, bool] | None:
+    """(length, value, whether it is a byte) of the escape that the bytes held end with, if they do."""
+    last = held[-1]
+    if last in _HEX_DIGITS:
+        for mark, digits in ((b"%", 2), (b"\\x", 2), (b"\\u", 4), (b"\\U", 8)):
+            length = len(mark) + digits
+            if held[-length : -digits or None] == mark and len(held) >= length and (value := _hex(held, digits)) is not None:
+                return length, value, mark == b"%"
+    elif last == 125:
+        at = held.rfind(b"\\u{", max(0, len(held) - 10))
+        if at >= 0 and (m := _ONE_ESCAPE.fullmatch(held[at:].decode("latin-1"))):
+            return len(held) - at, int(m[1], 16), False
+    elif last == 59:
+        at = held.rfind(b"&", max(0, len(held) - 10))
+        if at >= 0 and _REFERENCE.fullmatch(said := held[at:].decode("latin-1")):
+            return len(held) - at, _reference(_ONE_REFERENCE.fullmatch(said)), False
+    return None
+
+
+def _settled(layer: Layer) -> Layer:
+    """The layer with all textual escapes unwrapped until none is left, in one pass.
+
+    Bytes are held on a stack; an escape that its last byte closes gives way to what it stands
+    for, which may close or open another. What an escape gives is never longer than the escape,
+    so the pass is linear however deep escapes are nested.
+    """
+    held, low, high = bytearray(), array("q"), array("q")
+    for i, sign in enumerate(layer.text):
+        for byte in sign.encode("utf-8", "replace"):
+            held.append(byte)
+            low.append(i)
+            high.append(i + 1)
+        while held[-1] in _CLOSERS and (found := _closed(held)):
+            length, value, is_byte = found
+            start = low[-length]
+            del held[-length:], low[-length:], high[-length:]
+            if not is_byte and 0xDC00 <= value < 0xE000 and 0xD800 <= (first := _high(held)) < 0xDC00:
+                start = low[-3]
+                del held[-3:], low[-3:], high[-3:]
+                value = 0x10000 + ((first - 0xD800) << 10) + value - 0xDC00
+            new = bytes([value]) if is_byte else chr(min(value, 0x10FFFF)).encode("utf-8", "surrogatepass")
+            held += new
+            low.extend([start] * len(new))
+            high.extend([i + 1] * len(new))
+    text, size = _decoded_utf8(bytes(held))
+    ends = np.cumsum(size)
+    firsts, lasts = np.array(low, np.int64)[ends - size], np.array(high, np.int64)[ends - 1]
+    return Layer(text, layer.start[firsts], layer.end[lasts - 1], plain=True)
+
+
+_CLOSERS = _HEX_DIGITS | {59, 125}
+
+
+def _high(held: bytearray) -> int:
+    """The code point that the last three bytes held are, or 0."""
+    try:
+        return ord(bytes(held[-3:]).decode("utf-8", "surrogatepass"))
+    except (UnicodeDecodeError, TypeError):
+        return 0
+
+
 def _packed(data: bytes) -> bool:
     return data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0
 
@@ -164,8 +279,19 @@ def _pieces(parts, limit: int):
     yield bytes(held)
 
 
-def _readable(text: str) -> bool:
-    return bool(text) and all(c.isprintable() or c in "\t\n\r" for c in text)
+def _texts(data: bytes):
+    """(text, first and last byte of each code point): as UTF-8, and as UTF-16 at both places a unit may begin if there are zero bytes."""
+    yield _characters(data, 1, 0)
+    if b"\0" in data:
+        for phase in (0, 1):
+            part = data[phase:] + b"\0" * ((len(data) - phase) % 2)
+            text = "".join(map(_sign, np.frombuffer(part, "<u2").tolist()))
+            at = phase + 2 * np.arange(len(text), dtype=np.int64)
+            yield text, at, np.minimum(at + 2, len(data))
+
+
+def _leads_on(text: str) -> bool:
+    return bool(text) and bool(finds(text) or _CODED.search(text))
 
 
 def _base64(layer: Layer, limit: int):
@@ -180,13 +306,15 @@ def _base64(layer: Layer, limit: int):
             for k, piece in enumerate(_pieces(_unpacked(_decoded(body[p.start() :])), limit)):
                 if k == 1:
                     yield True
-                text = piece.decode("utf-8", "replace")
-                yield Layer(text, np.broadcast_to(a, len(text)), np.broadcast_to(b, len(text)))
+                for text, _, _ in _texts(piece):
+                    if _leads_on(text):
+                        yield Layer(text, np.broadcast_to(a, len(text)), np.broadcast_to(b, len(text)))
         for off in range(4):
-            text, low, high = _characters(_decoded(body[off:]), 1, 0)
-            if text and (off == 0 and _readable(text) or finds(text) or _CODED.search(text)):
-                at = where[off:]
-                yield Layer(text, layer.start[at[low // 3 * 4 + low % 3]], layer.end[at[np.minimum((high - 1) // 3 * 4 + (high - 1) % 3 + 1, len(at) - 1)]])
+            for text, low, high in _texts(_decoded(body[off:])):
+                if _leads_on(text):
+                    at = where[off:]
+                    first, last = low // 3 * 4 + low % 3, np.minimum((high - 1) // 3 * 4 + (high - 1) % 3 + 1, len(at) - 1)
+                    yield Layer(text, layer.start[at[first]], layer.end[at[last]])
 
 
 def _decoded(body: bytes) -> bytes:
@@ -198,8 +326,7 @@ def _decoded(body: bytes) -> bytes:
 def scan(text: str, limit: int = UNPACK_BYTES) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
     """Open finds; all finds with those of unwrapped layers; the number of layers; runs that unpack to more than `limit` bytes."""
     base = finds(text)
-    coded = "%" in text or "\\" in text
-    if not coded and not _BASE64.search(text):
+    if not _CODED.search(text):
         return base, base, 1, 0
     whole = np.arange(len(text))
     work, seen, found, closed = [iter([Layer(text, whole, whole + 1)])], set(), set(base), 0
@@ -222,7 +349,11 @@ def scan(text: str, limit: int = UNPACK_BYTES) -> tuple[list[tuple[int, int, int
 
 def _inside(layer: Layer, limit: int):
     """What a layer's encodings hold, one after the other."""
-    yield from (x for x in (_percent(layer), _escapes(layer)) if x)
+    if not layer.plain and _TEXTUAL.search(layer.text):
+        once = [x for x in (_percent(layer), _escapes(layer), _references(layer)) if x]
+        yield from once
+        if len(once) > 1 or _TEXTUAL.search(once[0].text):
+            yield _settled(layer)
     yield from _base64(layer, limit)
 
 
@@ -235,7 +366,8 @@ def find_secrets(docs: DataFrame, text: str = "text", limit: int = UNPACK_BYTES)
     `base` has what stands openly, `spans` that and what unwrapped layers hold. Null and empty
     texts have neither; repeated rows are scanned each for itself; a text's finds at one place
     are listed once a kind. A compressed run that unpacks to more than `limit` bytes is scanned in
-    overlapping parts and counted in `oversize`. Existing columns of these names are replaced.
+    overlapping parts and counted in `oversize`. Time and memory follow the length of a text, not how
+    deep escapes in it are nested. Existing columns of these names are replaced.
     """
 
     def make():

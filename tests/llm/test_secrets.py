@@ -2,6 +2,8 @@ import base64
 import gzip
 import hashlib
 import re
+import resource
+import time
 import urllib.parse
 import zlib
 
@@ -58,7 +60,7 @@ def test_nested_layers_end_and_bombs_stay_closed():
     inner = base64.b64encode(gzip.compress(base64.b64encode(f"token={'q' * 20}".encode()))).decode()
     outer = urllib.parse.quote(inner, safe="").replace("H", "%48")
     assert unwrapped(f"x {outer} y")
-    assert secrets.scan("%2525252525")[2] == 6
+    assert secrets.scan("%2525252525")[2] == 3  # as it is, unwrapped once, and to the end
     bomb = base64.b64encode(zlib.compress(b"0" * 50_000)).decode()
     assert secrets.scan(bomb, limit=10_000)[3] == 1
 
@@ -98,3 +100,46 @@ def test_large_streams_are_scanned_in_parts():
         assert not base and len(spans) == 1 and oversize == 1, at
     last = zlib.compress(b"- " * 3_000_000 + KEY.encode())
     assert len(secrets.scan(base64.b64encode(last).decode(), limit=1_000_000)[1]) == 1
+
+
+def test_bytes_that_are_not_text_and_other_forms():
+    whole = f"my key is {KEY} and that is all"
+    percent = "".join(f"%{c:02x}" for c in whole.encode())
+    cases = [percent[:15] + "%FF" + percent[15:] + "%FF%C3", base64.b64encode((whole + "\x01").encode()).decode()]
+    cases += [base64.b64encode(whole.encode(code)).decode() for code in ("utf-16-le", "utf-16-be", "utf-16")]
+    cases += [KEY.replace("A", x, 1) for x in ("&#x41;", "&#65;", "\\U00000041", "\\u{41}", "&amp;#x41;", "%26%23x41;", "\\u0025\\u00341", "%5Cu0041")]
+    cases += [base64.b64encode(("\u00e9" + KEY).encode()).decode() + "=="]
+    for text in cases:
+        found = unwrapped(f"see {text} there")
+        assert found and all(x in text for x in found), text
+
+
+def nested(text):
+    """The text with every escape unwrapped, one level after the other."""
+    one = re.compile(r"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|&#x([0-9A-Fa-f]{1,6});")
+    while (new := one.sub(lambda m: chr(int(next(filter(None, m.groups())), 16)), text)) != text:
+        text = new
+    return text
+
+
+def test_settled_layers_equal_level_after_level():
+    import random
+
+    rnd = random.Random(6)
+    for _ in range(300):
+        text = "".join(rnd.choice("aB4/ ") for _ in range(rnd.randrange(3, 12)))
+        for _ in range(rnd.randrange(1, 6)):
+            form = rnd.choice(["%{:02x}", "\\x{:02X}", "\\u{:04x}", "&#x{:x};"])
+            text = "".join(form.format(ord(c)) if rnd.random() < 0.5 and ord(c) < 128 else c for c in text)
+        layer = secrets._settled(secrets.Layer(text, *(secrets.np.arange(len(text)) + k for k in (0, 1))))
+        assert layer.text == nested(text)
+        assert len(layer.start) == len(layer.end) == len(layer.text)
+
+
+def test_deep_nesting_on_long_texts_takes_linear_time():
+    deep = [f"%{'25' * 500_000}41KIA{KEY[4:]}", "\\u005c" + "u005c" * 200_000 + "u0041" + KEY[1:], "&" + "amp;" * 250_000 + "#x41;" + KEY[1:], "%5Cu0025" + "5Cu0025" * 100_000 + "41" + KEY[1:]]
+    for text in deep:
+        started = time.process_time()
+        assert unwrapped(f"see {text} there"), text[:40]
+        assert time.process_time() - started < 30
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 2_000_000
