@@ -1,5 +1,8 @@
 import hashlib
+import os
 import random
+import subprocess
+import sys
 
 from plenara.llm import decontam
 
@@ -42,7 +45,10 @@ def test_equals_brute_force_in_one_block_and_in_several(spark):
     docs = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], DOCS)
     bench = spark.createDataFrame(items, ITEMS)
     want = brute(texts, items)
-    for block in (1 << 20, 300):
+    parts = decontam.pieces(bench.selectExpr("string(item_id) AS id", "text AS t").where("t is not null"), 10, 5)
+    dealt = [r[0] for b in decontam.blocks(parts, 12_000) for r in b.agg({"weight": "sum"}).collect()]
+    assert 2 < len(dealt) and max(dealt) <= 12_000 and sum(dealt) == parts.agg({"weight": "sum"}).first()[0]
+    for block in (1 << 30, 12_000):
         rows = {r.doc_id: r for r in decontam.contaminated_words(docs, bench, block_bytes=block).collect()}
         got = [(rows[i].n_words, sum(h["last"] - h["first"] + 1 for h in rows[i]["hits"]), rows[i]["items"]) for i in range(len(texts))]
         assert got == want
@@ -62,3 +68,21 @@ def test_stage_and_empty_tables(spark, tmp_path):
     spark.createDataFrame([], ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
     rows = decontam.op8_benchmark_decontamination(spark, str(tmp_path)).collect()
     assert len(rows) == 3 and not any(r.contaminated for r in rows) and {r.items_sha256 for r in rows} == {hashlib.sha256(b"").hexdigest()}
+
+
+def test_an_automaton_takes_what_it_is_weighed_at():
+    rnd = random.Random(3)
+    text = " ".join(f"w{rnd.randrange(30_000)}" for _ in range(60_000))
+    code = f"""
+import resource, random
+from plenara.llm import decontam
+rss = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
+rnd = random.Random(3)
+text = " ".join(f"w{{rnd.randrange(30_000)}}" for _ in range(60_000))
+before = rss()
+made = decontam.Windows([("1", text)], 10)
+print(rss() - before, made.scan(text)[0])
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ).stdout.split(" ", 1)
+    assert int(out[0]) < 1.2 * 10 * decontam._NODE * len(text.split())
+    assert out[1].strip() == "[(0, 59999)]"
