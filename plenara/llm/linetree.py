@@ -33,6 +33,8 @@ MIN_DOCS, LEAD, ALIKE = 3, 3, 0.75
 SEGMENTS, VARIABLE = 8, 2
 #: Tokens from which a line that stands in two texts recurs.
 LONG = 50
+#: Leaves up to which their table (8 bytes each) is sent to all executors; more are met by a join.
+SENT_LEAVES = 1 << 20
 #: Bytes of text after which rows that were made of it are handed on.
 _HAND_ON = 1 << 20
 _DIGIT = re.compile(rb"[0-9]")
@@ -118,11 +120,32 @@ def template_keys(n: int, leaf: int, lh: int, parts: list[int]) -> list[tuple[in
     return out
 
 
+def group_keys(n: int, leaf: int, parts: list[int]) -> list[int]:
+    """Keys of the parts cut into one group more than may be variable: lines that share a template share a group."""
+    groups, size = variable(n) + 1, len(parts)
+    cut = [parts[size * g // groups : size * (g + 1) // groups] for g in range(groups)]
+    return [_signed(struct.pack(f"<{len(c) + 2}q", leaf, g, *c)) for g, c in enumerate(cut)]
+
+
+def _with_company(forms: DataFrame) -> DataFrame:
+    """The masked lines that share a group of parts with enough texts' lines; the others have no recurring template."""
+
+    def make():
+        return lambda *columns: [[group_keys(*x) for x in zip(*columns, strict=True)]]
+
+    grouped = add_columns(forms.select("leaf", "lh", "n", "texts", "parts"), ["n", "leaf", "parts"], "groups array<long>", make)
+    grouped = grouped.select("leaf", "lh", "n", "texts", F.explode("groups").alias("group"))
+    enough = F.when(F.col("n") >= LONG, F.lit(2)).otherwise(F.lit(MIN_DOCS))
+    met = written(grouped.groupBy("group", "n").agg(F.sum("texts").alias("s")).where(F.col("s") >= enough).select("group"))
+    return forms.join(written(grouped.join(met, "group", "left_semi").select("leaf", "lh").distinct()), ["leaf", "lh"], "left_semi")
+
+
 def _first_of_each(found: DataFrame) -> DataFrame:
     """(leaf, lh, first): for each masked line with a recurring template, the earliest place of a line that shares one."""
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("i"), F.col("th").alias("t"), F.array_min("nos").alias("n"))
     texts = found.groupBy("leaf", "lh", "th").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("parts").alias("parts"))
     forms = texts.groupBy("leaf", "lh").agg(F.count("*").alias("texts"), F.min("th").alias("low"), F.max("th").alias("high"), F.min("first").alias("first"), F.first("n").alias("n"), F.first("parts").alias("parts"))
+    forms = _with_company(written(forms))
 
     def make():
         return lambda *columns: [[[{"key": k, "need": m} for k, m in template_keys(*x)] for x in zip(*columns, strict=True)]]
@@ -145,7 +168,8 @@ def dropped_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     # a leaf that too few texts reach has no recurring template
     reached = all_lines.select("leaf", "n", "th").distinct().groupBy("leaf", "n").agg(F.count("*").alias("texts"))
     leaves = written(reached.where(F.col("texts") >= F.when(F.col("n") >= LONG, F.lit(2)).otherwise(F.lit(MIN_DOCS))).select("leaf"))
-    found = written(all_lines.join(leaves, "leaf", "left_semi"))
+    sent = F.broadcast(leaves) if leaves.count() <= SENT_LEAVES else leaves
+    found = written(all_lines.join(sent, "leaf", "left_semi"))
     first = written(_first_of_each(found))
     met = found.select("id", "th", "leaf", "lh", "nos").join(first, ["leaf", "lh"])
     later = F.filter("nos", lambda no: F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("i"), F.col("th").alias("t"), no.alias("n")) > F.col("first"))
