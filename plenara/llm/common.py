@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import tempfile
@@ -19,33 +20,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the reliable checkpoint folder, with its lineage cut.
-
-    The folder is the one the cluster names in spark.checkpoint.dir; only a session without
-    that setting (tests, a single machine) gets a folder of its own.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+    """`df` written to the reliable checkpoint folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of this machine's where that is unset."""
+    """The folder that the driver and all executors share, which the cluster names in spark.checkpoint.dir.
+
+    Only where that setting is unset and all runs on this machine (tests) is it a folder of the
+    machine's own; executors elsewhere couldn't read what is written there.
+    """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="plenara-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="plenara-checkpoint-"))
+    return named.rstrip("/") if named else context._jsc.sc().getCheckpointDir().get()
+
+
+#: Folders of tables that `written` has made and nobody has released yet.
+_tables: dict[str, SparkSession] = {}
 
 
 def written(df: DataFrame) -> DataFrame:
-    """`df` written as a table in the shared folder and read again; unlike a checkpoint it is compressed and read by column."""
-    path = f"{shared_folder(df.sparkSession)}/plenara-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """`df` written as a table in the shared folder and read again; unlike a checkpoint it is compressed and read by column.
+
+    `release` deletes it as soon as no result needs it any more; what is left goes when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/plenara-{uuid.uuid4().hex}"
+    _tables[path] = spark
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.plenara_path = path
+    return out
+
+
+def tables() -> set[str]:
+    """The folders of all tables that are there."""
+    return set(_tables)
+
+
+def release(*gone: DataFrame | str) -> None:
+    """Delete tables that `written` has made, given as such or by their folders."""
+    for table_ in gone:
+        path = table_ if isinstance(table_, str) else table_.plenara_path
+        spark = _tables.pop(path, None)
+        if spark is not None:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@atexit.register
+def _release_all() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone, and its folders with it
+        release(*_tables)
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:
