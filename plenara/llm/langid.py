@@ -2,8 +2,10 @@
 
 The network reads UTF-8 bytes in windows, once in each direction. A unit keeps or renews its
 state through one gate, as in the light gated units of the literature; both states at a byte
-give that byte's language probabilities, and a document's are the mean over all its bytes. It
-is trained in numpy by backpropagation through time on a bounded sample of labelled documents.
+give that byte's language probabilities, and a document's are the mean over all its bytes. Windows
+overlap when texts are read: each of CORE bytes is read with MARGIN bytes on both sides, which warm
+the states up, so that no byte is labelled at the border of what the network sees. It is trained
+in numpy by backpropagation through time on a bounded sample of labelled documents.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ from pyspark.sql import functions as F
 
 from plenara.llm.common import add_columns, table
 
-#: Training sample: documents of each language at most, languages at most, code points taken of each document at most.
-PER_LANGUAGE, LANGUAGES, SAMPLE_CHARS = 400, 256, 1500
-WINDOW, STATE, PAD = 64, 8, 256
+#: Training sample (parameters of `fit`): documents of each language at most, code points taken of each document at most.
+PER_LANGUAGE, SAMPLE_CHARS = 400, 1500
+#: Bytes of a window in training; of a window's core and of each of its margins in reading.
+WINDOW, CORE, MARGIN = 64, 96, 16
+STATE, PAD = 8, 256
 STEPS, BATCH, RATE = 500, 256, 0.02
 BLOCK = 1024
 UNKNOWN = "und"
@@ -46,6 +50,16 @@ def windows_of(raw: bytes) -> np.ndarray:
     return out.reshape(n, WINDOW)
 
 
+def overlapping(raw: bytes) -> np.ndarray:
+    """The bytes in rows of MARGIN + CORE + MARGIN, each CORE further on; PAD stands before the first and after the last byte."""
+    n = -(-len(raw) // CORE)
+    out = np.full(max(1, n) * CORE + 2 * MARGIN, PAD, np.int16)
+    out[MARGIN : MARGIN + len(raw)] = np.frombuffer(raw, np.uint8)
+    if not n:
+        return out.reshape(1, -1)[:0]
+    return np.lib.stride_tricks.sliding_window_view(out, CORE + 2 * MARGIN)[::CORE]
+
+
 def _states(x: np.ndarray, table_: np.ndarray, recurrent: np.ndarray, keep: list | None = None) -> np.ndarray:
     """States after each byte of the windows x (rows), as (byte, window, unit). A pad leaves the state as it is."""
     n, size = x.shape[0], recurrent.shape[0]
@@ -154,14 +168,13 @@ def has_letter(text: str | None) -> bool:
 
 def pooled(raws: list[bytes], m: Model) -> np.ndarray:
     """Mean probabilities over all bytes of each text."""
-    count = np.array([-(-len(r) // WINDOW) for r in raws])
-    owner = np.repeat(np.arange(len(raws)), count)
-    x = windows_of(b"") if not raws else np.concatenate([windows_of(r) for r in raws])
+    owner = np.repeat(np.arange(len(raws)), [-(-len(r) // CORE) for r in raws])
+    x = np.concatenate([overlapping(r) for r in raws]) if raws else overlapping(b"")
     out = np.zeros((len(raws), len(m.languages)))
     for at in range(0, len(x), BLOCK):
         part = x[at : at + BLOCK]
-        y = position_probabilities(part, m)
-        y *= (part.T < PAD)[:, :, None]
+        y = position_probabilities(part, m)[MARGIN : MARGIN + CORE]
+        y *= (part.T[MARGIN : MARGIN + CORE] < PAD)[:, :, None]
         np.add.at(out, owner[at : at + BLOCK], y.sum(axis=0))
     return out / np.maximum(1, [len(r) for r in raws])[:, None]
 
@@ -193,11 +206,14 @@ def position_runs(docs: DataFrame, model: Model, text: str = "text") -> DataFram
     """`docs` plus `runs`, the label of every byte as runs (start, end, lang) over the UTF-8 text; none for null and empty texts."""
 
     def one(raw: bytes) -> list[dict]:
-        labels = np.concatenate([position_probabilities(windows_of(raw)[at : at + BLOCK], model).argmax(axis=2).T.ravel() for at in range(0, -(-len(raw) // WINDOW), BLOCK)])[: len(raw)]
+        x = overlapping(raw)
+        parts = [position_probabilities(x[at : at + BLOCK], model)[MARGIN : MARGIN + CORE] for at in range(0, len(x), BLOCK)]
+        labels = np.concatenate([p.argmax(axis=2).T.ravel() for p in parts])[: len(raw)]
         cuts = [0, *(np.flatnonzero(labels[1:] != labels[:-1]) + 1).tolist(), len(raw)]
         return [{"start": a, "end": b, "lang": model.languages[labels[a]]} for a, b in zip(cuts, cuts[1:])]  # noqa: B905
 
-    return add_columns(docs, [text], "runs array<struct<start:int,end:int,lang:string>>", lambda: lambda texts: [[one(t.encode("utf-8", "replace")) if t else [] for t in texts]])
+    make = lambda: lambda texts: [[one(t.encode("utf-8", "replace")) if t else [] for t in texts]]
+    return add_columns(docs, [text], "runs array<struct<start:int,end:int,lang:string>>", make)
 
 
 def held_out(id: str = "doc_id") -> Column:
@@ -205,23 +221,23 @@ def held_out(id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
+def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS) -> Model | None:
     """Train on a sample of the documents that aren't held out and have id, text and language.
 
-    The sample is bounded: of each of at most LANGUAGES languages (the most frequent) the
-    `per_language` documents with the lowest hash of their id, and of each at most SAMPLE_CHARS
-    code points from a place that the hash names.
+    The sample is bounded by its parameters: of each language the `per_language` documents with
+    the lowest hash of their id, and of each of these `sample_chars` code points at most, from a
+    place anywhere in the text that the hash names.
     """
     usable = docs.where(F.col(id).isNotNull() & F.col(lang).isNotNull() & ~held_out(id))
-    counts = usable.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
+    counts = usable.groupBy(lang).count().collect()
     if not counts:
         return None
     order = F.pmod(F.xxhash64(F.col(id)), F.lit(1 << 40)) / float(1 << 40)
     # so few of each language pass that ranking them is a small job, yet enough of them to rank
     share = F.create_map(*[x for r in counts for x in (F.lit(r[lang]), F.lit(min(1.0, (1.5 * per_language + 60) / r["count"])))])
     few = usable.where(order < share[F.col(lang)]).where(F.col(text).rlike("[A-Za-z\\x{80}-\\x{10FFFF}]"))
-    start = 1 + F.pmod(F.xxhash64(F.col(id), F.lit("place")), F.greatest(F.lit(1), F.length(text) - SAMPLE_CHARS + 1))
-    part = F.substring(F.col(text), start.cast("int"), F.lit(SAMPLE_CHARS))
+    start = 1 + F.pmod(F.xxhash64(F.col(id), F.lit("place")), F.greatest(F.lit(1), F.length(text) - sample_chars + 1))
+    part = F.substring(F.col(text), start.cast("int"), F.lit(sample_chars))
     ranked = few.select(F.col(lang).alias("lang"), part.alias("part"), order.alias("o")).withColumn("rank", F.expr("row_number() over (partition by lang order by o, part)"))
     rows = ranked.where(F.col("rank") <= per_language).select("lang", "part").collect()
     return train(sorted((r.lang, r.part) for r in rows))
