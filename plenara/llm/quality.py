@@ -124,17 +124,19 @@ def _best(x: np.ndarray, bad: np.ndarray, now: np.ndarray) -> tuple[float, Condi
     return best
 
 
-def learn(x: np.ndarray, bad: np.ndarray, aside: np.ndarray, precision: float = 0.9, least: int = 3, max_rules: int = 12, max_conditions: int = 4) -> list[Rule]:
+def learn(x: np.ndarray, bad: np.ndarray, aside: np.ndarray, precision: float = 0.9, least: int = 3) -> list[Rule]:
     """Rules that reject, in order. x: features; bad: rows to reject; aside: rows kept for pruning.
 
     A rule is taken if at least `least` of the rows it covers are bad and their share is
-    `precision` or more, both over all rows and over those kept aside (where it covers any).
+    `precision` or more, both over all rows and over those kept aside (where it covers any). What
+    a rule that isn't taken covers is set aside, and growing goes on with the other bad rows
+    until none is left.
     """
     rules: list[Rule] = []
-    left = np.ones(len(x), bool)
-    while len(rules) < max_rules and (left & ~aside & bad).sum() >= 1:
-        now, rule = left & ~aside, ()
-        while (now & ~bad).any() and len(rule) < max_conditions:
+    left, tried = np.ones(len(x), bool), np.zeros(len(x), bool)
+    while (left & ~aside & ~tried & bad).any():
+        now, rule = left & ~aside & ~(tried & bad), ()
+        while (now & ~bad).any():
             gain, condition = _best(x, bad, now)
             if condition is None:
                 break
@@ -151,7 +153,10 @@ def learn(x: np.ndarray, bad: np.ndarray, aside: np.ndarray, precision: float =
         p, n = (hit & bad).sum(), (hit & ~bad).sum()
         kept_p, kept_n = (hit & aside & bad).sum(), (hit & aside & ~bad).sum()
         if not rule or p < least or p < precision * (p + n) or kept_p < precision * (kept_p + kept_n):
-            break
+            if not rule:
+                break
+            tried |= hit
+            continue
         rules.append(rule)
         left &= ~hit
     return rules
@@ -173,13 +178,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, te
 
     Of the labelled ids, the `max_labelled` with the lowest hash are used, whatever the input's
     size; that sample is what is broadcast and what comes to the driver. Null ids and labels
-    are left out; of several labels of one id the lowest counts. Nothing to learn from, or
-    labels of one kind only, gives an empty list, which keeps all.
+    are left out; of several labels of one id the lowest counts, of several texts of one id that with
+    the lowest statistics. Nothing to learn from, or labels of one kind only, gives an empty list,
+    which keeps all.
     """
     sample = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("__quality"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     found = with_counts(docs.select("doc_id", F.col(text).alias("__text")).join(F.broadcast(sample), "doc_id"), "__text").where(~base_failed())
-    rows = found.select("doc_id", "__quality", F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(3)).alias("part"), *[c.alias(f"f_{k}") for k, c in feature_columns().items()]).collect()
+    # one row for each id, whatever number of rows repeat it
+    features = F.struct(*[c.alias(f"f_{k}") for k, c in feature_columns().items()])
+    least = found.groupBy("doc_id").agg(F.min("__quality").alias("__quality"), F.min(features).alias("f"))
+    rows = least.select("doc_id", "__quality", F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(3)).alias("part"), "f.*").collect()
     if not rows:
         return []
     rows.sort(key=lambda r: tuple(r))

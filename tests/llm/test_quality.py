@@ -50,6 +50,42 @@ def test_list_finds_planted_rules_and_ignores_noise():
     assert sum(quality.covers(r, x).sum() for r in noise) < 60
 
 
+def test_an_imprecise_rule_does_not_end_the_list():
+    """The best first condition covers as many good rows as bad ones; what it covers is set aside, and the sharp rule is found."""
+    rnd = np.random.default_rng(1)
+    x = rnd.random((1200, len(quality.FEATURES)))
+    sharp = x[:, 3] > 0.97
+    bad = sharp | (x[:, 1] > 0.6) & (rnd.random(1200) < 0.5)
+    said = np.zeros(1200, bool)
+    for r in quality.learn(x, bad, np.arange(1200) % 3 == 0):
+        said |= quality.covers(r, x)
+    assert (said & sharp).sum() >= 0.9 * sharp.sum() and (said & ~bad).sum() <= 0.1 * said.sum()
+
+
+def test_verdicts_on_whole_documents_equal_brute_force(spark):
+    """The learned list, rule by rule in Python, over every document of the smallest table."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for r in quality.op9_quality_rules(spark, "/root/testdata/sf0.001").collect():
+        text = texts[r.doc_id] or ""
+        words, chars, symbols, dup, repeated = brute(text)
+        lines = sum(bool(x.strip(" \t\n\x0b\x0c\r")) for x in text.split("\n"))
+        share = lambda a, b: a / b if b else 0.0
+        of = lambda pattern: share(len(re.findall(pattern, text)), chars)  # noqa: E731, B023
+        values = (words, share(symbols, chars), share(dup, lines), share(repeated, words), share(chars, words), of("[A-Z]"), of("[0-9]"), of("[!?]"))
+        hit = [k for k, rule in enumerate(rules) if all((values[quality.FEATURES.index(c.feature)] > c.threshold) == c.above for c in rule)]
+        failed = words < 50 or 2 * repeated > words
+        assert (r.base_failed, r.rule, r.kept) == (failed, hit[0] if hit else None, not failed and not hit)
+
+
+def test_repeated_ids_are_one_row_of_the_sample(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(i % 2, text + " #" * (i % 2 * 40)) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    assert quality.fit(docs, labels) == []  # two rows, too few for a rule
+
+
 def test_case_expression_is_the_list(spark):
     rules = [(quality.Condition("symbol_ratio", True, 0.1),), (quality.Condition("n_words", False, 60.0), quality.Condition("upper_ratio", True, 0.5))]
     docs = spark.createDataFrame([(1, "# " * 60), (2, "AB " * 20 + " ".join(f"C{i}D" for i in range(40))), (3, " ".join(f"w{i}" for i in range(70)))], "doc_id long, text string")
