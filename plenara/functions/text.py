@@ -7,6 +7,7 @@ IP addresses, which Spark has no function for and which run as Arrow UDFs.
 from __future__ import annotations
 
 import ipaddress
+import re
 import unicodedata
 
 import pandas as pd
@@ -38,6 +39,11 @@ def nfkc_plain_space(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else plain(t))
 
 
+def _where_needed(step, text: Column, plain: Column | None = None) -> Column:
+    """A Unicode step of texts that hold other signs than ASCII; of the others it is `plain` (the text as it is if not given), and they never leave the JVM."""
+    return F.coalesce(step(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text if plain is None else plain)
+
+
 def collapsed(text: Column) -> Column:
     """White space collapsed to single blanks, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
@@ -45,7 +51,7 @@ def collapsed(text: Column) -> Column:
 
 def contract_text(text: Column) -> Column:
     """The form in which submitted and published texts are compared: NFKC, case folded, white space collapsed."""
-    return collapsed(nfkc_casefold(text))
+    return collapsed(_where_needed(nfkc_casefold, text, F.lower(text)))
 
 
 def anchor_identity(text: Column) -> Column:
@@ -53,7 +59,7 @@ def anchor_identity(text: Column) -> Column:
 
 
 def question_fingerprint(text: Column) -> Column:
-    return nfc(text)
+    return _where_needed(nfc, text)
 
 
 def word_tokens(text: Column) -> Column:
@@ -67,7 +73,15 @@ def normalized_text(text: Column) -> Column:
 
 def contract_tokens(text: Column) -> Column:
     """Words and meaningful signs of a text after NFKC and case folding."""
-    return F.regexp_extract_all(nfkc_casefold(text), F.lit(CONTRACT_TOKEN), F.lit(0))
+    return F.regexp_extract_all(_where_needed(nfkc_casefold, text, F.lower(text)), F.lit(CONTRACT_TOKEN), F.lit(0))
+
+
+_TOKEN = re.compile(CONTRACT_TOKEN.removeprefix("(?U)"))
+
+
+def contract_tokens_of(text: str) -> list[str]:
+    """What contract_tokens gives, of a Python string."""
+    return _TOKEN.findall(unicodedata.normalize("NFKC", text).casefold())
 
 
 def sentences(text: Column) -> Column:
@@ -94,6 +108,14 @@ def is_yes_no_question(text: Column) -> Column:
     return F.coalesce((bare == text) & text.rlike(rf"^(?:{'|'.join(AUXILIARIES)}) [^?]+\?\z"), F.lit(False))
 
 
+_QUESTION = re.compile(rf"(?:{'|'.join(AUXILIARIES)}) [^?]+\?")
+
+
+def asks_yes_or_no(text: str) -> bool:
+    """What is_yes_no_question gives, of a Python string."""
+    return " ".join(text.split()) == text and _QUESTION.fullmatch(text) is not None
+
+
 def scenario_id(template: Column, seed: Column) -> Column:
     """template-, and the first 12 hex digits of SHA-256 of template:seed."""
     return F.concat(template, F.lit("-"), F.substring(F.sha2(F.concat(template, F.lit(":"), seed.cast("string")), 256), 1, 12))
@@ -147,14 +169,14 @@ def any_ip_address(candidates: pd.Series) -> pd.Series:
 
 def direct_identifier(text: Column, normalize: bool = True) -> Column:
     """The first category of direct identifier in a text, or null. `normalize` False skips the Unicode step, for text known to be plain."""
-    t = nfkc_plain_space(text) if normalize else text
+    t = _where_needed(nfkc_plain_space, F.translate(text, "\x1c\x1d\x1e\x1f", "    ")) if normalize else text
     out = None
     for label, pattern in IDENTIFIERS:
         out = F.when(t.rlike(pattern), F.lit(label)) if out is None else out.when(t.rlike(pattern), F.lit(label))
     numbers = F.regexp_extract_all(t, F.lit(_INTERNATIONAL), F.lit(0))
     out = out.when(F.exists(numbers, lambda n: F.length(F.regexp_replace(n, r"\D", "")) >= 8), F.lit("phone number"))
     addresses = F.concat(F.regexp_extract_all(t, F.lit(_IPV4), F.lit(0)), F.regexp_extract_all(t, F.lit(_IPV6), F.lit(0)))
-    return out.when(any_ip_address(addresses), F.lit("IP address"))
+    return out.when(F.coalesce(any_ip_address(F.when(F.size(addresses) > 0, addresses)), F.lit(False)), F.lit("IP address"))
 
 
 def hash60(*parts: Column) -> Column:

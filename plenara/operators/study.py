@@ -45,6 +45,23 @@ def pooled_skill(loss: Column, reference: Column) -> Column:
     return 1 - F.avg(loss) / F.when(r > 0, r).otherwise(F.raise_error(F.lit("the reference loss must be positive")))
 
 
+#: Digits of task values that count when they are averaged exactly.
+DIGITS = 4
+
+
+def exact_mean(value: str) -> Column:
+    """Aggregate: the mean of values of DIGITS digits, rounded half away from zero to two digits more.
+
+    Sums of doubles depend on their order, and a mean that lies between two numbers of six digits
+    may then be rounded either way. Here all is integer arithmetic until the last division.
+    """
+    units = F.sum(F.round(F.col(value) * 10**DIGITS).cast("decimal(28,0)"))
+    n = F.count(value).cast("decimal(20,0)")
+    twice = F.abs(units).cast("decimal(34,0)") * 200
+    whole = F.floor((twice + n) / (2 * n))
+    return F.signum(units.cast("double")) * whole.cast("double") / 10 ** (DIGITS + 2)
+
+
 def draws(tasks: DataFrame, samples: int, seed: int, stratum: str = "stratum", task: str = "task", cluster: str | None = None) -> DataFrame:
     """(stratum, sample, task, times): how often each sample draws each task.
 
@@ -129,7 +146,7 @@ def pairwise(values: DataFrame, drawn: DataFrame, samples: int, seed: int, clust
     keys = ("stratum", "model_a", "model_b")
     pairs = ranked_pairs(values)
     diffs = paired_differences(values, pairs, extra=(cluster,) if cluster else ())
-    means = diffs.groupBy(*keys).agg(F.avg("difference").alias("mean_difference"))
+    means = diffs.groupBy(*keys).agg(exact_mean("difference").alias("mean_difference"))
     renamed = diffs.withColumnRenamed("difference", "value")
     ci = intervals(bootstrap_means(renamed, drawn, keys), keys)
     out = means.join(ci, list(keys)).join(sign_flip_p(diffs, samples, seed, keys, cluster or "task"), list(keys))
@@ -151,7 +168,7 @@ def ablations(values: DataFrame, drawn: DataFrame, full: str = "full") -> DataFr
     b = values.where(F.col("prompt_mode") != full).select(*keys, "prompt_mode", "task", F.col("value").alias("other"))
     diffs = a.join(b, [*keys, "task"]).withColumn("value", F.col("full") - F.col("other"))
     out = (*keys, "prompt_mode")
-    means = diffs.groupBy(*out).agg(F.avg("value").alias("mean_difference"), F.count("*").alias("tasks"))
+    means = diffs.groupBy(*out).agg(exact_mean("value").alias("mean_difference"), F.count("*").alias("tasks"))
     return means.join(intervals(bootstrap_means(diffs.select(*out, "task", "value"), drawn, out), out), list(out))
 
 

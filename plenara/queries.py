@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plenara import answer_queries
 from plenara.functions import text as X
 from plenara.functions import votes as V
 from plenara.operators import audit, contract, forecast, matching, matrix, spans, study, validate, views
@@ -258,17 +259,6 @@ def forecast_contract(spark, sf_dir):
     return out.select("task", "ok", *[_r(c).alias(c) for c in ("probability_reward", "vote_accuracy", "brier")])
 
 
-@_query("SELECT event_id, event_id % 4 = 0 AS strict FROM events")
-def json_contract(spark, sf_dir):
-    """Strictness of small objects made of every event's props: as they are, with a repeated key, with NaN, with something after."""
-    from plenara.functions.strict_json import is_strict_flat_object
-
-    e, k = _table(spark, sf_dir, "events"), F.col("event_id") % 4
-    bare = F.expr("substring(props, 1, length(props) - 1)")
-    text = F.when(k == 0, F.col("props")).when(k == 1, F.concat(bare, F.lit(', "k": 1}'))).when(k == 2, F.concat(bare, F.lit(', "x": NaN}'))).otherwise(F.concat("props", F.lit(" x")))
-    return e.select("event_id", is_strict_flat_object(text).alias("strict"))
-
-
 @_query("SELECT conv_id, coalesce(max_by(text, turn) FILTER (WHERE role = 'assistant' AND text IS NOT NULL), '') AS text FROM conversations GROUP BY conv_id")
 def last_assistant(spark, sf_dir):
     return contract.last_answers(_table(spark, sf_dir, "conversations"))
@@ -339,21 +329,21 @@ def tfidf_item_cosines(spark, sf_dir):
     return pairs.groupBy(F.col("a").alias("item_id")).agg(_r(F.max("cosine")).alias("cosine"))
 
 
-LEAD = 6
+RUN = 6
 
 
 def _quoted(spark, sf_dir) -> DataFrame:
-    """Benchmark items with the documents in which their first words stand, met by a join on those words."""
+    """Benchmark items with the documents that share any run of RUN words with them, or a shorter item's whole."""
     tokens = lambda name, id: _table(spark, sf_dir, name).select(id, X.word_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    items = tokens("benchmark", "item_id").where(F.size("tokens") >= LEAD).select("item_id", F.col("tokens").alias("quote"), F.array_join(F.slice("tokens", 1, LEAD), " ").alias("lead"))
-    docs = tokens("documents", "doc_id").where(F.size("tokens") >= LEAD)
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("tokens") - LEAD + 1), lambda i: F.array_join(F.slice("tokens", i, LEAD), " ")))
-    leads = docs.select("doc_id", F.explode(runs).alias("lead")).join(items.drop("quote"), "lead")
-    return leads.select("item_id", "doc_id").join(items.drop("lead"), "item_id").join(docs, "doc_id")
+    items, docs = tokens("benchmark", "item_id"), tokens("documents", "doc_id")
+    met = spans.met_by_runs(items, docs, "item_id", "doc_id", RUN)
+    return met.join(items.withColumnRenamed("tokens", "quote"), "item_id").join(docs, "doc_id")
 
 
 _QUOTED = f"""WITH i AS (SELECT item_id, {TOKENS} AS q FROM benchmark), d AS (SELECT doc_id, {TOKENS} AS t FROM documents),
-m AS (SELECT item_id, doc_id, q, t FROM i JOIN d ON len(q) >= {LEAD} AND contains(' ' || array_to_string(t, ' ') || ' ', ' ' || array_to_string(q[1:{LEAD}], ' ') || ' '))"""
+ir AS (SELECT DISTINCT item_id, n, array_to_string(q[k:k + n - 1], ' ') AS run FROM (SELECT item_id, q, least({RUN}, len(q)) AS n, unnest(range(1, len(q) - least({RUN}, len(q)) + 2)) AS k FROM i WHERE len(q) > 0)),
+dr AS (SELECT DISTINCT doc_id, n, array_to_string(t[k:k + n - 1], ' ') AS run FROM (SELECT doc_id, t, n, unnest(range(1, len(t) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM ir) WHERE len(t) >= n)),
+m AS (SELECT i.item_id, d.doc_id, q, t FROM (SELECT DISTINCT item_id, doc_id FROM ir JOIN dr USING (n, run)) JOIN i USING (item_id) JOIN d USING (doc_id))"""
 
 
 @_query(_QUOTED + " SELECT item_id, doc_id, contains(' ' || array_to_string(t, ' ') || ' ', ' ' || array_to_string(q, ' ') || ' ') AS contiguous FROM m")
@@ -371,9 +361,28 @@ def lcs_span(spark, sf_dir):
     return out.select("item_id", "doc_id", "span", *[_r(c).alias(c) for c in ("overlap", "coverage", "precision")])
 
 
-@_query()
+_UW = r"\p{L}\p{N}\p{M}_"
+#: The identifier patterns with groups for what may stand beside them, as RE2 has no look-around; texts have no sign that NFKC changes.
+_PII = (
+    ("email", r"(?i)(^|[^\w.%+-])[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}($|[^\w.-]|\.($|[^\w-]))"),
+    ("EVM address", r"(?i)(^|[^0-9a-f])0x[0-9a-f]{40}($|[^0-9a-f])"),
+    ("ENS name", rf"(?i)(^|[^{_UW}@.-])[{_UW}-]+(\.[{_UW}-]+)*\.eth($|[^A-Za-z0-9_])"),
+    ("URL", r"(?i)(^|[^\w.@/-])(https?://|www\.)[^ \t\n\f\r\x0B<>\"'']+"),
+    ("social handle", r"(^|[^\w@])@[A-Za-z_][A-Za-z0-9_.]*[A-Za-z0-9_]"),
+    ("phone number", r"(^|[^\w])(\+?[1-9][0-9]{7,14}|(\+?1[-. ]?)?\(?[2-9][0-9]{2}\)?[-. ][0-9]{3}[-. ][0-9]{4})($|[^\w])"),
+    ("honorific-name", r"(^|[^\w])(Mr|Mrs|Ms|Miss|Mx|Dr|Prof)\.?[ \t\n\f\r\x0B]+[A-Z][A-Za-z''’-]+([ \t\n\f\r\x0B]+[A-Z][A-Za-z''’-]+)?($|[^\w])"),
+)
+_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_HEX4 = "[0-9a-f]{1,4}"
+_IP = "|".join([rf"({_OCTET}\.){{3}}{_OCTET}", f"({_HEX4}:){{7}}{_HEX4}", *(f"({_HEX4}(:{_HEX4}){{0,{k}}})?::({_HEX4}(:{_HEX4}){{0,{5 - k}}})?" for k in range(6)), f"({_HEX4}:){{1,7}}:"])
+
+
+@_query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{label}'" for label, p in _PII) + r"""
+  WHEN len(list_filter(regexp_extract_all(text, '(^|[^\w+])(\+[1-9][0-9]{0,3}([- ]?\(?[0-9]{1,4}\)?){2,6})($|[^\w])', 2), lambda x: len(regexp_replace(x, '[^0-9]', '', 'g')) >= 8)) > 0 THEN 'phone number'
+  WHEN len(list_filter(list_concat(regexp_extract_all(text, '(^|[^\w.])(([0-9]{1,3}\.){3}[0-9]{1,3})($|[^\w.]|\.($|[^0-9]))', 2),
+    regexp_extract_all(text, '(?i)(^|[^\w:])(([0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4})($|[^\w:])', 2)), lambda x: regexp_full_match(lower(x), '@IP'))) > 0 THEN 'IP address' END AS category FROM documents""".replace("@IP", _IP))
 def pii_category(spark, sf_dir):
-    """The first direct identifier of every document; look-behinds and the Unicode step are beyond the oracle's SQL."""
+    """The first direct identifier of every document."""
     return _table(spark, sf_dir, "documents").select("doc_id", X.direct_identifier(F.col("text")).alias("category"))
 
 
@@ -508,7 +517,11 @@ def holm(spark, sf_dir):
     return out.select(*keys, _r("p_value").alias("p_value"), _r("holm_p").alias("holm_p"), "family_size")
 
 
-@_query(_CLUSTERED + _SIGN + _HOLM + """, md AS (SELECT stratum, model_a, model_b, avg(d) AS mean_difference FROM df GROUP BY ALL),
+#: The mean of values of four digits, rounded half away from zero to six by integer arithmetic.
+_MEAN = "sign(sum(round(d * 10000)::BIGINT)) * ((abs(sum(round(d * 10000)::BIGINT)) * 200 + count(*)) // (2 * count(*)))::DOUBLE / 1000000"
+
+
+@_query(_CLUSTERED + _SIGN + _HOLM + f""", md AS (SELECT stratum, model_a, model_b, {_MEAN} AS mean_difference FROM df GROUP BY ALL),
 bd AS (SELECT df.stratum, model_a, model_b, sample, avg(d) AS mean FROM df JOIN dr ON dr.stratum = df.stratum AND dr.task = df.task GROUP BY ALL),
 ci AS (SELECT stratum, model_a, model_b, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM bd GROUP BY ALL)
 SELECT stratum, model_a, model_b, round(mean_difference, 6) AS mean_difference, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(p, 6) AS p_value, round(hp, 6) AS holm_p,
@@ -521,10 +534,10 @@ def pairwise_diff(spark, sf_dir):
     return out.select("stratum", "model_a", "model_b", *[_r(c).alias(c) for c in ("mean_difference", "ci_low", "ci_high", "p_value", "holm_p")], "interpretation", "holm_interpretation")
 
 
-@_query(_FLAT + """, w AS (SELECT a.stratum, b.model AS prompt_mode, a.task, a.value - b.value AS d FROM v a JOIN v b ON a.stratum = b.stratum AND a.task = b.task AND a.model = '1-URGENT' AND b.model <> '1-URGENT'),
+@_query(_FLAT + f""", w AS (SELECT a.stratum, b.model AS prompt_mode, a.task, a.value - b.value AS d FROM v a JOIN v b ON a.stratum = b.stratum AND a.task = b.task AND a.model = '1-URGENT' AND b.model <> '1-URGENT'),
 bm AS (SELECT w.stratum, prompt_mode, sample, avg(d) AS mean FROM dr JOIN w ON w.stratum = dr.stratum AND w.task = dr.task GROUP BY ALL),
 ci AS (SELECT stratum, prompt_mode, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM bm GROUP BY ALL)
-SELECT stratum, prompt_mode, round(avg(d), 6) AS mean_difference, count(*) AS tasks, round(any_value(lo), 6) AS ci_low, round(any_value(hi), 6) AS ci_high FROM w JOIN ci USING (stratum, prompt_mode) GROUP BY ALL""")
+SELECT stratum, prompt_mode, round({_MEAN}, 6) AS mean_difference, count(*) AS tasks, round(any_value(lo), 6) AS ci_low, round(any_value(hi), 6) AS ci_high FROM w JOIN ci USING (stratum, prompt_mode) GROUP BY ALL""")
 def prompt_ablation(spark, sf_dir):
     """The urgent orders as the full prompt, the other priorities as its ablations."""
     values = _values(spark, sf_dir)
@@ -590,8 +603,8 @@ def ask_utility(spark, sf_dir):
 
 
 def queries() -> dict:
-    return dict(_registry)
+    return _registry | answer_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return _sql | answer_queries.SQL
