@@ -192,7 +192,8 @@ def without_recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "te
     docs = without(docs, ["n_lines", "n_dropped", "dropped"]) if marks else docs
     gone = dropped_lines(docs.select(F.col(id).alias("id"), F.col(text).alias(text)), text)
     gone = written(gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("dropped").alias("__dropped")))
-    met = docs.join(gone, F.col(id).eqNullSafe(F.col("__id")) & (_text_hash(text) == F.col("__th")), "left").drop("__id", "__th")
+    # dealt out by text at every size, as what is cut grows with the corpus
+    met = docs.hint("merge").join(gone, F.col(id).eqNullSafe(F.col("__id")) & (_text_hash(text) == F.col("__th")), "left").drop("__id", "__th")
 
     def cut(whole: str | None, numbers: list[int] | None) -> tuple:
         if whole is None:
