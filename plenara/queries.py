@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenara import answer_queries
+from plenara import answer_queries, scenario_queries
 from plenara.functions import text as X
 from plenara.functions import votes as V
 from plenara.operators import audit, contract, forecast, matching, matrix, spans, study, validate, views
@@ -603,8 +603,8 @@ def ask_utility(spark, sf_dir):
 
 
 def queries() -> dict:
-    return _registry | answer_queries.QUERIES
+    return _registry | answer_queries.QUERIES | scenario_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _sql | answer_queries.SQL
+    return _sql | answer_queries.SQL | scenario_queries.SQL
