@@ -240,22 +240,40 @@ def vote_prompts(spark, sf_dir):
     return out
 
 
-@_query(f"""WITH {HIDDEN}, h AS (SELECT *, count(*) OVER (PARTITION BY session) AS n FROM hidden),
-t AS (SELECT session, CAST(session AS INTEGER) AS v, count(*) AS n, avg(((0.7 - (vote = 1)::INT)^2 + (0.2 - (vote = -1)::INT)^2 + (0.1 - (vote = 0)::INT)^2) / 2) AS loss, avg((vote = 1)::INT) AS acc FROM h GROUP BY ALL)
-SELECT session AS task, v IN (0, 1) AS ok, round(CASE WHEN v IN (0, 1) THEN 1 - loss ELSE 0 END, 6) AS probability_reward, round(CASE WHEN v IN (0, 1) THEN acc ELSE 0 END, 6) AS vote_accuracy, round(CASE WHEN v IN (0, 1) THEN loss ELSE 1 END, 6) AS brier FROM t""")
+#: Answers built for every session: right, fenced, with a repeated key, with prose around, with a cell too many, with blanks in
+#: names, with a label too many, with a negative number, with nothing to divide by; b is the cells' text, c the first cell.
+_FORECASTS = (
+    "concat('{{\"predictions\": {{', b, '}}}}')", "concat('```json', chr(10), '{{\"predictions\": {{', b, '}}}}', chr(10), '```')",
+    "concat('{{\"predictions\": {{', b, ', \"', c, '\": {{\"agree\": 1, \"disagree\": 0, \"pass\": 0}}}}}}')", "concat('Here: {{\"predictions\": {{', b, '}}}}')",
+    "concat('{{\"predictions\": {{', b, ', \"999,999\": {{\"agree\": 1, \"disagree\": 0, \"pass\": 0}}}}}}')", "concat('{{\"predictions\": {{', replace(b, ',', ' , '), '}}}}')",
+    "concat('{{\"predictions\": {{', replace(b, '\"pass\"', '\"other\": 1, \"pass\"'), '}}}}')", "concat('{{\"predictions\": {{', replace(b, '0.2', '-0.2'), '}}}}')",
+    "concat('{{\"predictions\": {{', replace(replace(replace(b, '1.4', '0'), '0.4', '0'), '0.2', '0'), '}}}}')", "concat('{{\"predictions\": {{', b, '}}, \"note\": 1}}')", "concat('{{\"predictions\": {{', replace(b, '0.2', 'true'), '}}}}')",
+)
+_FORECAST_TEXT = "CASE " + " ".join(f"WHEN k = {k} THEN {t.replace('{{', '{').replace('}}', '}')}" for k, t in enumerate(_FORECASTS)) + " END"
+_PART = lambda name: f"CASE WHEN json_type(js, '$.predictions.\"' || cell || '\".{name}') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN json_extract(js, '$.predictions.\"' || cell || '\".{name}')::DOUBLE END"
+
+
+@_query(f"""WITH {HIDDEN}, h AS (SELECT session, p || ',' || s AS cell, vote, rank FROM hidden),
+body AS (SELECT session, string_agg('"' || cell || '": {{"agree": 1.4, "disagree": 0.4, "pass": 0.2}}', ', ' ORDER BY rank) AS b, min(cell) AS c, list_sort(list(cell)) AS cells FROM h GROUP BY session),
+said AS (SELECT session, k, cells, {_FORECAST_TEXT} AS t FROM body, range({len(_FORECASTS)}) r(k)),
+bare AS (SELECT session, k, cells, trim(regexp_replace(t, '^```(?:json)?[ \\t]*\\r?\\n(.*)```$', '\\1', 'is'), chr(32) || chr(10)) AS t FROM said),
+named AS (SELECT session, k, cells, CASE WHEN json_valid(t) THEN regexp_replace(t, '"([0-9]+) *, *([0-9]+)"', '"\\1,\\2"', 'g')::JSON END AS js FROM bare),
+part AS (SELECT n.session, k, cells, js, h.cell, h.vote, list_sort(json_keys(js, '$.predictions."' || h.cell || '"')) AS labels, {_PART("agree")} AS pa, {_PART("disagree")} AS pd, {_PART("pass")} AS pp FROM named n JOIN h ON h.session = n.session),
+ok AS (SELECT session, k, coalesce(bool_and(json_keys(js) = ['predictions'] AND list_sort(json_keys(js, '$.predictions')) = cells AND labels = ['agree', 'disagree', 'pass'] AND least(pa, pd, pp) >= 0 AND pa + pd + pp > 0
+    AND pa IS NOT NULL AND pd IS NOT NULL AND pp IS NOT NULL), false) AS ok FROM part GROUP BY ALL),
+f AS (SELECT session, k, vote, pa / (pa + pd + pp) AS pa, pd / (pa + pd + pp) AS pd, pp / (pa + pd + pp) AS pp FROM part),
+sc AS (SELECT session, k, avg(((pa - (vote = 1)::INT)^2 + (pd - (vote = -1)::INT)^2 + (pp - (vote = 0)::INT)^2) / 2) AS loss, avg((CASE WHEN pa >= pp AND pa >= pd THEN 1 WHEN pp >= pd THEN 0 ELSE -1 END = vote)::INT) AS acc FROM f GROUP BY ALL)
+SELECT session || '/' || k AS task, ok, round(CASE WHEN ok THEN 1 - loss ELSE 0 END, 6) AS probability_reward, round(CASE WHEN ok THEN acc ELSE 0 END, 6) AS vote_accuracy, round(CASE WHEN ok THEN loss ELSE 1 END, 6) AS brier FROM ok JOIN sc USING (session, k)""")
 def forecast_contract(spark, sf_dir):
-    """Answers built for every session: right, fenced, with a repeated key, with prose around, with a cell too many."""
+    """Eleven answers for every session, and what each scores under the contract."""
     _, hidden = matrix.mask(_cells(spark, sf_dir), MASKED)
-    held = hidden.select(F.col("session").alias("task"), F.concat_ws(",", "p", "s").alias("cell"), "vote", "rank")
+    held = hidden.select("session", F.concat_ws(",", "p", "s").alias("cell"), "vote", "rank")
     one = F.concat(F.lit('"'), F.col("cell"), F.lit('": {"agree": 1.4, "disagree": 0.4, "pass": 0.2}'))
-    body = held.groupBy("task").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", one.alias("t")))), lambda x: x["t"]), ", ").alias("b"), F.min("cell").alias("c"))
-    again = F.concat(F.lit(', "'), F.col("c"), F.lit('": {"agree": 1, "disagree": 0, "pass": 0}'))
-    whole = lambda extra, before="", after="": F.concat(F.lit(before + '{"predictions": {'), F.col("b"), extra, F.lit("}}" + after))
-    variants = [whole(F.lit("")), whole(F.lit(""), "```json\n", "\n```"), whole(again), whole(F.lit(""), "Here: "), whole(F.lit(', "999,999": {"agree": 1, "disagree": 0, "pass": 0}'))]
-    text = F.lit(None)
-    for k, v in enumerate(variants):
-        text = F.when(F.col("task") == str(k), v).otherwise(text)
-    out = contract.contract_scores(body.select("task", text.alias("text")), held.drop("rank"))
+    body = held.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", one.alias("t")))), lambda x: x["t"]), ", ").alias("b"), F.min("cell").alias("c"))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(len(_FORECASTS) - 1))).alias("k")
+    task = F.concat_ws("/", "session", "k").alias("task")
+    answers = body.select("session", "b", "c", copies).select(task, F.expr(_FORECAST_TEXT).alias("text"))
+    out = contract.contract_scores(answers, held.select("session", "cell", "vote", copies).select(task, "cell", "vote"))
     return out.select("task", "ok", *[_r(c).alias(c) for c in ("probability_reward", "vote_accuracy", "brier")])
 
 
@@ -264,17 +282,70 @@ def last_assistant(spark, sf_dir):
     return contract.last_answers(_table(spark, sf_dir, "conversations"))
 
 
-@_query(f"""WITH {VOTES}, m AS (SELECT session, count(DISTINCT p) AS participants, count(*) AS cells, sum((vote IS NULL)::INT) AS unseen FROM cell GROUP BY session),
-b AS (SELECT session FROM m WHERE session = '1'), c AS (SELECT session FROM m WHERE session = '2'), d AS (SELECT session FROM m WHERE session = '3')
-SELECT session, 'duplicate participant' AS rule FROM b UNION ALL SELECT session, 'masked cell is visible' FROM c UNION ALL SELECT session, 'row length' FROM d""")
+_NESTED = f"""{DENSE},
+people AS (SELECT session, list('u' || p ORDER BY p) AS participants, list((p % 3)::INTEGER ORDER BY p) AS clusters FROM (SELECT DISTINCT session, p FROM cell) GROUP BY session),
+grid AS (SELECT session, list(line ORDER BY i) AS votes FROM (SELECT session, i, list(vote ORDER BY s) AS line FROM dense GROUP BY ALL) GROUP BY session),
+mask AS (SELECT h.session, list([part.i, h.s] ORDER BY rank) AS masked, list({{'cell': part.i || ',' || h.s, 'vote': h.vote}} ORDER BY rank) AS held FROM hidden h JOIN part ON part.session = h.session AND part.p = h.p GROUP BY h.session),
+snap AS (SELECT session, participants, clusters, votes, masked, held, list_transform(range(12), lambda x: {{'index': x, 'text': 'statement ' || x}}) AS statements FROM people JOIN grid USING (session) JOIN mask USING (session))"""
+#: What breaks the copies of a session, in both engines: (column, in Spark, in DuckDB); the first copy is as it is.
+_BREAKS = (
+    ("session_id", "' '", "' '"), ("participants", "slice(participants, 1, 0)", "participants[1:0]"), ("statements", "slice(statements, 1, 0)", "statements[1:0]"),
+    ("participants", "concat(array(' '), slice(participants, 2, 99999))", "list_concat([' '], participants[2:])"), ("participants", "concat(slice(participants, 2, 1), slice(participants, 2, 99999))", "list_concat(participants[2:2], participants[2:])"),
+    ("statements", "transform(statements, x -> named_struct('index', x.index * 2, 'text', x.text))", "list_transform(statements, lambda x: {'index': x.index * 2, 'text': x.text})"),
+    ("statements", "transform(statements, x -> named_struct('index', x.index, 'text', if(x.index = 3, ' ', x.text)))", "list_transform(statements, lambda x: {'index': x.index, 'text': CASE WHEN x.index = 3 THEN ' ' ELSE x.text END})"),
+    ("votes", "slice(votes, 1, size(votes) - 1)", "votes[1:len(votes) - 1]"), ("votes", "transform(votes, (r, i) -> if(i = 1, slice(r, 1, 11), r))", "list_transform(votes, lambda r, i: CASE WHEN i = 2 THEN r[1:11] ELSE r END)"),
+    ("votes", "transform(votes, (r, i) -> if(i = 0, transform(r, (v, j) -> if(j = 0, 2, v)), r))", "list_transform(votes, lambda r, i: CASE WHEN i = 1 THEN list_concat([2], r[2:]) ELSE r END)"),
+    ("masked_cells", "concat(masked_cells, array(array(9999, 0)))", "list_append(masked, [9999, 0])"), ("masked_cells", "concat(masked_cells, slice(masked_cells, 1, 1))", "list_append(masked, masked[1])"),
+    ("votes", "transform(votes, (r, i) -> if(i = masked_cells[0][0], transform(r, (v, j) -> if(j = masked_cells[0][1], 0, v)), r))",
+     "list_transform(votes, lambda r, i: CASE WHEN i = masked[1][1] + 1 THEN list_transform(r, lambda v, j: CASE WHEN j = masked[1][2] + 1 THEN 0 ELSE v END) ELSE r END)"),
+    ("held_out", "map_filter(held_out, (c, v) -> c <> concat(masked_cells[0][0], ',', masked_cells[0][1]))", "list_filter(held, lambda h: h.cell <> masked[1][1] || ',' || masked[1][2])"),
+    ("held_out", "transform_values(held_out, (c, v) -> v * 3)", "list_transform(held, lambda h: {'cell': h.cell, 'vote': h.vote * 3})"), ("clusters", "slice(clusters, 2, 99999)", "clusters[2:]"),
+    ("meta", "named_struct('k_anonymity', meta.k_anonymity, 'source', meta.source, 'synthetic', cast(null AS boolean))", "NULL"),
+)
+_PLACES = {"session_id": "sid", "masked_cells": "masked", "held_out": "held", "meta": "synthetic"}
+
+
+def _broken(column: str, as_is: str) -> str:
+    whens = " ".join(f"WHEN {k} THEN {duck}" for k, (c, _, duck) in enumerate(_BREAKS, 1) if c == column)
+    return f"CASE k {whens} ELSE {as_is} END AS {_PLACES.get(column, column)}"
+
+
+_RULES = {
+    "session id": "trim(sid) <> ''", "no participant": "len(participants) > 0", "no statement": "len(statements) > 0", "blank participant": "len(list_filter(participants, lambda x: trim(x) = '')) = 0",
+    "duplicate participant": "len(list_distinct(participants)) = len(participants)", "statement index": "len(statements) > 0 AND list_transform(statements, lambda x: x.index) = range(len(statements))",
+    "blank statement": "len(list_filter(statements, lambda x: trim(x.text) = '')) = 0", "row count": "len(votes) = len(participants)", "row length": "len(list_filter(votes, lambda r: len(r) <> len(statements))) = 0",
+    "vote domain": "len(list_filter(flatten(votes), lambda v: v NOT IN (-1, 0, 1))) = 0",
+    "masked cell bounds": "len(list_filter(masked, lambda c: NOT (c[1] BETWEEN 0 AND len(participants) - 1 AND c[2] BETWEEN 0 AND len(statements) - 1))) = 0",
+    "duplicate masked cell": "len(list_distinct(masked)) = len(masked)", "masked cell is visible": "len(list_filter(masked, lambda c: votes[c[1] + 1][c[2] + 1] IS NOT NULL)) = 0",
+    "held-out cells": "list_sort(list_transform(held, lambda h: h.cell)) = list_sort(list_transform(masked, lambda c: c[1] || ',' || c[2]))", "held-out vote": "len(list_filter(held, lambda h: h.vote NOT IN (-1, 0, 1))) = 0",
+    "cluster count": "len(clusters) = len(participants)", "synthetic flag": "synthetic IS NOT NULL",
+}
+
+
+@_query(f"""WITH {_NESTED}, copies AS (SELECT k, {_broken("session_id", "session || '/' || k")}, {_broken("participants", "participants")}, {_broken("statements", "statements")}, {_broken("votes", "votes")},
+  {_broken("masked_cells", "masked")}, {_broken("held_out", "held")}, {_broken("clusters", "clusters")}, {_broken("meta", "true")} FROM snap, range({len(_BREAKS) + 1}) r(k) WHERE k > 1 OR session = '0' OR k = 0)
+SELECT session, rule FROM (""" + " UNION ALL ".join(f"SELECT sid AS session, '{name}' AS rule FROM copies WHERE NOT ({ok})" for name, ok in _RULES.items()) + ")")
 def snapshot_violations(spark, sf_dir):
-    """Sessions of which some are broken on purpose; the rules that each breaks."""
-    s, k = _snapshots(spark, sf_dir), F.col("session_id")
-    s = s.withColumn("participants", F.when(k == "1", F.concat(F.slice("participants", 1, 1), F.slice("participants", 1, F.size("participants") - 1))).otherwise(F.col("participants")))
-    first = F.col("masked_cells")[0]
-    shown = F.transform("votes", lambda row, p: F.transform(row, lambda v, i: F.when((p == first[0]) & (i == first[1]), F.lit(1)).otherwise(v)))
-    s = s.withColumn("votes", F.when(k == "2", shown).when(k == "3", F.transform("votes", lambda row, p: F.when(p == 0, F.slice(row, 1, F.size(row) - 1)).otherwise(row))).otherwise(F.col("votes")))
-    return validate.snapshot_violations(s).select(F.col("session_id").alias("session"), "rule")
+    """Every session once as it is and once broken in each of seventeen ways; the rules that each copy breaks."""
+    s = _snapshots(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(_BREAKS))))).where("k <> 1 OR session_id = '0'")
+    whens = {c: F.expr("CASE k " + " ".join(f"WHEN {k} THEN {how}" for k, (name, how, _) in enumerate(_BREAKS, 1) if name == c) + f" ELSE {as_is} END") for c, as_is in
+             [("session_id", "concat(session_id, '/', k)"), *((c, c) for c in ("participants", "statements", "votes", "masked_cells", "held_out", "clusters", "meta"))]}
+    return validate.snapshot_violations(s.select(*[f.alias(c) for c, f in whens.items()])).select(F.col("session_id").alias("session"), "rule")
+
+
+@_query(f"""WITH {_NESTED}, p AS (SELECT session, sum((vote = 1)::INT) / count(vote) AS pa, sum((vote = -1)::INT) / count(vote) AS pd, sum((vote = 0)::INT) / count(vote) AS pp FROM dense GROUP BY session)
+SELECT session AS example_id, '{{' || array_to_string(list_transform(list_sort(list_transform(held, lambda h: '"' || h.cell || '":' || h.vote)), lambda x: x), ',') || '}}' AS answer,
+  len(list_distinct(clusters))::INTEGER AS cluster_count, len(held)::INTEGER AS masked_vote_count, round(pa, 6) AS agree, round(pd, 6) AS disagree, round(pp, 6) AS pass, len(participants)::INTEGER AS people, false AS shows_held_out
+FROM snap JOIN p USING (session)""")
+def forecast_tasks(spark, sf_dir):
+    """Task rows of the masked sessions: the answer key, what the info says, and that the public snapshot keeps the answer back."""
+    rows = views.forecast_tasks(_snapshots(spark, sf_dir))
+    of = lambda c, path: F.get_json_object(c, path)
+    return rows.select(
+        "example_id", "answer", of("info", "$.cluster_count").cast("int").alias("cluster_count"), of("info", "$.masked_vote_count").cast("int").alias("masked_vote_count"),
+        *[_r(of("info", f"$.snapshot_visible_prior.{k}").cast("double")).alias(k) for k in ("agree", "disagree", "pass")],
+        F.size(F.from_json(of("snapshot", "$.participants"), "array<string>")).alias("people"), of("snapshot", "$.held_out").isNotNull().alias("shows_held_out"),
+    )
 
 
 # --- texts -----------------------------------------------------------------------------------
