@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plenara.functions.panels import preference, tradeoff
 from plenara.functions.text import hash60
-from plenara.operators.validate import DIMENSIONS
+from plenara.operators.validate import DIMENSIONS, PASS_THRESHOLD, VOTE_RULE
 
 K, MASKED, PASS_BELOW, NOISE, WOBBLE = 5, 8, 0.28, 0.12, 0.12
 
@@ -91,21 +92,11 @@ _PLAIN = ("The {place} opens at nine on weekdays.", "The notice board of the {pl
 
 
 def _stance(values: dict, weights: dict) -> tuple[float, str]:
-    top = below = 0.0
-    for k in DIMENSIONS:
-        top, below = top + values[k] * weights[k], below + abs(weights[k])
-    p = top / below if below else 0.0
-    return p, "agree" if p >= 0.25 else "disagree" if p <= -0.25 else "pass"
+    p = preference([values[k] for k in DIMENSIONS], [weights[k] for k in DIMENSIONS])
+    return p, "agree" if p >= PASS_THRESHOLD else "disagree" if p <= -PASS_THRESHOLD else "pass"
 
 
-def worth(preferences: list[float]) -> float:
-    square = 0.0
-    for p in preferences:
-        square += p * p
-    return min(1.0, max(2.0**-52, 4 * ((square / len(preferences)) ** 0.5 * (max(preferences) - min(preferences)) / 2) ** 2))
-
-
-def scenario(template: str, seed: int, generated_at: str = "2024-01-01", polish: Callable[[str], str] | None = None) -> dict:
+def scenario(template: str, seed: int, generated_at: str = "2024-01-01", polish: Callable[[str], str] | None = None, template_set: str = "train") -> dict:
     """One scenario that follows from its template and seed alone; `polish` may rewrite the plain sentences of its documents."""
     rnd, (place, matter) = random.Random(f"{template}:{seed}"), TEMPLATES[template]
     say = lambda s: s.format(place=place, matter=matter)
@@ -117,7 +108,7 @@ def scenario(template: str, seed: int, generated_at: str = "2024-01-01", polish:
         while True:
             weights = {k: round(rnd.uniform(-1, 1), 3) for k in DIMENSIONS}
             stands = {f["faction_id"]: _stance(f["values"], weights) for f in factions}
-            if len({s for _, s in stands.values()}) > 1:
+            if {"agree", "disagree"} <= {s for _, s in stands.values()}:
                 break
         alternative, choice = {k: s for k, (_, s) in stands.items()}, rnd.choice(["anchor", "alternative"])
         swap = {"agree": "disagree", "disagree": "agree", "pass": "pass"}
@@ -130,14 +121,14 @@ def scenario(template: str, seed: int, generated_at: str = "2024-01-01", polish:
             "plant_id": f"i{n}", "doc_id": f"d{n}", "anchor_quote": anchor, "type": kind, "canonical_question": question,
             "decision": {"actor": f"the {place}", "action": f"decides on {matter}", "condition": kind, "anchor_outcome": "the rule stands", "alternative_outcome": "the rule is clarified"},
             "value_weights": weights, "alternative_stances": alternative, "canonical_yes_choice": choice, "target_stances": {k: swap[s] for k, s in alternative.items()} if choice == "anchor" else alternative,
-            "decision_value": worth([p for p, _ in stands.values()]), "related_evidence": related,
+            "decision_value": tradeoff([p for p, _ in stands.values()]), "related_evidence": related,
         })
     distractors = [{"doc_id": f"d{n}", "anchor_quote": t, "reason": "a plain rule"} for n, lines in enumerate(texts) for t in lines if t not in {i["anchor_quote"] for i in items} and t != say(_OPPOSED)][:3]
     return {
         "scenario_id": f"{template}-{hashlib.sha256(f'{template}:{seed}'.encode()).hexdigest()[:12]}", "organization": {"name": f"{place.title()} of {matter}", "sector": place, "fictional": True}, "factions": factions,
         "documents": [{"doc_id": f"d{n}", "title": f"{place.title()} rules {n + 1}", "style": "memo", "text": " ".join(lines)} for n, lines in enumerate(texts)], "planted_items": items, "distractors": distractors,
-        "persona_panel": {"vote_rule": "weighted preference", "pass_threshold": 0.25, "faction_ids": [f["faction_id"] for f in factions]}, "human_feedback": None,
-        "provenance": {"seed": seed, "template_id": template, "template_set": "own", "generated_at": generated_at, "synthetic": True, "generation_mode": "template", "generator_family": "stems"},
+        "persona_panel": {"vote_rule": VOTE_RULE, "pass_threshold": PASS_THRESHOLD, "faction_ids": [f["faction_id"] for f in factions]}, "human_feedback": None,
+        "provenance": {"seed": seed, "template_id": template, "template_set": template_set, "generated_at": generated_at, "synthetic": True, "generation_mode": "template", "generator_family": "stems"},
     }
 
 
@@ -145,13 +136,13 @@ def canonical(value: dict) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
-def scenarios(spark: SparkSession, templates: list[str], repetitions: int, seed_base: int, generated_at: str = "2024-01-01") -> DataFrame:
+def scenarios(spark: SparkSession, templates: list[str], repetitions: int, seed_base: int, generated_at: str = "2024-01-01", template_set: str = "train") -> DataFrame:
     """(scenario_id, json) of the grid of templates and repetitions; seed = base + place of the template * repetitions + repetition."""
     names, total = list(templates), len(templates) * repetitions
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [scenario(names[i // repetitions], seed_base + i, generated_at) for i in batch.column(0).to_pylist()]
+            made = [scenario(names[i // repetitions], seed_base + i, generated_at, template_set=template_set) for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([m["scenario_id"] for m in made], pa.string()), pa.array(map(canonical, made), pa.string())], names=["scenario_id", "json"])
 
     return spark.range(total).mapInArrow(make, "scenario_id string, json string")
@@ -160,6 +151,6 @@ def scenarios(spark: SparkSession, templates: list[str], repetitions: int, seed_
 def splits(spark: SparkSession, train: list[str], held_out: list[str], repetitions: int, seed_base: int) -> DataFrame:
     """(split, scenario_id, json) of a training and a held-out split with templates of their own."""
     a = scenarios(spark, train, repetitions, seed_base).select(F.lit("train").alias("split"), "*")
-    return a.unionByName(scenarios(spark, held_out, repetitions, seed_base + 1_000_000).select(F.lit("eval").alias("split"), "*"))
+    return a.unionByName(scenarios(spark, held_out, repetitions, seed_base + 1_000_000, template_set="heldout").select(F.lit("eval").alias("split"), "*"))
 
 

@@ -7,6 +7,8 @@ partitioning and any engine gives the same draws, and all models of a stratum sh
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,36 @@ def exact_mean(value: str) -> Column:
     return F.signum(units.cast("double")) * whole.cast("double") / 10 ** (DIGITS + 2)
 
 
+PROMPT_MODES = ("full", "matrix-only", "text-only", "shuffled-text")
+UNIFORM_BRIER = 1 / 3
+
+
+def prompt_mode_order(mode: Column) -> Column:
+    """What prompt modes are sorted by: none first, then the known ones in their order, then others by name."""
+    known = F.array_position(F.array(*map(F.lit, PROMPT_MODES)), mode) - 1
+    place = F.when(mode.isNull(), F.lit(-1)).when(known >= 0, known).otherwise(F.lit(len(PROMPT_MODES)))
+    return F.struct(place.cast("int").alias("place"), F.coalesce(mode, F.lit("")).alias("mode"))
+
+
+def skill_contributions(losses: DataFrame, keys: tuple[str, ...], loss: str, reference: str) -> DataFrame:
+    """`losses` plus `contribution`: 1 - loss / mean reference of its keys, whose mean is the pooled skill."""
+    mean = losses.groupBy(*keys).agg(F.avg(reference).alias("__mean"))
+    positive = F.when(F.col("__mean") > 0, F.col("__mean")).otherwise(F.raise_error(F.lit("the reference loss must be positive")))
+    met = _join_null_safe(losses, mean, keys)
+    return met.withColumn("contribution", 1 - F.col(loss) / positive).drop("__mean")
+
+
+def diagnostic_values(metrics: DataFrame, forecast: Column) -> DataFrame:
+    """`metrics` (keys, metric, value) and, where `forecast` holds, the skill against the uniform forecast of each loss."""
+    skill = metrics.where(forecast & (F.col("metric") == "brier")).withColumn("metric", F.lit("brier_skill_vs_uniform")).withColumn("value", 1 - F.col("value") / F.lit(UNIFORM_BRIER))
+    return metrics.unionByName(skill)
+
+
+def stable_seed(seed: int, label: str) -> int:
+    """A seed for a labelled stream: the first eight bytes of SHA-256 of the seed, a zero byte and the label."""
+    return int.from_bytes(hashlib.sha256(f"{seed}\0{label}".encode()).digest()[:8], "big")
+
+
 def draws(tasks: DataFrame, samples: int, seed: int, stratum: str = "stratum", task: str = "task", cluster: str | None = None) -> DataFrame:
     """(stratum, sample, task, times): how often each sample draws each task.
 

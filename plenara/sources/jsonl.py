@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,13 +25,28 @@ def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(source, line, raw) of files in their order, lines from 1, which end at LF, CRLF or CR. Each file is read whole by one task, as intake files are small."""
-    whole = None
-    for i, path in enumerate(paths):
-        part = spark.read.text(path, wholetext=True).select(F.lit(i).alias("source"), F.col("value").alias("t"))
-        whole = part if whole is None else whole.unionByName(part)
-    rows = whole.select("source", F.posexplode(F.split("t", "\r\n|\r|\n")).alias("at", "raw"))
-    return rows.select("source", (F.col("at") + 1).alias("line"), "raw").where(F.trim(F.regexp_replace("raw", r"\s", "")) != "")
+    """(source, line, raw) of files in their order, lines from 1, which end at LF, CRLF or CR; blank ones are skipped.
+
+    All files are read at once and split among tasks at line feeds. A line's number is what
+    stands before it in its split, plus the lines of the file's splits before that.
+    """
+    read = spark.read.option("lineSep", "\n").text(paths)
+    rows = read.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:///").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.split(F.regexp_replace("value", r"\r\z", ""), "\r").alias("parts"))
+    inside = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("before", F.coalesce(F.sum(F.size("parts")).over(inside), F.lit(0)))
+    blocks = rows.groupBy("file", "block").agg(F.sum(F.size("parts")).alias("n"))
+    offset = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("file", "block", offset.alias("offset"))
+    order = spark.createDataFrame([(i, _address(spark, p)) for i, p in enumerate(paths)], "source int, file string")
+    out = placed.join(starts, ["file", "block"]).join(order, "file").select("source", "offset", "before", F.posexplode("parts").alias("k", "raw"))
+    return out.select("source", (F.col("offset") + F.col("before") + F.col("k") + 1).cast("int").alias("line"), "raw").where(F.trim(F.regexp_replace("raw", r"\s", "")) != "")
+
+
+def _address(spark: SparkSession, path: str) -> str:
+    """The path as Spark's readers name it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri().toString()
+    return re.sub(r"^file:/+", "file:///", whole)
 
 
 @F.pandas_udf(_READ)
@@ -51,15 +67,16 @@ def _strict(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(t) for t in raw], columns=["json", "error", "keys"])
 
 
-def decoded(rows: DataFrame, schema: str, closed: bool = False) -> tuple[DataFrame, DataFrame]:
+def decoded(rows: DataFrame, schema: str, closed: bool = False, lenient: bool = False) -> tuple[DataFrame, DataFrame]:
     """(valid, errors): rows (with raw) decoded by an explicit schema, and those that aren't strict JSON objects with its keys.
 
-    `closed` also rejects keys beyond the schema. Types that don't fit reject the row.
+    `closed` also rejects keys beyond the schema, `lenient` takes missing ones as null. Types
+    that don't fit reject the row.
     """
     wanted = sorted(T.DataType.fromDDL(schema).fieldNames())
     others = [c for c in rows.columns if c != "raw"]
     read = rows.select(*others, _strict("raw").alias("r"))
-    keys = F.array_except(F.lit(wanted), "r.keys")
+    keys = F.array().cast("array<string>") if lenient else F.array_except(F.lit(wanted), "r.keys")
     beyond = F.array_except("r.keys", F.lit(wanted)) if closed else F.array().cast("array<string>")
     error = F.coalesce(
         F.col("r.error"), F.when(F.size(keys) > 0, F.concat(F.lit("missing "), F.array_join(keys, ", "))), F.when(F.size(beyond) > 0, F.concat(F.lit("unexpected "), F.array_join(beyond, ", "))),
@@ -70,16 +87,49 @@ def decoded(rows: DataFrame, schema: str, closed: bool = False) -> tuple[DataFra
     return parsed.where(bad.isNull()).select(*others, "v.*").drop("__bad"), errors
 
 
-def load_snapshots(spark: SparkSession, path: str, masked_vote_count: int | None = None, min_cluster_count: int | None = None, seed: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(snapshots, errors) of a file of synthetic snapshots: decode, validate, filter by clusters, then mask.
+#: Fields of a session's meta that only human sessions have.
+GOVERNANCE = ("consent_scope", "redistribution_rights_approved", "schema_version", "exporter_version", "source_commit", "privacy_review")
+
+
+def names_source(said: Column, source: str) -> Column:
+    """Whether a text names a source, whatever its case, with _ for - or blanks at its ends."""
+    return F.coalesce(F.translate(F.lower(F.trim(said)), "_", "-") == source, F.lit(False))
 
-    Masking keeps the file's own masked cells first. An empty result, or one with nothing held
-    out anywhere, is an error to raise, not a table.
+
+def says_human(raw: Column, source: str | None) -> Column:
+    """Whether a row carries any mark of a human session: it isn't synthetic, names the source, or has a field of governance."""
+    meta = F.get_json_object(raw, "$.meta")
+    out = F.get_json_object(meta, "$.synthetic") == "false"
+    if source is not None:
+        out = out | names_source(F.get_json_object(meta, "$.source"), source)
+    return F.coalesce(out, F.lit(False)) | F.coalesce(F.arrays_overlap(F.json_object_keys(meta), F.array(*map(F.lit, GOVERNANCE))), F.lit(False))
+
+
+def load_snapshots(
+    spark: SparkSession, path: str, masked_vote_count: int | None = None, min_cluster_count: int | None = None, seed: str | None = None, human: tuple[str, str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(snapshots, errors) of a file of snapshots: decode, validate, filter by clusters, then mask.
+
+    Any mark of a human session brings a row under the rules for those, whatever else it says;
+    `human` has the schema version and the source that they must name (without it they are all
+    errors). Masking keeps the file's own masked cells first. An empty result, or one with
+    nothing held out anywhere, is an error to raise, not a table.
     """
-    rows, errors = decoded(lines(spark, path), schemas.SNAPSHOT)
+    if not all(x is None or type(x) is int for x in (masked_vote_count, min_cluster_count)):
+        raise ValueError("masked_vote_count and min_cluster_count must be integers or None")
+    every = lines(spark, path).withColumn("__human", says_human(F.col("raw"), human[1] if human else None))
+    rows, errors = decoded(every.where("NOT __human").drop("__human"), schemas.SNAPSHOT)
     broken = validate.snapshot_violations(rows)
+    people, worse = decoded(every.where("__human").drop("__human"), schemas.HUMAN_SNAPSHOT)
+    if human:
+        broken = broken.unionByName(validate.human_violations(people, *human))
+    else:
+        broken = broken.unionByName(people.select("session_id", F.lit("human session").alias("rule")))
+    common = T.DataType.fromDDL(schemas.SNAPSHOT).fieldNames()
+    meta = F.struct(F.col("meta.k_anonymity"), F.col("meta.source"), F.lit(None).cast("string").alias("generator_family"), F.col("meta.synthetic"))
+    rows = rows.select("file", *common).unionByName(validate.assigned(people).withColumn("meta", meta).select("file", *common))
     good = validate.valid(rows, broken, "session_id")
-    errors = errors.unionByName(rows.select("file", "session_id").join(broken, "session_id").select("file", F.concat_ws(": ", "session_id", "rule").alias("error")))
+    errors = errors.unionByName(worse).unionByName(rows.select("file", "session_id").join(broken, "session_id").select("file", F.concat_ws(": ", "session_id", "rule").alias("error")))
     if min_cluster_count is not None:
         good = good.where(F.size(F.array_distinct("clusters")) >= min_cluster_count)
     if masked_vote_count is not None:
@@ -93,6 +143,39 @@ def load_snapshots(spark: SparkSession, path: str, masked_vote_count: int | None
     return good, errors
 
 
+def load_snapshot_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Snapshots as a file has them, checked for their dimensions only: nothing is masked, filtered or required to be held out."""
+    rows, errors = decoded(lines(spark, path), schemas.SNAPSHOT)
+    broken = validate.snapshot_violations(rows)
+    said = errors.select("error").unionByName(broken.select(F.concat_ws(": ", "session_id", "rule").alias("error"))).limit(5).collect()
+    if said:
+        raise ValueError(f"{path}: " + "; ".join(r.error for r in said))
+    return rows.drop("file")
+
+
+def bundled_path(folder: str, split: str) -> str:
+    """The file of a named split in a folder of them."""
+    if split not in SPLITS:
+        raise ValueError(f"unknown split {split!r}; valid splits: {', '.join(SPLITS)}")
+    return f"{folder.rstrip('/')}/{SPLITS[split]}"
+
+
+#: The files of the two splits.
+SPLITS = {"eval": "eval_synthetic.jsonl", "train": "train_synthetic.jsonl"}
+
+
+def train_split(spark: SparkSession, evaluated: str, train: str | None = None) -> str | None:
+    """The training split that goes with an evaluated file: the one given, or the file's sibling if it is a bundled split; None where it isn't there."""
+    if train is None:
+        folder, _, name = evaluated.rpartition("/")
+        train = f"{folder}/{SPLITS['train']}".lstrip("/" if not folder else "") if name == SPLITS["eval"] else None
+    if train is None:
+        return None
+    place = spark._jvm.org.apache.hadoop.fs.Path(train)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return train if system.exists(place) and system.getFileStatus(place).isFile() else None
+
+
 def remasked(snapshots: DataFrame, visible: DataFrame, hidden: DataFrame) -> DataFrame:
     """Nested snapshots with their votes, masked cells and held-out map taken from long form."""
     rows = visible.groupBy("session", "p").agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "vote"))), lambda x: x["vote"]).alias("row"))
@@ -113,6 +196,26 @@ def load_scenarios(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return validate.valid(rows, broken, "scenario_id"), errors
 
 
+def load_scenario_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Scenarios as a file has them, without validation; rows that don't decode are an error to raise."""
+    rows, errors = decoded(lines(spark, path), schemas.SCENARIO)
+    if not errors.isEmpty():
+        raise ValueError(f"{path}: {errors.first().error}")
+    return rows.drop("file")
+
+
+def template_clusters(spark: SparkSession, path: str) -> DataFrame:
+    """(task, cluster): the base template of each scenario of a file, tasks counted from 0 in the order of its lines."""
+    rows = numbered_lines(spark, [path]).select("line", F.get_json_object("raw", "$.provenance.template_id").alias("cluster"))
+    missing = rows.where("cluster IS NULL OR trim(cluster) = ''").orderBy("line").first()
+    if missing is not None:
+        raise ValueError(f"{path}:{missing.line}: no template_id")
+    if rows.isEmpty():
+        raise ValueError(f"{path}: no scenario")
+    # one row for each scenario of an evaluation split: a single ordered window is small
+    return rows.select((F.row_number().over(Window.orderBy("line")) - 1).cast("long").alias("task"), "cluster")
+
+
 def ingest(spark: SparkSession, paths: list[str], schema_version: str, source: str, k: int = validate.LEAST_K) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(accepted, manifest, errors) of human sessions from several files; errors never abort the run.
 
@@ -123,8 +226,7 @@ def ingest(spark: SparkSession, paths: list[str], schema_version: str, source: s
     # rules are judged row by row, whatever session a row claims to be
     row = F.concat_ws(":", "source", "line")
     keyed = rows.withColumn("session_id", row)
-    plain = keyed.withColumn("clusters", F.transform("participants", lambda p: F.lit(0)))
-    broken = validate.snapshot_violations(plain).unionByName(validate.cluster_violations(keyed, k)).unionByName(validate.governance_violations(keyed, schema_version, source, k)).unionByName(validate.stats_violations(keyed).select("session_id", "rule"))
+    broken = validate.human_violations(keyed, schema_version, source, k)
     broken = broken.unionByName(validate.violations(rows.select(row.alias("row"), "session_id"), "row", {"session id": F.coalesce(F.trim("session_id") != "", F.lit(False))}).withColumnRenamed("row", "session_id"))
     reasons = broken.groupBy(F.col("session_id").alias("__row")).agg(F.array_join(F.array_sort(F.collect_set("rule")), "; ").alias("error"))
     errors = errors.unionByName(rows.withColumn("__row", row).join(reasons, "__row").select("source", "line", "error"))

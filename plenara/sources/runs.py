@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenara.functions import strict_json as J
+from plenara.sources import jsonl
 
 #: The files of the two layouts.
 SAVED, TRACED = ("metadata.json", "results.jsonl"), ("config.toml", "traces.jsonl")
@@ -77,6 +78,15 @@ def _long(rows: DataFrame, head: dict, expected: int, per_task: int) -> tuple[Da
     return rollouts, metrics, out
 
 
+def _rows(spark: SparkSession, result: Path, schema: str) -> DataFrame:
+    """The lines of a result file with their numbers, each a strict JSON object: repeated keys, NaN and what follows a value are errors."""
+    rows, errors = jsonl.decoded(jsonl.numbered_lines(spark, [str(result)]), schema, lenient=True)
+    first = errors.orderBy("line").first()
+    if first is not None:
+        raise ValueError(f"{result}:{first.line}: {first.error}")
+    return rows
+
+
 def load_saved(spark: SparkSession, result: Path) -> tuple[DataFrame, DataFrame, DataFrame]:
     meta = J.loads((result.parent / SAVED[0]).read_text(encoding="utf-8"))
     for key, kind in (("env_id", str), ("model", str), ("num_examples", int), ("rollouts_per_example", int)):
@@ -85,7 +95,7 @@ def load_saved(spark: SparkSession, result: Path) -> tuple[DataFrame, DataFrame,
     args = meta.get("env_args") or {}
     environment = meta["env_id"] + (f"/{args['task']}" if isinstance(args.get("task"), str) else "")
     head = {"run_id": result.parent.name, "environment": environment, "model": meta["model"], "prompt_mode": args.get("prompt_mode"), "ts_ns": result.stat().st_mtime_ns}
-    read = spark.read.schema(RESULTS).option("mode", "FAILFAST").json(str(result)).withColumn("line", F.monotonically_increasing_id())
+    read = _rows(spark, result, RESULTS)
     fault = F.when(F.col("error").isNotNull(), F.lit("rollout with an error")).when(~F.coalesce("is_completed", F.lit(False)), F.lit("incomplete rollout")).when(F.coalesce("is_truncated", F.lit(False)), F.lit("truncated rollout"))
     rows = read.select(F.col("example_id").alias("task"), "line", "reward", F.coalesce("metrics", F.create_map().cast("map<string,double>")).alias("metrics"), F.sha2("answer", 256).alias("answer"), fault.alias("fault"))
     return _long(rows, head, meta["num_examples"] * meta["rollouts_per_example"], meta["rollouts_per_example"])
@@ -98,7 +108,7 @@ def load_traced(spark: SparkSession, result: Path) -> tuple[DataFrame, DataFrame
     if not name or not config.get("model"):
         raise ValueError(f"{result.parent / TRACED[0]}: model or environment")
     head = {"run_id": result.parent.name, "environment": name + (f"/{taskset['task_mode']}" if taskset.get("task_mode") else ""), "model": config["model"], "prompt_mode": taskset.get("prompt_mode"), "ts_ns": result.stat().st_mtime_ns}
-    read = spark.read.schema(TRACES).option("mode", "FAILFAST").json(str(result)).withColumn("line", F.monotonically_increasing_id())
+    read = _rows(spark, result, TRACES)
     t = F.get("traces", F.lit(0))
     reward = F.aggregate(F.map_values(t["rewards"]), F.lit(0.0), lambda s, r: s + r["score"] * r["weight"])
     named = F.map_concat(F.coalesce(t["metrics"], F.create_map().cast("map<string,double>")), F.transform_values(t["rewards"], lambda k, r: r["score"]))
