@@ -44,7 +44,7 @@ def analyze(rollouts: DataFrame, metrics: DataFrame, samples: int = 20_000, seed
         named = clusters.join(kept.select("environment", "stratum").distinct(), "environment").select("stratum", "task", "cluster")
         values = values.join(named, ["stratum", "task"])
     cluster = "cluster" if clusters is not None else None
-    drawn = study.draws(values, samples, seed, cluster=cluster).persist()
+    drawn = study.draws(values, samples, seed, cluster=cluster)
     summary = study.run_summary(kept, keys).join(study.intervals(study.bootstrap_means(values, drawn, keys), keys, level), list(keys))
     # metrics: task means, then the same draws
     tagged = metrics.join(kept.select("run_id", "stratum", "model", "task", "rollout"), ["run_id", "task", "rollout"])
