@@ -7,10 +7,11 @@ its whole tables. Doubles are rounded on both sides, as summation order differs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plenara import answer_queries, scenario_queries
+from plenara.functions import strict_json as J
 from plenara.functions import text as X
 from plenara.functions import votes as V
 from plenara.operators import audit, contract, forecast, matching, matrix, spans, study, validate, views
@@ -617,6 +618,46 @@ def prompt_ablation(spark, sf_dir):
     return out.select("stratum", "prompt_mode", "tasks", *[_r(c).alias(c) for c in ("mean_difference", "ci_low", "ci_high")])
 
 
+@_query("""SELECT l_orderkey, l_linenumber, l_returnflag AS environment, round(1 - l_discount / avg(l_tax) OVER (PARTITION BY l_returnflag), 6) + 0.0 AS contribution FROM lineitem""")
+def skill_contributions(spark, sf_dir):
+    """What each line adds to the pooled skill of its environment, discounts being losses and taxes those of the reference."""
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("environment"), "l_discount", "l_tax")
+    out = study.skill_contributions(rows, ("environment",), "l_discount", "l_tax")
+    return out.select("l_orderkey", "l_linenumber", "environment", (_r("contribution") + F.lit(0.0)).alias("contribution"))
+
+
+@_query("""WITH m AS (SELECT l_returnflag AS environment, CASE WHEN l_linenumber % 2 = 0 THEN 'brier' ELSE 'f1' END AS metric, l_discount AS value FROM lineitem),
+d AS (SELECT * FROM m UNION ALL SELECT environment, 'brier_skill_vs_uniform', 1 - value * 3 FROM m WHERE metric = 'brier' AND environment <> 'N')
+SELECT environment, metric, count(*) AS n, round(avg(value), 6) + 0.0 AS mean FROM d GROUP BY ALL""")
+def diagnostic_values(spark, sf_dir):
+    """Metrics of every line, with the skill against the uniform forecast where the environment forecasts."""
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("environment"), F.when(F.col("l_linenumber") % 2 == 0, "brier").otherwise("f1").alias("metric"), F.col("l_discount").alias("value"))
+    out = study.diagnostic_values(rows, F.col("environment") != "N")
+    return out.groupBy("environment", "metric").agg(F.count("*").alias("n"), (_r(F.avg("value")) + F.lit(0.0)).alias("mean"))
+
+
+_MODED = "['full', 'matrix-only', 'shuffled-text', 'text-only', 'other', 'another', NULL]"
+
+
+@_query(f"""WITH o AS (SELECT o_orderstatus AS environment, {_MODED}[o_orderkey % 7 + 1] AS mode, o_totalprice FROM orders), g AS (SELECT environment, mode, count(*) AS n FROM o GROUP BY ALL)
+SELECT environment, mode, n, row_number() OVER (PARTITION BY environment ORDER BY CASE WHEN mode IS NULL THEN -1 ELSE coalesce(list_position(['full', 'matrix-only', 'text-only', 'shuffled-text'], mode) - 1, 4) END, mode)::INTEGER AS place FROM g""")
+def prompt_mode_order(spark, sf_dir):
+    """Orders as rollouts of prompt modes, known, unknown and none, in the order in which modes are told."""
+    modes = F.array(*[F.lit(m) for m in ("full", "matrix-only", "shuffled-text", "text-only", "other", "another", None)])
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("environment"), F.get(modes, (F.col("o_orderkey") % 7).cast("int")).alias("mode"))
+    g = o.groupBy("environment", "mode").agg(F.count("*").alias("n"))
+    return g.withColumn("place", F.row_number().over(Window.partitionBy("environment").orderBy(study.prompt_mode_order(F.col("mode")))))
+
+
+@_query("""SELECT event_id, CASE WHEN event_id % 3 < 2 THEN sha256('{"a":' || user_id || ',"é":' || json_extract_string(props, '$.k') || '}') END AS digest FROM events""")
+def payload_digests(spark, sf_dir):
+    """Digests of JSON payloads in their canonical form: keys in either order, with and without blanks; none of one with a repeated key."""
+    e = _table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("u"), F.get_json_object("props", "$.k").alias("k"))
+    texts = [F.format_string('{"a": %s, "é": %s}', "u", "k"), F.format_string('{"\\u00e9":%s,\n"a":%s}', "k", "u"), F.format_string('{"a": %s, "é": %s, "a": 1}', "u", "k")]
+    turn = F.col("event_id") % 3
+    return e.select("event_id", J.stable_digest(F.when(turn == 0, texts[0]).when(turn == 1, texts[1]).otherwise(texts[2])).alias("digest"))
+
+
 # --- matching --------------------------------------------------------------------------------
 
 
