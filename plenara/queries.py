@@ -334,6 +334,85 @@ def snapshot_violations(spark, sf_dir):
     return validate.snapshot_violations(s.select(*[f.alias(c) for c, f in whens.items()])).select(F.col("session_id").alias("session"), "rule")
 
 
+#: What breaks the copies of a human session, in both engines: (column, in Spark, in DuckDB).
+_GOVERNED = (
+    ("participants", "transform(participants, (p, i) -> if(i = 0, 'Ann', p))", "list_concat(['Ann'], participants[2:])"), ("statements", "transform(statements, s -> named_struct('index', s.index, 'text', concat(s.text, ' ')))",
+     "list_transform(statements, lambda s: {'index': s.index, 'text': s.text || ' '})"), ("statements", "transform(statements, s -> named_struct('index', s.index, 'text', if(s.index = 2, 'ask a@b.co now', s.text)))",
+     "list_transform(statements, lambda s: {'index': s.index, 'text': CASE WHEN s.index = 2 THEN 'ask a@b.co now' ELSE s.text END})"), ("masked_cells", "array(array(0, 0))", "[[0, 0]]"),
+    ("clusters", "slice(clusters, 1, 2)", "clusters[1:2]"), ("clusters", "transform(clusters, c -> named_struct('id', 1, 'members', c.members, 'member_indices', c.member_indices, 'center', c.center))",
+     "list_transform(clusters, lambda c: {'id': 1::BIGINT, 'members': c.members, 'member_indices': c.member_indices, 'center': c.center})"),
+    ("clusters", "transform(clusters, c -> named_struct('id', c.id, 'members', reverse(c.members), 'member_indices', c.member_indices, 'center', c.center))",
+     "list_transform(clusters, lambda c: {'id': c.id, 'members': list_reverse(c.members), 'member_indices': c.member_indices, 'center': c.center})"),
+    ("clusters", "transform(clusters, c -> named_struct('id', c.id, 'members', slice(c.members, 1, 3), 'member_indices', slice(c.member_indices, 1, 3), 'center', c.center))",
+     "list_transform(clusters, lambda c: {'id': c.id, 'members': c.members[1:3], 'member_indices': c.member_indices[1:3], 'center': c.center})"),
+    ("clusters", "transform(clusters, c -> named_struct('id', c.id, 'members', c.members, 'member_indices', c.member_indices, 'center', array(0.5D)))",
+     "list_transform(clusters, lambda c: {'id': c.id, 'members': c.members, 'member_indices': c.member_indices, 'center': [0.5::DOUBLE]})"),
+    ("said", "transform(said, c -> named_struct('commentIndex', c.commentIndex, 'agrees', if(c.commentIndex = 1, c.agrees + 1, c.agrees), 'disagrees', c.disagrees, 'unsure', c.unsure, 'total', c.total, 'responded', c.responded))",
+     "list_transform(said, lambda c: {'s': c.s, 'a': CASE WHEN c.s = 1 THEN c.a + 1 ELSE c.a END, 'd': c.d, 'o': c.o, 't': c.t, 'r': c.r})"), ("said", "slice(said, 2, 99)", "said[2:]"),
+    *((f"meta_{c}", spark_, duck) for c, spark_, duck in (
+        ("synthetic", "true", "true"), ("k_anonymity", "4", "4"), ("source", "'other'", "'other'"), ("schema_version", "'v1'", "'v1'"), ("exporter_version", "'1.2'", "'1.2'"), ("exporter_version", "'01.2.3'", "'01.2.3'"), ("exporter_version", "'1.2.3-a.b+c'", "'1.2.3-a.b+c'"),
+        ("source_commit", "'abc'", "'abc'"), ("rights", "false", "false"), ("consent_scope", "' '", "' '"), ("attested", "false", "false"), ("reviewed_at", "'2023-02-29'", "'2023-02-29'"), ("checks", "slice(checks, 1, 2)", "checks[1:2]"),
+    )),
+)
+_META = {
+    "synthetic": "false", "k_anonymity": "5", "source": "'events'", "schema_version": "'v2'", "exporter_version": "'1.2.3'", "source_commit": "repeat('0a', 20)", "rights": "true", "consent_scope": "'research'", "attested": "true", "reviewed_at": "'2024-02-29'",
+}
+_CHECKS = "'participant-pseudonyms', 'direct-identifiers', 'free-text'"
+
+
+def _governed(column: str, as_is: str, turn: int) -> str:
+    """A column of the copies, in Spark's (1) or DuckDB's (2) expressions."""
+    whens = " ".join(f"WHEN {k} THEN {b[turn]}" for k, b in enumerate(_GOVERNED, 1) if b[0] == column)
+    return f"CASE k {whens} ELSE {as_is} END" if whens else as_is
+
+
+_GOVERNANCE_RULES = {
+    "clusters": "len(clusters) BETWEEN 1 AND 100", "cluster ids": "len(list_distinct(list_transform(clusters, lambda c: c.id))) = len(clusters)", "cluster smaller than k": "len(list_filter(clusters, lambda c: len(c.members) < 5)) = 0",
+    "members and places differ": "len(list_filter(clusters, lambda c: c.members <> list_transform(c.member_indices, lambda i: participants[i + 1]))) = 0",
+    "clusters are no partition": "list_sort(flatten(list_transform(clusters, lambda c: c.member_indices))) = range(len(participants))", "cluster center": "len(list_filter(clusters, lambda c: len(c.center) > 0)) = 0",
+    "pseudonyms": "participants = list_transform(range(len(participants)), lambda i: 'p' || lpad(i::VARCHAR, 3, '0'))", "statement text": "len(list_filter(statements, lambda s: s.text <> trim(s.text))) = 0",
+    "human rows are unmasked": "len(masked_cells) = 0", "synthetic": "NOT meta_synthetic", "k-anonymity": "meta_k_anonymity >= 5", "source": "meta_source = 'events'", "schema version": "meta_schema_version = 'v2'",
+    "exporter version": "regexp_matches(meta_exporter_version, '^(0|[1-9][0-9]*)[.](0|[1-9][0-9]*)[.](0|[1-9][0-9]*)(-[0-9A-Za-z-]+([.][0-9A-Za-z-]+)*)?([+][0-9A-Za-z-]+([.][0-9A-Za-z-]+)*)?$')",
+    "source commit": "regexp_matches(meta_source_commit, '^[0-9a-f]{40}$')", "rights": "meta_rights", "consent": "trim(meta_consent_scope) <> ''",
+    "privacy review": "meta_attested AND try_cast(meta_reviewed_at AS DATE) IS NOT NULL AND list_sort(meta_checks) = ['direct-identifiers', 'free-text', 'participant-pseudonyms']",
+    "direct identifier": "len(list_filter(statements, lambda s: regexp_matches(s.text, '[a-z]+@[a-z]+[.][a-z]{2,}'))) = 0",
+    "reported counts": "len(said) = 12 AND len(list_filter(said, lambda c: c.a <> len(list_filter(votes, lambda r: r[c.s + 1] = 1)) OR c.d <> len(list_filter(votes, lambda r: r[c.s + 1] = -1)) OR c.o <> len(list_filter(votes, lambda r: r[c.s + 1] = 0)))) = 0",
+}
+
+
+@_query(f"""WITH {VOTES}, part AS (SELECT session, p, row_number() OVER (PARTITION BY session ORDER BY p) - 1 AS i FROM (SELECT DISTINCT session, p FROM cell)),
+grid AS (SELECT session, list(line ORDER BY i) AS votes, list('p' || lpad(i::VARCHAR, 3, '0') ORDER BY i) AS participants FROM (SELECT part.session, i, list(vote ORDER BY s) AS line FROM part CROSS JOIN (SELECT unnest(range(12)) AS s) t LEFT JOIN cell USING (session, p, s) GROUP BY ALL) GROUP BY session),
+grp AS (SELECT session, list({{'id': g, 'members': m, 'member_indices': x, 'center': []::DOUBLE[]}} ORDER BY g) AS clusters FROM (SELECT session, i % 3 AS g, list('p' || lpad(i::VARCHAR, 3, '0') ORDER BY i) AS m, list(i ORDER BY i) AS x FROM part GROUP BY ALL) GROUP BY session),
+cnt AS (SELECT session, list({{'s': s, 'a': a, 'd': d, 'o': o, 't': n, 'r': n}} ORDER BY s) AS said FROM (SELECT session, s, count(*) FILTER (vote = 1) AS a, count(*) FILTER (vote = -1) AS d, count(*) FILTER (vote = 0) AS o, count(vote) AS n FROM cell GROUP BY ALL) GROUP BY session),
+base AS (SELECT session, votes, participants, clusters, said, list_transform(range(12), lambda x: {{'index': x, 'text': 'statement ' || x}}) AS statements, [{_CHECKS}] AS checks FROM grid JOIN grp USING (session) JOIN cnt USING (session)),
+copies AS (SELECT session || '/' || k AS session, votes, {_governed("participants", "participants", 2)} AS participants, {_governed("statements", "statements", 2)} AS statements, {_governed("masked_cells", "[]", 2)} AS masked_cells, {_governed("clusters", "clusters", 2)} AS clusters,
+  {_governed("said", "said", 2)} AS said, {_governed("meta_checks", "checks", 2)} AS meta_checks, {", ".join(f"{_governed(f'meta_{c}', v, 2)} AS meta_{c}" for c, v in _META.items())} FROM base, range({len(_GOVERNED) + 1}) r(k))
+SELECT session, rule FROM (""" + " UNION ALL ".join(f"SELECT session, '{name}' AS rule FROM copies WHERE NOT ({ok})" for name, ok in _GOVERNANCE_RULES.items()) + ")")
+def human_session_rules(spark, sf_dir):
+    """Every session as a human one, once as it is and once broken in each of twenty-four ways: clusters, texts, counts, governance."""
+    cells = _cells(spark, sf_dir)
+    none = cells.where(F.lit(False)).select("session", "p", "s", "vote", F.lit(1).alias("rank"))
+    s = views.nested(cells, none, statements=12).drop("clusters", "meta")
+    people = F.transform("participants", lambda p, i: F.concat(F.lit("p"), F.lpad(i.cast("string"), 3, "0")))
+    numbers = F.sequence(F.lit(0), F.size("participants") - 1)
+    group = lambda g: F.struct(
+        g.cast("int").alias("id"), F.transform(F.filter(numbers, lambda i: i % 3 == g), lambda i: F.concat(F.lit("p"), F.lpad(i.cast("string"), 3, "0"))).alias("members"),
+        F.filter(numbers, lambda i: i % 3 == g).alias("member_indices"), F.array().cast("array<double>").alias("center"),
+    )
+    counts = matrix.comment_stats(cells).select("session", F.struct(
+        F.col("s").alias("commentIndex"), *[F.col(c).cast("int").alias(n) for c, n in (("agree", "agrees"), ("disagree", "disagrees"), ("pass", "unsure"), ("seen", "total"), ("seen", "responded"))]).alias("c"))
+    said = counts.groupBy(F.col("session").alias("session_id")).agg(F.array_sort(F.collect_list("c")).alias("said"))
+    s = s.withColumn("clusters", F.transform(F.sequence(F.lit(0), F.lit(2)), group)).withColumn("participants", people).join(said, "session_id")
+    s = s.withColumn("checks", F.expr(f"array({_CHECKS})")).withColumn("masked_cells", F.array().cast("array<array<int>>")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(_GOVERNED)))))
+    of = lambda c, as_is: F.expr(_governed(c, as_is, 1))
+    m = {c: of(f"meta_{c}", v) for c, v in (_META | {"checks": "checks"}).items()}
+    review = F.struct(m["attested"].alias("attested"), m["reviewed_at"].alias("reviewed_at"), m["checks"].alias("checks"))
+    meta = F.struct(*[m[c].alias(c) for c in ("synthetic", "k_anonymity", "source", "schema_version", "exporter_version", "source_commit", "consent_scope")], m["rights"].alias("redistribution_rights_approved"), review.alias("privacy_review"))
+    made = s.select(F.concat_ws("/", "session_id", "k").alias("session_id"), "votes", "held_out", *[of(c, c).alias(c) for c in ("participants", "statements", "masked_cells", "clusters")], F.struct(of("said", "said").alias("comment")).alias("stats"), meta.alias("meta"))
+    broken = validate.cluster_violations(made).unionByName(validate.governance_violations(made, "v2", "events")).unionByName(validate.stats_violations(made).select("session_id", "rule"))
+    return broken.distinct().select(F.col("session_id").alias("session"), "rule")
+
+
 @_query(f"""WITH {_NESTED}, p AS (SELECT session, sum((vote = 1)::INT) / count(vote) AS pa, sum((vote = -1)::INT) / count(vote) AS pd, sum((vote = 0)::INT) / count(vote) AS pp FROM dense GROUP BY session)
 SELECT session AS example_id, '{{' || array_to_string(list_transform(list_sort(list_transform(held, lambda h: '"' || h.cell || '":' || h.vote)), lambda x: x), ',') || '}}' AS answer,
   len(list_distinct(clusters))::INTEGER AS cluster_count, len(held)::INTEGER AS masked_vote_count, round(pa, 6) AS agree, round(pd, 6) AS disagree, round(pp, 6) AS pass, len(participants)::INTEGER AS people, false AS shows_held_out
