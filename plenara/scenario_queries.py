@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plenara.functions import text as X
-from plenara.operators import matching, validate, views
+from plenara.operators import matching, prompts, validate, views
 from plenara.plans import findings
 
 #: Registered by plenara.queries.
@@ -268,6 +268,55 @@ def document_views(spark, sf_dir):
     return seen.select("scenario_id", F.explode("documents").alias("d"), found.alias("found")).select("scenario_id", "d.doc_id", "d.text", F.array_contains("found", F.col("d.doc_id")).alias("planted"))
 
 
+# --- prompts ---------------------------------------------------------------------------------
+
+QUESTIONS, POLARIZED = 2, 0.75
+_FACTIONS = (("f1", "Staff", "who work here"), ("f2", "Visitors", "who come by"), ("f3", "Neighbours", "who live near"))
+_WEIGHTS = dict(zip(validate.DIMENSIONS, (0.5, -0.25, 0.0, 1.0, 0.125), strict=True))
+
+
+def _prompted(spark, sf_dir) -> DataFrame:
+    """Scenarios of four documents with three factions; the decision of each document's item names the document."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    frame = lambda x: F.struct(
+        F.lit("the board").alias("actor"), text("decides on ", x["doc_id"]).alias("action"), F.lit("in doubt").alias("condition"), F.lit("it stands").alias("anchor_outcome"), F.lit("it changes").alias("alternative_outcome"),
+    )
+    weights = F.struct(*[F.lit(w).alias(d) for d, w in _WEIGHTS.items()])
+    return _scenarios(spark, sf_dir).select(
+        "scenario_id", F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("faction_id", "name", "summary"), f, strict=True)]) for f in _FACTIONS]).alias("factions"),
+        F.transform("documents", lambda d: F.struct(d["doc_id"], text("Rules ", d["doc_id"]).alias("title"), F.lit("memo").alias("style"), d["text"].alias("text"))).alias("documents"),
+        F.transform("planted_items", lambda x: F.struct(frame(x).alias("decision"), weights.alias("value_weights"))).alias("visible_items"),
+    )
+
+
+def _said(lines) -> str:
+    """Lines of a prompt as a SQL text."""
+    return "'" + "\n".join(lines).replace("'", "''") + "'"
+
+
+_SHOWN = "string_agg(chr(10) || '[' || doc_id || '] Rules ' || doc_id || ' (memo)' || chr(10) || text, chr(10) ORDER BY doc_id)"
+_WEIGHED = "{" + ",".join(f'"{d}":{_WEIGHTS[d]}' for d in sorted(_WEIGHTS)) + "}"
+_PROFILE = (
+    """'{"alternative_tradeoff_weights":""" + _WEIGHED + ""","decision":{"action":"decides on ' || doc_id || '","actor":"the board","alternative_outcome":"it changes","anchor_outcome":"it stands","condition":"in doubt"}}'"""
+)
+
+
+@_query(rf"""WITH d AS (SELECT task, text, {_SENTENCES} AS s FROM (SELECT doc_id AS task, min(coalesce(text, '')) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY 1)),
+r AS (SELECT task // 4 AS scenario_id, 'd' || (task % 4) AS doc_id, text FROM d WHERE len(s) >= 5),
+g AS (SELECT scenario_id, {_SHOWN} AS docs, '[' || string_agg({_PROFILE}, ',' ORDER BY doc_id) || ']' AS profiles FROM r GROUP BY 1),
+f AS (SELECT {_said([f"[{i}] {n}: {t}" for i, n, t in _FACTIONS])} AS factions)
+SELECT scenario_id, 'find' AS task, sha256({_said(prompts.FIND_OPENING)} || chr(10) || factions || chr(10) || chr(10) || 'Documents:' || chr(10) || docs || chr(10) || chr(10) || {_said(prompts.find_closing(QUESTIONS))}) AS prompt_sha256 FROM g, f
+UNION ALL SELECT scenario_id, 'ask', sha256({_said(prompts.ask_opening(QUESTIONS, POLARIZED, 0.25))} || chr(10) || factions || chr(10) || chr(10) || 'Candidate decision profiles (unordered; one per possible issue):' || chr(10) || profiles
+  || chr(10) || chr(10) || 'Documents:' || chr(10) || docs || chr(10) || chr(10) || {_said(prompts.ASK_CLOSING)}) FROM g, f""")
+def scenario_prompts(spark, sf_dir):
+    """Both prompts of scenarios made of four documents each."""
+    rows, out = _prompted(spark, sf_dir), None
+    for task, prompt in (("find", prompts.find_prompt(QUESTIONS)), ("ask", prompts.ask_prompt(QUESTIONS, POLARIZED))):
+        part = rows.select("scenario_id", F.lit(task).alias("task"), F.sha2(prompt, 256).alias("prompt_sha256"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # --- identities ------------------------------------------------------------------------------
 
 _CLEAN = r"trim(regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[ \t\n\x0B\f\r\x{85}\p{Z}\x1c-\x1f]+', ' ', 'g'))"
