@@ -37,6 +37,8 @@ LONG = 50
 SENT_LEAVES = 1 << 20
 #: Bytes of text after which rows that were made of it are handed on.
 _HAND_ON = 1 << 20
+#: Texts that are cut at once.
+_ROWS = 128
 _DIGIT = re.compile(rb"[0-9]")
 
 
@@ -194,8 +196,17 @@ def without_recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "te
     gone = written(gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("dropped").alias("__dropped")))
     # dealt out by text at every size, as what is cut grows with the corpus
     met = docs.hint("merge").join(gone, F.col(id).eqNullSafe(F.col("__id")) & (_text_hash(text) == F.col("__th")), "left").drop("__id", "__th")
+    return _cut(met, text, marks, most)
 
-    def cut(whole: str | None, numbers: list[int] | None) -> tuple:
+
+def _cut(met: DataFrame, text: str, marks: bool, most: float | None) -> DataFrame:
+    """`met` without its column __dropped, the lines of these numbers cut from the text, which is replaced where it stands and not carried twice."""
+    at, last = met.columns.index(text), len(met.columns) - 1
+    met = met.select(*[c for c in met.columns if c != "__dropped"], "__dropped")
+    added = T.DataType.fromDDL("n_lines long, n_dropped long, dropped array<int>").fields if marks else []
+    schema = T.StructType([*met.schema.fields[:last], *added])
+
+    def one(whole: str | None, numbers: list[int] | None) -> tuple:
         if whole is None:
             return None, 0, 0, []
         if not numbers:
@@ -205,15 +216,20 @@ def without_recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "te
             return whole, len(parts), 0, []
         return "\n".join(p for k, p in enumerate(parts) if k not in off), len(parts), len(off), sorted(off)
 
-    def make():
-        return lambda texts, numbers: [list(c) for c in zip(*map(cut, texts, numbers), strict=True)] or [[], [], [], []]
-
-    names = ["__text", "__n_lines", "__n_dropped", "__numbers"]
-    done = add_columns(met, [text, "__dropped"], "__text string, __n_lines long, __n_dropped long, __numbers array<int>", make)
-    columns = [F.col("__text").alias(c) if c == text else F.col(c) for c in docs.columns]
-    if marks:
-        columns += [F.col(n).alias(c) for n, c in zip(names[1:], ["n_lines", "n_dropped", "dropped"], strict=True)]
-    return done.select(*columns)
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(start, _ROWS)
+                done = [one(t, n) for t, n in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist(), strict=True)]
+                columns = batch.columns[:last]
+                columns[at] = pa.array([d[0] for d in done], pa.string())
+                if marks:
+                    columns += [pa.array([d[k] for d in done], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.list_(pa.int32())))]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+            whole = batch = done = columns = None
+            give_back()
+
+    return met.mapInArrow(run, schema)
 
 
 def op7_line_templates(spark, sf_dir: str) -> DataFrame:
