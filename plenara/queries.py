@@ -40,6 +40,11 @@ def _r(c, digits: int = 6):
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
 
+def _off_ties(c: str):
+    """Rounded like _r, but away from ties: resampled means of few tasks often lie between two numbers of six digits."""
+    return F.round(F.col(c) + F.lit(1e-10), 6)
+
+
 # --- votes -----------------------------------------------------------------------------------
 
 VOTES = """
@@ -75,7 +80,7 @@ fc AS (
   UNION ALL SELECT 'prior', session, p, s, vote, a / n, d / n, o / n FROM hidden, tot
   UNION ALL SELECT 'column', h.session, h.p, h.s, vote, CASE WHEN n > 0 THEN a / n ELSE 1/3 END, CASE WHEN n > 0 THEN d / n ELSE 1/3 END, CASE WHEN n > 0 THEN o / n ELSE 1/3 END
     FROM hidden h LEFT JOIN col ON col.session = h.session AND col.s = h.s
-  UNION ALL SELECT 'neighbors', h.session, h.p, h.s, h.vote, coalesce(k.a / (k.a + k.d + k.o), (col.a + 0.5) / (col.n + 1.5)), coalesce(k.d / (k.a + k.d + k.o), (col.d + 0.5) / (col.n + 1.5)), coalesce(k.o / (k.a + k.d + k.o), (col.o + 0.5) / (col.n + 1.5))
+  UNION ALL SELECT 'neighbors', h.session, h.p, h.s, h.vote, coalesce(k.a / (k.a + k.d + k.o), (coalesce(col.a, 0) + 0.5) / (coalesce(col.n, 0) + 1.5)), coalesce(k.d / (k.a + k.d + k.o), (coalesce(col.d, 0) + 0.5) / (coalesce(col.n, 0) + 1.5)), coalesce(k.o / (k.a + k.d + k.o), (coalesce(col.o, 0) + 0.5) / (coalesce(col.n, 0) + 1.5))
     FROM hidden h LEFT JOIN knn k ON k.session = h.session AND k.p = h.p AND k.s = h.s LEFT JOIN col ON col.session = h.session AND col.s = h.s),
 scored AS (
   SELECT *, ((pa - (vote = 1)::INT)^2 + (pd - (vote = -1)::INT)^2 + (pp - (vote = 0)::INT)^2) / 2 AS brier,
@@ -370,7 +375,7 @@ _GOVERNANCE_RULES = {
     "clusters": "len(clusters) BETWEEN 1 AND 100", "cluster ids": "len(list_distinct(list_transform(clusters, lambda c: c.id))) = len(clusters)", "cluster smaller than k": "len(list_filter(clusters, lambda c: len(c.members) < 5)) = 0",
     "members and places differ": "len(list_filter(clusters, lambda c: c.members <> list_transform(c.member_indices, lambda i: participants[i + 1]))) = 0",
     "clusters are no partition": "list_sort(flatten(list_transform(clusters, lambda c: c.member_indices))) = range(len(participants))", "cluster center": "len(list_filter(clusters, lambda c: len(c.center) > 0)) = 0",
-    "pseudonyms": "participants = list_transform(range(len(participants)), lambda i: 'p' || lpad(i::VARCHAR, 3, '0'))", "statement text": "len(list_filter(statements, lambda s: s.text <> trim(s.text))) = 0",
+    "too few participants": "len(participants) >= 5", "pseudonyms": "participants = list_transform(range(len(participants)), lambda i: 'p' || lpad(i::VARCHAR, 3, '0'))", "statement text": "len(list_filter(statements, lambda s: s.text <> trim(s.text))) = 0",
     "human rows are unmasked": "len(masked_cells) = 0", "synthetic": "NOT meta_synthetic", "k-anonymity": "meta_k_anonymity >= 5", "source": "meta_source = 'events'", "schema version": "meta_schema_version = 'v2'",
     "exporter version": "regexp_matches(meta_exporter_version, '^(0|[1-9][0-9]*)[.](0|[1-9][0-9]*)[.](0|[1-9][0-9]*)(-[0-9A-Za-z-]+([.][0-9A-Za-z-]+)*)?([+][0-9A-Za-z-]+([.][0-9A-Za-z-]+)*)?$')",
     "source commit": "regexp_matches(meta_source_commit, '^[0-9a-f]{40}$')", "rights": "meta_rights", "consent": "trim(meta_consent_scope) <> ''",
@@ -599,13 +604,14 @@ def rollout_distribution(spark, sf_dir):
 def _values(spark, sf_dir) -> DataFrame:
     """Orders as task values: strata by status, models by priority, tasks in clusters."""
     o = _table(spark, sf_dir, "orders")
-    rows = o.select(F.col("o_orderstatus").alias("stratum"), F.col("o_orderpriority").alias("model"), (F.col("o_custkey") % 24).alias("task"), (F.col("o_totalprice") / 100000).alias("reward"))
+    cents = F.round(F.col("o_totalprice") * 100)  # whole numbers, whose mean is the same in whatever order they are summed
+    rows = o.select(F.col("o_orderstatus").alias("stratum"), F.col("o_orderpriority").alias("model"), (F.col("o_custkey") % 24).alias("task"), cents.alias("reward"))
     means = study.task_means(rows, ("stratum", "model"))
     whole = means.groupBy("stratum", "task").agg(F.count("*").alias("models")).where("models = 5").select("stratum", "task")
-    return means.join(whole, ["stratum", "task"]).select("stratum", "model", "task", (F.col("task") % 7).alias("cluster"), _r("value", 4).alias("value"))
+    return means.join(whole, ["stratum", "task"]).select("stratum", "model", "task", (F.col("task") % 7).alias("cluster"), (F.floor(F.col("value") / 1000 + 0.5) / 10000).alias("value"))
 
 
-_VALUES = """WITH RECURSIVE v0 AS (SELECT o_orderstatus AS stratum, o_orderpriority AS model, o_custkey % 24 AS task, round(avg(o_totalprice / 100000), 4) AS value FROM orders GROUP BY ALL),
+_VALUES = """WITH RECURSIVE v0 AS (SELECT o_orderstatus AS stratum, o_orderpriority AS model, o_custkey % 24 AS task, floor(avg(round(o_totalprice * 100)) / 1000 + 0.5) / 10000 AS value FROM orders GROUP BY ALL),
 ok AS (SELECT stratum, task FROM v0 GROUP BY ALL HAVING count(*) = 5), v AS (SELECT stratum, model, task, task % 7 AS cluster, value FROM v0 JOIN ok USING (stratum, task))"""
 _H = "('0x' || substr(sha256({}), 1, 15))::BIGINT"
 _FLAT = f"""{_VALUES}, pl AS (SELECT stratum, task, row_number() OVER (PARTITION BY stratum ORDER BY task) - 1 AS place, count(*) OVER (PARTITION BY stratum) AS n FROM ok),
@@ -619,14 +625,14 @@ ch AS (SELECT rk.stratum, rk.cluster, rk.n, sample, slot FROM sl JOIN rk ON rk.s
 tn AS (SELECT *, unnest(range(n)) AS turn FROM ch),
 dr AS (SELECT tn.stratum, sample, task FROM tn JOIN pl ON pl.stratum = tn.stratum AND pl.cluster = tn.cluster AND pl.place = {_H.format(f"'{SEED} ' || tn.stratum || ' member ' || sample || ' ' || slot || ' ' || turn")} % tn.n)"""
 _CI = """, bm AS (SELECT v.stratum, v.model, sample, avg(value) AS mean FROM dr JOIN v ON v.stratum = dr.stratum AND v.task = dr.task GROUP BY ALL)
-SELECT stratum, model, round(quantile_cont(mean, 0.025), 6) AS ci_low, round(quantile_cont(mean, 0.975), 6) AS ci_high FROM bm GROUP BY ALL"""
+SELECT stratum, model, round(quantile_cont(mean, 0.025) + 1e-10, 6) AS ci_low, round(quantile_cont(mean, 0.975) + 1e-10, 6) AS ci_high FROM bm GROUP BY ALL"""
 
 
 def _interval(spark, sf_dir, cluster: str | None):
     values = _values(spark, sf_dir)
     drawn = study.draws(values, SAMPLES, SEED, cluster=cluster)
     out = study.intervals(study.bootstrap_means(values, drawn, ("stratum", "model")), ("stratum", "model"))
-    return out.select("stratum", "model", _r("ci_low").alias("ci_low"), _r("ci_high").alias("ci_high"))
+    return out.select("stratum", "model", _off_ties("ci_low").alias("ci_low"), _off_ties("ci_high").alias("ci_high"))
 
 
 @_query(_FLAT + _CI)
@@ -675,26 +681,26 @@ _MEAN = "sign(sum(round(d * 10000)::BIGINT)) * ((abs(sum(round(d * 10000)::BIGIN
 @_query(_CLUSTERED + _SIGN + _HOLM + f""", md AS (SELECT stratum, model_a, model_b, {_MEAN} AS mean_difference FROM df GROUP BY ALL),
 bd AS (SELECT df.stratum, model_a, model_b, sample, avg(d) AS mean FROM df JOIN dr ON dr.stratum = df.stratum AND dr.task = df.task GROUP BY ALL),
 ci AS (SELECT stratum, model_a, model_b, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM bd GROUP BY ALL)
-SELECT stratum, model_a, model_b, round(mean_difference, 6) AS mean_difference, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(p, 6) AS p_value, round(hp, 6) AS holm_p,
+SELECT stratum, model_a, model_b, round(mean_difference, 6) AS mean_difference, round(lo + 1e-10, 6) AS ci_low, round(hi + 1e-10, 6) AS ci_high, round(p, 6) AS p_value, round(hp, 6) AS holm_p,
   CASE WHEN lo > 0 THEN model_a || ' higher' WHEN hi < 0 THEN model_b || ' higher' ELSE 'interval includes 0' END AS interpretation,
   CASE WHEN hp <= 0.05 AND mean_difference > 0 THEN model_a || ' higher after Holm adjustment' WHEN hp <= 0.05 AND mean_difference < 0 THEN model_b || ' higher after Holm adjustment' ELSE 'not significant after Holm adjustment' END AS holm_interpretation
 FROM md JOIN ci USING (stratum, model_a, model_b) JOIN ho USING (stratum, model_a, model_b)""")
 def pairwise_diff(spark, sf_dir):
     values = _values(spark, sf_dir)
     out = study.pairwise(values, study.draws(values, SAMPLES, SEED, cluster="cluster"), SAMPLES, SEED, "cluster")
-    return out.select("stratum", "model_a", "model_b", *[_r(c).alias(c) for c in ("mean_difference", "ci_low", "ci_high", "p_value", "holm_p")], "interpretation", "holm_interpretation")
+    return out.select("stratum", "model_a", "model_b", *[_r(c).alias(c) for c in ("mean_difference", "p_value", "holm_p")], *[_off_ties(c).alias(c) for c in ("ci_low", "ci_high")], "interpretation", "holm_interpretation")
 
 
 @_query(_FLAT + f""", w AS (SELECT a.stratum, b.model AS prompt_mode, a.task, a.value - b.value AS d FROM v a JOIN v b ON a.stratum = b.stratum AND a.task = b.task AND a.model = '1-URGENT' AND b.model <> '1-URGENT'),
 bm AS (SELECT w.stratum, prompt_mode, sample, avg(d) AS mean FROM dr JOIN w ON w.stratum = dr.stratum AND w.task = dr.task GROUP BY ALL),
 ci AS (SELECT stratum, prompt_mode, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM bm GROUP BY ALL)
-SELECT stratum, prompt_mode, round({_MEAN}, 6) AS mean_difference, count(*) AS tasks, round(any_value(lo), 6) AS ci_low, round(any_value(hi), 6) AS ci_high FROM w JOIN ci USING (stratum, prompt_mode) GROUP BY ALL""")
+SELECT stratum, prompt_mode, round({_MEAN}, 6) AS mean_difference, count(*) AS tasks, round(any_value(lo) + 1e-10, 6) AS ci_low, round(any_value(hi) + 1e-10, 6) AS ci_high FROM w JOIN ci USING (stratum, prompt_mode) GROUP BY ALL""")
 def prompt_ablation(spark, sf_dir):
     """The urgent orders as the full prompt, the other priorities as its ablations."""
     values = _values(spark, sf_dir)
     rows = values.select("stratum", F.lit("model").alias("model"), F.lit("reward").alias("metric"), F.when(F.col("model") == "1-URGENT", "full").otherwise(F.col("model")).alias("prompt_mode"), "task", "value")
     out = study.ablations(rows, study.draws(values, SAMPLES, SEED))
-    return out.select("stratum", "prompt_mode", "tasks", *[_r(c).alias(c) for c in ("mean_difference", "ci_low", "ci_high")])
+    return out.select("stratum", "prompt_mode", "tasks", _r("mean_difference").alias("mean_difference"), *[_off_ties(c).alias(c) for c in ("ci_low", "ci_high")])
 
 
 @_query("""SELECT l_orderkey, l_linenumber, l_returnflag AS environment, round(1 - l_discount / avg(l_tax) OVER (PARTITION BY l_returnflag), 6) + 0.0 AS contribution FROM lineitem""")
