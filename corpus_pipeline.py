@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenara.llm import bpe, decontam, linetree, neardup, quality
-from plenara.llm.common import set_aside, table, written
+from plenara.llm.common import release, set_aside, table, tables, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,9 +62,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over `documents`. What a stage has written on the way goes when its result is there, and that when the next one's is."""
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before = tables()
+        out = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            docs = written(docs)
+            out = written(out)
+            own = {path for path in tables() - before if path != out.plenara_path}
+            release(*own, *([docs] if number else []))
+        docs = out
     return docs
