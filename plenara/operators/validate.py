@@ -70,15 +70,20 @@ def cluster_violations(snapshots: DataFrame, k: int = LEAST_K) -> DataFrame:
     return violations(snapshots, "session_id", rules)
 
 
+def pseudonym(place: Column) -> Column:
+    """The name of the participant at a place: p and three digits, or more from place 1000 on."""
+    number = place.cast("string")
+    return F.concat(F.lit("p"), F.lpad(number, F.greatest(F.lit(3), F.length(number)), F.lit("0")))
+
+
 def governance_violations(snapshots: DataFrame, schema_version: str, source: str, k: int = LEAST_K) -> DataFrame:
     """What keeps human sessions from being published: bounds, pseudonyms, identifiers in texts, privacy review, provenance, statistics that don't follow from the votes."""
     people, width = F.size("participants"), F.size("statements")
-    pseudonyms = F.transform(F.sequence(F.lit(0), people - 1), lambda i: F.concat(F.lit("p"), F.lpad(i.cast("string"), 3, "0")))
-    longer = F.transform(F.sequence(F.lit(0), people - 1), lambda i: F.concat(F.lit("p"), F.when(i < 1000, F.lpad(i.cast("string"), 3, "0")).otherwise(i.cast("string"))))
+    pseudonyms = F.transform(F.sequence(F.lit(0), people - 1), pseudonym)
     review = F.col("meta.privacy_review")
     rules = {
         "too many participants": people <= MAX_PARTICIPANTS, "too many statements": width <= MAX_STATEMENTS, "too many cells": people * width <= MAX_CELLS, "too few participants": people >= k,
-        "pseudonyms": F.when(people <= 1000, F.col("participants") == pseudonyms).otherwise(F.col("participants") == longer), "statement text": F.forall("statements", lambda s: s["text"] == F.trim(s["text"])),
+        "pseudonyms": F.col("participants") == pseudonyms, "statement text": F.forall("statements", lambda s: s["text"] == F.trim(s["text"])),
         "human rows are unmasked": (F.size("masked_cells") == 0) & (F.size(F.map_keys("held_out")) == 0), "synthetic": F.col("meta.synthetic") == F.lit(False), "k-anonymity": F.col("meta.k_anonymity") >= k,
         "source": F.col("meta.source") == source, "schema version": F.col("meta.schema_version") == schema_version, "exporter version": F.col("meta.exporter_version").rlike(SEMVER),
         "source commit": F.col("meta.source_commit").rlike(r"\A[0-9a-f]{40}\z"), "rights": F.col("meta.redistribution_rights_approved") == F.lit(True), "consent": _filled(F.col("meta.consent_scope")),
