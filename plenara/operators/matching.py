@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plenara.functions import text as X
 from plenara.functions import votes as V
@@ -19,6 +20,8 @@ OVERLAP, COVERAGE, PRECISION = 0.8, 0.9, 0.8
 #: Items up to which the matching is counted by subsets of items in SQL; beyond that by augmenting paths.
 FEW_ITEMS = 4
 GROUNDING_SHARE, STANCE_SHARE = 0.5, 0.5
+#: What a decision says in public.
+PROFILE = ("actor", "action", "condition", "anchor_outcome", "alternative_outcome")
 
 
 def evidence_matches(overlap: Column, coverage: Column, precision: Column, contiguous: Column, same_document: Column) -> Column:
@@ -123,26 +126,43 @@ def question_weight(grounded: Column, accuracy: Column, worth: Column) -> Column
 def question_utility(weights: DataFrame, worths: DataFrame, sizes: DataFrame, questions: int) -> DataFrame:
     """(task, utility): the best assignment's weight over the sum of the `questions` greatest worths, at most 1.
 
-    `weights` has (task, cand, item, weight), `worths` (task, item, worth). A task with another
-    number of candidates than asked for earns 0.
+    `weights` has (task, cand, item, weight), none below 0, `worths` (task, item, worth). A task
+    with another number of candidates than asked for earns 0.
     """
     top = Window.partitionBy("task").orderBy(F.desc("worth"), "item")
     most = worths.withColumn("n", F.row_number().over(top)).where(F.col("n") <= questions).groupBy("task").agg(F.sum("worth").alias("most"))
     if questions == 1:
         best = weights.groupBy("task").agg(F.max("weight").alias("sum"))
     else:
-        schema = "task " + weights.schema["task"].dataType.simpleString() + ", sum double"
-
-        def per_task(frame: pd.DataFrame) -> pd.DataFrame:
-            table = frame.pivot_table(index="cand", columns="item", values="weight", aggfunc="max", fill_value=0.0)
-            return pd.DataFrame([{"task": frame["task"].iloc[0], "sum": greatest_weight(table.to_numpy().tolist())}])
-
-        best = weights.groupBy("task").applyInPandas(per_task, schema)
+        best = weights.where("weight > 0").groupBy("task").agg(F.collect_list(F.struct("cand", "item", "weight")).alias("w")).select("task", greatest_sum(F.col("w")).alias("sum"))
     met = sizes.join(best, "task", "left").join(most, "task", "left")
     ok = (F.col("n_candidates") == questions) & (F.col("most") > 0)
     return met.select("task", F.when(ok, F.least(F.lit(1.0), F.coalesce("sum", F.lit(0.0)) / F.col("most"))).otherwise(F.lit(0.0)).alias("utility"))
 
 
+@F.pandas_udf(T.DoubleType())
+def _assigned(cands: pd.Series, items: pd.Series, weights: pd.Series) -> pd.Series:
+    def best(cs, xs, ws) -> float | None:
+        if cs is None:
+            return None
+        row, column = ({x: k for k, x in enumerate(dict.fromkeys(of))} for of in (cs, xs))
+        table = [[0.0] * len(column) for _ in row]
+        for c, x, w in zip(cs, xs, ws, strict=True):
+            table[row[c]][column[x]] = max(table[row[c]][column[x]], float(w))
+        return greatest_weight(table)
+
+    return pd.Series([best(*x) for x in zip(cands, items, weights, strict=True)], dtype="float64")
+
+
+def greatest_sum(pairs: Column) -> Column:
+    """The greatest sum of weights of pairs (cand, item, weight above 0) that share no side; where no two pairs do it is the sum of all, and the row stays in the JVM, added up in the candidates' order."""
+    pairs = F.array_sort(pairs)
+    of = lambda name: F.transform(pairs, lambda p: p[name])
+    apart = (F.size(F.array_distinct(of("cand"))) == F.size(pairs)) & (F.size(F.array_distinct(of("item"))) == F.size(pairs))
+    each = [F.when(~apart, of(name)) for name in ("cand", "item", "weight")]
+    return F.when(apart, F.aggregate(pairs, F.lit(0.0), lambda total, p: total + p["weight"])).otherwise(_assigned(*each))
+
+
 def greatest_weight(weights: list[list[float]]) -> float:
     """The greatest sum of an assignment of rows to different columns, by shortest augmenting paths over dual prices."""
     if not weights or not weights[0]:
@@ -183,26 +203,42 @@ def best_assignment(pairs: DataFrame, candidates: int = 3) -> DataFrame:
     """(task, n_pairs, correct, opportunities) of the best pairing of at most `candidates` candidates.
 
     `pairs` has the eligible (task, cand, item, correct, opportunities), cand from 0. The most
-    pairs win, then the most correct stances, then the lowest list of (cand, item). Pairings
-    are enumerated by joins, one candidate a step.
+    pairs win, then the most correct stances, then the lowest list of (cand, item).
     """
-    item = F.struct("cand", "item")
-    steps = pairs.select("task", "cand", "item", "correct", "opportunities")
-    grown = pairs.select("task").distinct().select("task", F.array().cast("array<struct<cand:int,item:int>>").alias("list"), F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("o"))
-    for k in range(candidates):
-        mine = steps.where(F.col("cand") == k).withColumn("pair", item)
-        more = grown.join(mine, "task").where(~F.exists("list", lambda x: x["item"] == F.col("item")))
-        more = more.select("task", F.concat("list", F.array(F.struct(F.col("pair.cand").cast("int").alias("cand"), F.col("pair.item").cast("int").alias("item")))).alias("list"), (F.col("c") + F.col("correct")).alias("c"), (F.col("o") + F.col("opportunities")).alias("o"))
-        grown = grown.unionByName(more)
-    order = F.struct((-F.size("list")).alias("n"), (-F.col("c")).alias("c"), F.col("list"), F.col("o"))
-    best = grown.groupBy("task").agg(F.min(order).alias("b"))
-    return best.select("task", (-F.col("b.n")).alias("n_pairs"), (-F.col("b.c")).alias("correct"), F.col("b.o").alias("opportunities"))
+    rows = pairs.groupBy("task").agg(F.collect_list(F.struct("cand", "item", "correct", "opportunities")).alias("pairs"))
+    return rows.select("task", best_pairing(F.col("pairs"), candidates).alias("b")).select("task", "b.*")
+
+
+def best_pairing(pairs: Column, candidates: int) -> Column:
+    """best_assignment of an array of pairs, as a struct.
+
+    Of a candidate's items only its best ones count, as many as there are candidates: if it has
+    another one, one of these is free and at least as good.
+    """
+    ranked = lambda k: F.array_sort(F.transform(F.filter(pairs, lambda p: p["cand"] == k), lambda p: F.struct(
+        (-p["correct"]).cast("long").alias("c"), p["item"].cast("int").alias("item"), p["opportunities"].cast("long").alias("o"), k.cast("int").alias("cand"))))
+    once = lambda m: F.filter(m, lambda x, i: F.array_position(F.transform(m, lambda y: y["item"]), x["item"]) == i + 1)
+    mine = F.transform(F.transform(F.sequence(F.lit(0), F.lit(candidates - 1)), ranked), lambda m: F.slice(once(m), 1, candidates))
+    none = F.array().cast("array<struct<cand:int,item:int>>")
+    start = F.array(F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("c"), none.alias("list"), F.lit(0).cast("long").alias("o")))
+
+    def more(state: Column, m: Column) -> Column:
+        free = F.filter(m, lambda x: ~F.exists(state["list"], lambda p: p["item"] == x["item"]))
+        return F.transform(free, lambda x: F.struct((state["n"] - 1).alias("n"), (state["c"] + x["c"]).alias("c"), F.concat(state["list"], F.array(F.struct(x["cand"].alias("cand"), x["item"].alias("item")))).alias("list"), (state["o"] + x["o"]).alias("o")))
+
+    states = F.aggregate(mine, start, lambda states, m: F.concat(states, F.flatten(F.transform(states, lambda s: more(s, m)))))
+    best = F.transform(F.array(F.array_min(states)), lambda b: F.struct((-b["n"]).alias("n_pairs"), (-b["c"]).alias("correct"), b["o"].alias("opportunities")))
+    return best[0]
 
 
 def public_profile_matches(candidate: Column, item: Column) -> Column:
     """Whether two structs of text say the same after normalisation, field by field."""
-    fields = ("actor", "action", "condition", "anchor_outcome", "alternative_outcome")
     out = F.lit(True)
-    for f in fields:
+    for f in PROFILE:
         out = out & (X.contract_text(candidate[f]) == X.contract_text(item[f]))
     return F.coalesce(out, F.lit(False))
+
+
+def public_profile(decision: Column) -> Column:
+    """A decision's texts as they are compared."""
+    return F.struct(*[X.contract_text(decision[f]).alias(f) for f in PROFILE])

@@ -61,18 +61,29 @@ def question_pairs(candidates: DataFrame, items: DataFrame, polarization: float)
     evidence: document, type, quote and related evidence are the item's after normalisation.
     grounded: so is the decision, and it is a yes/no question that says which outcome yes stands for.
     """
-    i = items.select("task", "item", *[F.col(c).alias(f"i_{c}") for c in ("doc_id", "type", "quote", "related_evidence", "decision", "alternative_stances", "target_stances", "decision_value")])
-    worth = matching.attainable(F.col("i_decision_value"), matching.stance_disagreement(F.col("i_target_stances")), polarization)
-    same = lambda a, b: X.contract_text(F.col(a)) == X.contract_text(F.col(b))
-    no_related = F.col("related_evidence").isNull() & F.col("i_related_evidence").isNull()
-    related = F.coalesce((F.col("related_evidence.doc_id") == F.col("i_related_evidence.doc_id")) & same("related_evidence.quote", "i_related_evidence.quote"), F.lit(False))
-    evidence = F.coalesce((F.col("doc_id") == F.col("i_doc_id")) & (F.col("type") == F.col("i_type")) & same("quote", "i_quote") & (no_related | related), F.lit(False))
-    asks = X.is_yes_no_question(F.col("question")) & F.col("yes_choice").isin("anchor", "alternative") & matching.public_profile_matches(F.col("decision"), F.col("i_decision"))
-    expected = matching.oriented_stances(F.col("i_alternative_stances"), F.col("yes_choice"))
-    accuracy = matching.stance_accuracy(F.col("target_stances"), expected)
+    return _met(candidates, items, polarization)
+
+
+def _met(candidates: DataFrame, items: DataFrame, polarization: float, by_evidence: bool = False, *keep: str) -> DataFrame:
+    """question_pairs, or those among them whose document, type and quote agree; texts are normalised before they meet. `keep` are more columns of the items."""
+    quote, others = F.col("related_evidence.quote"), F.col("related_evidence.doc_id")
+    seen = lambda side: [F.col("doc_id").alias(f"{side}_doc"), F.col("type").alias(f"{side}_type"), X.contract_text(F.col("quote")).alias(f"{side}_quote"), F.col("related_evidence").isNull().alias(f"{side}_bare"), others.alias(f"{side}_other"), X.contract_text(quote).alias(f"{side}_said"), matching.public_profile(F.col("decision")).alias(f"{side}_decision")]
+    asks = X.is_yes_no_question(F.col("question")) & F.col("yes_choice").isin("anchor", "alternative")
+    c = candidates.select("task", "cand", *seen("c"), asks.alias("asks"), "yes_choice", F.col("target_stances").alias("said"))
+    worth = matching.attainable(F.col("decision_value"), matching.stance_disagreement(F.col("target_stances")), polarization)
+    i = items.select("task", "item", *seen("i"), "alternative_stances", worth.alias("worth"), *keep)
+    same = lambda *names: [F.col(f"c_{n}") == F.col(f"i_{n}") for n in names]
+    all_of = lambda x, *more: x if not more else x & all_of(*more)
+    place = all_of(*same("doc", "type", "quote"))
+    met = c.withColumnRenamed("task", "__task").join(i, all_of(F.col("__task") == F.col("task"), place)) if by_evidence else c.join(i, "task")
+    related = F.coalesce(all_of(*same("other", "said")), F.lit(False))
+    evidence = F.coalesce(place & ((F.col("c_bare") & F.col("i_bare")) | related), F.lit(False))
+    decided = F.coalesce(all_of(*[F.col(f"c_decision.{f}") == F.col(f"i_decision.{f}") for f in matching.PROFILE]), F.lit(False))
+    expected = matching.oriented_stances(F.col("alternative_stances"), F.col("yes_choice"))
+    accuracy = matching.stance_accuracy(F.col("said"), expected)
     opportunities = F.coalesce(F.size(expected), F.lit(0))
-    met = candidates.join(i, "task").select("task", "cand", "item", worth.alias("worth"), evidence.alias("evidence"), F.coalesce(evidence & asks, F.lit(False)).alias("grounded"), accuracy.alias("accuracy"), opportunities.cast("long").alias("opportunities"))
-    return met.withColumn("correct", F.coalesce(F.round(F.col("accuracy") * F.col("opportunities")), F.lit(0.0)).cast("long"))
+    out = met.select("task", "cand", "item", "worth", evidence.alias("evidence"), F.coalesce(evidence & F.col("asks") & decided, F.lit(False)).alias("grounded"), accuracy.alias("accuracy"), opportunities.cast("long").alias("opportunities"), *keep)
+    return out.withColumn("correct", F.coalesce(F.round(F.col("accuracy") * F.col("opportunities")), F.lit(0.0)).cast("long"))
 
 
 def question_weights(candidates: DataFrame, items: DataFrame, polarization: float) -> tuple[DataFrame, DataFrame]:
@@ -87,23 +98,24 @@ def question_metrics(candidates: DataFrame, items: DataFrame, polarization: floa
 
     `candidates` holds answers that keep the form; a task without any is malformed or empty.
     """
-    pairs = question_pairs(candidates, items, polarization)
-    weights, worths = question_weights(candidates, items, polarization)
+    worth = matching.attainable(F.col("decision_value"), matching.stance_disagreement(F.col("target_stances")), polarization)
+    ranked = items.withColumn("worth", worth).withColumn("r", F.row_number().over(Window.partitionBy("task").orderBy(F.desc("worth"), "doc_id", "quote")))
+    of_items = ranked.groupBy("task").agg(F.max(F.size("target_stances")).alias("factions"), F.sum(F.when(F.col("r") <= questions, F.col("worth"))).alias("most"))
     said = candidates.groupBy("task").agg(F.count("*").cast("int").alias("n"))
-    factions = items.groupBy("task").agg(F.max(F.size("target_stances")).alias("factions"))
-    sizes = factions.join(said, "task", "left").select("task", "factions", F.coalesce("n", F.lit(0)).alias("n_candidates"))
-    named = lambda rows, name: matching.best_assignment(rows, questions).select("task", *[F.col(c).alias(f"{name}_{c}") for c in ("n_pairs", "correct", "opportunities")])
-    top = items.select("task", "item", "doc_id", "quote").join(worths, ["task", "item"])
-    top = top.withColumn("r", F.row_number().over(Window.partitionBy("task").orderBy(F.desc("worth"), "doc_id", "quote"))).where(F.col("r") <= questions).select("task", "item")
-    out = sizes.join(matching.question_utility(weights, worths, sizes.select("task", "n_candidates"), questions), "task")
-    for name, rows in (("g", pairs.where("grounded")), ("e", pairs.where("evidence")), ("t", pairs.where("evidence").join(top, ["task", "item"], "left_semi"))):
-        out = out.join(named(rows, name), "task", "left")
+    # only pairs whose evidence agrees count for any metric
+    pairs = _met(candidates, ranked.withColumn("top", F.col("r") <= questions), polarization, True, "top").where("evidence")
+    weight = matching.question_weight(F.col("grounded"), F.col("accuracy"), F.col("worth"))
+    per_task = pairs.groupBy("task").agg(F.collect_list(F.struct("cand", "item", "correct", "opportunities", "grounded", "top", weight.alias("weight"))).alias("p"))
+    best = lambda ok: matching.best_pairing(F.filter("p", ok), questions)
+    found = per_task.select("task", matching.greatest_sum(F.filter("p", lambda p: p["weight"] > 0)).alias("best"), best(lambda p: p["grounded"]).alias("g"), matching.best_pairing(F.col("p"), questions).alias("e"), best(lambda p: p["top"]).alias("t"))
+    out = of_items.join(said, "task", "left").withColumn("n_candidates", F.coalesce("n", F.lit(0))).join(found, "task", "left")
     ok, zero = F.col("n_candidates") == questions, F.lit(0.0)
     metric = lambda n, d: F.when(ok & (d > 0), F.coalesce(n, F.lit(0)) / d).otherwise(zero)
     k = F.lit(questions)
+    utility = F.when(ok & (F.col("most") > 0), F.least(F.lit(1.0), F.coalesce("best", zero) / F.col("most"))).otherwise(zero)
     return out.select(
-        "task", "utility", ok.cast("double").alias("format_validity"), metric(F.col("g_n_pairs"), k).alias("grounding_recall"), metric(F.col("g_correct"), k * F.col("factions")).alias("grounded_stance_recall"),
-        metric(F.col("e_n_pairs"), k).alias("evidence_match_recall"), metric(F.col("e_correct"), F.col("e_opportunities")).alias("evidence_matched_stance_accuracy"), metric(F.col("t_n_pairs"), k).alias("top_selection_accuracy"),
+        "task", utility.alias("utility"), ok.cast("double").alias("format_validity"), metric(F.col("g.n_pairs"), k).alias("grounding_recall"), metric(F.col("g.correct"), k * F.col("factions")).alias("grounded_stance_recall"),
+        metric(F.col("e.n_pairs"), k).alias("evidence_match_recall"), metric(F.col("e.correct"), F.col("e.opportunities")).alias("evidence_matched_stance_accuracy"), metric(F.col("t.n_pairs"), k).alias("top_selection_accuracy"),
     )
 
 
