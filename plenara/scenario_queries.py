@@ -233,7 +233,7 @@ COUNT, LENGTH, PLANTED, DISTRACTING = 3, 300, 0.5, 0.5
 
 def _scenarios(spark, sf_dir) -> DataFrame:
     """Four documents a scenario: the first sentence of each is planted, the second distracts."""
-    docs = _documents(spark, sf_dir).withColumn("scenario_id", F.floor(F.col("task") / 4)).withColumn("doc_id", F.concat(F.lit("d"), (F.col("task") % 4).cast("string")))
+    docs = _documents(spark, sf_dir).withColumn("scenario_id", F.expr("task div 4")).withColumn("doc_id", F.concat(F.lit("d"), (F.col("task") % 4).cast("string")))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.pmod(F.col("task"), F.lit(3)) + 1).cast("int"))
     row = F.struct("doc_id", "text", kind.alias("type"), F.col("s")[0].alias("a"), F.col("s")[1].alias("b"))
     by = docs.groupBy("scenario_id").agg(F.array_sort(F.collect_list(row)).alias("r"))
