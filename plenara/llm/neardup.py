@@ -11,11 +11,11 @@ least shingles by hash, which linked texts must whatever the order (prefix filte
 
 Exact copies (equal words) are one text from the start. Texts with a sketch in common form a
 bucket. Each text is compared with the leaders of its buckets, the texts that meet the most others
-over all their buckets: in a group of copies that is the one they were made from. Buckets that
-this doesn't bring into one class are opened: their texts are compared wherever they share one of
-their rarest shingles, which texts that share CLOSE of them must (prefix filtering, exact for any
-pair). So of texts in a bucket those that are close are always compared, and those that share less
-if one of them leads a bucket; a group of any size costs little more than its members.
+over all their buckets: in a group of copies that is the one they were made from. Whatever this
+leaves in different classes meets by exact prefix filtering: of two linked texts, whichever they
+are, each has a shingle of the other among all but SHARED of its own, the rarest first. Texts that
+meet there in different classes are all compared, so no link between two classes is lost; a group
+of any size costs little more than its members as long as its members are of one class.
 """
 
 from __future__ import annotations
@@ -28,14 +28,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plenara.llm.common import add_columns, checkpointed, release, table, without, written
+from plenara.llm.common import add_columns, checkpointed, give_back, release, table, without, written
 from plenara.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: The share of the longer text's shingles that linked texts have in common.
 SHARED = 0.4
-#: The share from which texts of a bucket are compared whoever leads it.
+#: The share from which texts count as close; the search makes no difference between these and other linked ones.
 CLOSE = 0.85
 #: Sketches of a text, and shingles in a sketch. Texts of which a tenth of the words differ, here and there, share
 #: three fifths of their shingles and miss all sketches once in forty times; those that share half, one time in six.
@@ -47,6 +47,12 @@ WORDS_KEPT = 300_000
 SLOTS = 1 << 18
 #: Hashes that are mixed for sketches at once.
 _AT_ONCE = 1 << 20
+#: Prefix shingles that a task packs at once, and those aimed at in a part in which texts meet.
+_PACKED, _IN_PART = 1 << 20, 1 << 17
+#: Texts and words of a block; of a list that is larger, blocks are compared two at a time.
+_BLOCK, _BLOCK_WORDS = 64, 1 << 21
+#: Bits of the table that says which texts may be compared at all.
+_WANTED = 1 << 24
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 _rng = np.random.default_rng(20240607)
@@ -239,28 +245,207 @@ def _frequencies(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefixes(texts: DataFrame) -> DataFrame:
-    """(num, n, root, off, shingle, of, left): the rarest labelled shingles of each text, of which any text close to it has one.
+def _packed(h: np.ndarray, at: np.ndarray, bits: int) -> list[tuple[int, int, bytes]]:
+    """(part, count, data) of shingles and the small numbers `at` of their texts: parts are of the first `bits`, the next 32 are kept, as differences, in planes of bytes."""
+    order = np.argsort(h)
+    h, at = h[order], at[order].astype(np.uint16)
+    part = (h >> np.uint64(64 - bits)).astype(np.int64)
+    low = (h >> np.uint64(32 - bits)).astype(np.uint32)
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+    out = []
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        steps = np.diff(low[x:y], prepend=np.uint32(0))
+        data = steps.view(np.uint8).reshape(-1, 4).T.tobytes() + at[x:y].view(np.uint8).reshape(-1, 2).T.tobytes()
+        out.append((int(part[x]), y - x, pa.compress(data, codec="zstd", asbytes=True)))
+    return out
+
+
+def _unpacked(count: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data, 6 * count, codec="zstd", asbytes=True), np.uint8)
+    steps = np.ascontiguousarray(raw[: 4 * count].reshape(4, count).T).view(np.uint32).ravel()
+    at = np.ascontiguousarray(raw[4 * count :].reshape(2, count).T).view(np.uint16).ravel()
+    return np.cumsum(steps, dtype=np.uint32), at.astype(np.int64)
 
-    Shingles are in one order for all texts: by the count of their slot, then by hash. A text
-    that shares CLOSE of its `of` shingles with another one can miss at most the others, so of
-    the first `prefix` it shares one. `left` counts the shingles from this one on.
+
+def _lists(texts: DataFrame) -> DataFrame:
+    """(id, members): all different lists of two or more texts that have a prefix shingle in common.
+
+    Shingles are in one order for all texts: by the count of their slot, then by hash. Of a text's
+    first `prefix` shingles any linked text has one among its own first. They are packed before
+    they are dealt out, as most of them stand in one text only; those that agree in 40 bits or
+    more count as one, which at most makes a list longer.
     """
     often = _frequencies(texts)
+    bits = min(12, max(8, int(often.sum() * (1 - SHARED) / _IN_PART).bit_length()))
 
-    def make():
-        def work(texts):
-            sizes, cut = [], []
-            for words in texts:
+    def pack(batches):
+        base, count, hs, ats = 0, 0, [], []
+
+        def flush():
+            found = _packed(np.concatenate(hs), np.concatenate(ats), bits)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([f[0] for f in found], pa.int32()), pa.array([base] * len(found), pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.binary())],
+                names=["part", "base", "count", "data"],
+            )
+
+        for batch in batches:
+            for num, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if hs and not (count < _PACKED and 0 <= num - base < 1 << 16):
+                    yield flush()
+                    hs.clear()
+                    ats.clear()
+                if not hs:
+                    base, count = num, 0
                 h = _of_words(words)
-                sizes.append(len(h))
-                cut.append(h[np.lexsort((h, often[_slot(h)]))[: prefix(len(h))]].view(np.int64))
-            return [sizes, cut]
+                h = h[np.lexsort((h, often[_slot(h)]))[: prefix(len(h))]]
+                hs.append(h)
+                ats.append(np.full(len(h), num - base, np.int64))
+                count += len(h)
+        if hs:
+            yield flush()
+        give_back()
+
+    def meet(part):
+        lows, nums = [], []
+        for base, count, data in zip(*(part.column(c).to_pylist() for c in ("base", "count", "data")), strict=True):
+            low, at = _unpacked(count, data)
+            lows.append(low)
+            nums.append(at + base)
+        low, num = np.concatenate(lows), np.concatenate(nums)
+        order = np.lexsort((num, low))
+        low, num = low[order], num[order]
+        fresh = np.concatenate([[True], (low[1:] != low[:-1]) | (num[1:] != num[:-1])])
+        low, num = low[fresh], num[fresh]
+        cuts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1], [True]]))
+        several = np.flatnonzero(np.diff(cuts) > 1)
+        found = {}
+        for x, y in zip(cuts[several].tolist(), cuts[several + 1].tolist(), strict=True):
+            members = num[x:y]
+            found.setdefault(xxhash.xxh3_128_digest(members.tobytes()), members)
+        flat = np.concatenate([*found.values(), np.zeros(0, np.int64)])
+        ends = np.cumsum([0, *map(len, found.values())])
+        return pa.table([pa.array(list(found), pa.binary()), pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64()))], names=["id", "members"])
+
+    packed = texts.select("num", "words").mapInArrow(pack, "part int, base long, count int, data binary")
+    met = packed.groupBy("part").applyInArrow(meet, "id binary, members array<long>")
+    return met.groupBy("id").agg(F.first("members").alias("members"))
+
+
+def _blocks(n: np.ndarray) -> np.ndarray:
+    """Block numbers of texts of `n` words each, in their order."""
+    out, block, texts, words = [], 0, 0, 0
+    for k in n.tolist():
+        if texts and (texts >= _BLOCK or words + k > _BLOCK_WORDS):
+            block, texts, words = block + 1, 0, 0
+        out.append(block)
+        texts, words = texts + 1, words + k
+    return np.array(out)
+
+
+def _units(lists: DataFrame) -> DataFrame:
+    """What is compared together: (list, i, j, block, num, root, before) for blocks i and j of each list of `members` (num, n, root, before)."""
 
-        return work
+    def run(batches):
+        for batch in batches:
+            flat = batch.column(1).flatten()
+            num, n, root, before = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("num", "n", "root", "before"))
+            ends = np.cumsum([0, *batch.column(1).value_lengths().to_pylist()]).tolist()
+            rows = [[] for _ in range(7)]
+            for one, x, y in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:], strict=True):
+                values, own, size = np.unique(root[x:y], return_inverse=True, return_counts=True)
+                # texts of a large class stand together, so that its blocks are left alone among themselves
+                order = np.lexsort((n[x:y], np.where(size[own] >= _BLOCK, own, len(values)), -np.where(size[own] >= _BLOCK, size[own], 0))) + x
+                block = _blocks(n[order])
+                inside = [order[block == k] for k in range(block[-1] + 1)]
+                for i, a in enumerate(inside):
+                    for j, b in enumerate(inside[i:], i):
+                        may = (root[a][:, None] != root[b]) & (before[a][:, None] != before[b]) & (np.minimum(n[a][:, None], n[b]) >= SIMILARITY * np.maximum(n[a][:, None], n[b]) - 1e-6)
+                        sides = [(i, a, may.any(axis=1) | may.any(axis=0))] if i == j else [(i, a, may.any(axis=1)), (j, b, may.any(axis=0))]
+                        for block_, of, there in sides:
+                            of = of[there]
+                            for row, value in zip(rows, ([one] * len(of), [i] * len(of), [j] * len(of), [block_] * len(of), num[of].tolist(), root[of].tolist(), before[of].tolist()), strict=True):
+                                row += value
+            names = ["list", "i", "j", "block", "num", "root", "before"]
+            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32() if c in ("i", "j", "block") else pa.int64()) for r, c in zip(rows, names, strict=True)], names=names)
+
+    return lists.mapInArrow(run, "list long, i int, j int, block int, num long, root long, before long")
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many items each two of the sets share."""
+    values, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    column = np.cumsum(n > 1) - 1
+    keep = n[at] > 1
+    who, at = who[keep], column[at[keep]]
+    order = np.argsort(at, kind="stable")
+    who, at = who[order], at[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, 1 << 14):
+        x, y = np.searchsorted(at, [low, low + (1 << 14)])
+        there = np.zeros((len(sets), 1 << 14), np.float32)
+        there[who[x:y], at[x:y] - low] = 1
+        out += there @ there.T
+    return out
+
+
+def _unit_links(unit: pa.Table) -> pa.Table:
+    """Links (a, b) that join texts of a unit into classes: every pair is compared that no link has joined yet."""
+    num, root, before, block, i, j = (unit.column(c).to_numpy() for c in ("num", "root", "before", "block", "i", "j"))
+    words = [np.frombuffer(w, np.uint32) for w in unit.column("words").to_pylist()]
+    n = np.array([len(w) for w in words])
+    may = (root[:, None] != root) & (before[:, None] != before) & (np.minimum(n[:, None], n) >= SIMILARITY * np.maximum(n[:, None], n) - 1e-6)
+    if i[0] != j[0]:
+        may &= block[:, None] != block
+    links = []
+    if may.any():
+        # an alignment matches no more words than both texts have
+        may &= _common([labelled(w.astype(np.uint64)) for w in words]) >= SIMILARITY * np.maximum(n[:, None], n) - 1e-6
+        class_ = np.unique(root, return_inverse=True)[1]
+        for x, y in zip(*np.nonzero(np.triu(may)), strict=True):
+            if class_[x] != class_[y] and linked(words[x], words[y]):
+                class_[class_ == class_[y]] = class_[x]
+                links.append((num[x], num[y]))
+    return pa.table([pa.array([k[0] for k in links], pa.int64()), pa.array([k[1] for k in links], pa.int64())], names=["a", "b"])
+
+
+def _of_wanted(words: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of `words` whose num may be in `wanted`, by a table of bits of fixed size."""
+    slot = F.pmod(F.xxhash64("num"), F.lit(_WANTED)).cast("int")
+    bits = np.zeros(_WANTED // 64, np.uint64)
+    cells = wanted.select(F.shiftright(slot, 6).alias("cell"), F.expr("shiftleft(1L, cast(pmod(xxhash64(num), 64) AS int))").alias("bit"))
+    for r in cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect():
+        bits[r.cell] = r.bits & 0xFFFFFFFFFFFFFFFF
+
+    def run(batches):
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            there = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(there.astype(bool))) for c in batch.columns[:2]], names=["num", "words"])
+
+    return words.select("num", "words", slot.alias("slot")).mapInArrow(run, "num long, words binary")
 
-    cut = add_columns(texts, ["words"], "of int, prefix array<long>", make).select("num", "n", "root", "off", "of", F.posexplode("prefix").alias("at", "shingle"))
-    return cut.select("num", "n", "root", "off", "shingle", "of", (F.col("of") - F.col("at")).alias("left"))
+
+def _rest(words: DataFrame, placed: DataFrame) -> DataFrame:
+    """Links (a, b) that join classes further, found among all texts that `placed` (num, n, root) has in different classes.
+
+    Texts meet in the lists of `_lists`. Two that share several are compared in the first of them only:
+    lists are in one order, the longest first, and texts that come to a list from the same one
+    (`before`) have met there.
+    """
+    lists = _lists(words).withColumn("list", F.monotonically_increasing_id())
+    lists = written(lists.select("list", F.size("members").alias("size"), "members"))
+    rows = lists.select("list", "size", F.explode("members").alias("num")).join(placed, "num")
+    before = F.lag("list").over(Window.partitionBy("num").orderBy(F.desc("size"), "list"))
+    rows = rows.withColumn("before", F.coalesce(before, -1 - F.col("num")))
+    met = rows.groupBy("list").agg(F.collect_list(F.struct("num", "n", "root", "before")).alias("members"), F.min("root").alias("least"), F.max("root").alias("most"), F.min("before").alias("from"), F.max("before").alias("to"))
+    units = written(_units(met.where("least < most AND from < to").select("list", "members")))
+    release(lists)
+    texts = _of_wanted(words, units.select("num"))
+    more = units.join(texts, "num").groupBy("list", "i", "j").applyInArrow(_unit_links, "a long, b long")
+    more = checkpointed(more.distinct())
+    release(units)
+    return more
 
 
 def _joined(root: DataFrame, more: DataFrame) -> DataFrame:
@@ -307,27 +492,12 @@ def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     stars = written(stars.select(F.col("lead.num").alias("a"), F.col("num").alias("b")).distinct())
     links = checkpointed(_verified(stars, words))
     release(leader)
-    # every close pair of a bucket that the stars haven't brought into one class
+    release(stars, met)
+    # every linked pair that the stars haven't brought into one class
     root = components(links)
-    placed = written(met.join(root.withColumnRenamed("node", "num"), "num", "left").select("num", "n", "sketches", F.coalesce("root", "num").alias("root")))
-    release(met)
-    parts = placed.select("root", F.explode("sketches").alias("sketch")).groupBy("sketch", "root").agg(F.count("*").alias("c"))
-    # one of two texts that may still be linked isn't in its bucket's largest class
-    mixed = parts.groupBy("sketch").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("roots"))
-    mixed = written(mixed.where("roots > 1").select("sketch", "main"))
-    open_ = placed.select("num", "n", "root", F.explode("sketches").alias("sketch")).join(mixed, "sketch")
-    open_ = written(open_.groupBy("num", "n", "root").agg(F.max(F.col("root") != F.col("main")).alias("off")))
-    rarest = written(_prefixes(open_.join(words, "num")))
-    release(placed, mixed)
-    x, y = rarest.where("off").alias("x"), rarest.alias("y")
-    ordered = ~F.col("y.off") | (F.col("x.num") < F.col("y.num"))
-    # the first shingle in this order that two texts share leaves enough shingles after it in both
-    enough = F.least("x.left", "y.left") >= CLOSE * F.greatest("x.of", "y.of") - 1e-6
-    cross = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where((F.col("x.root") != F.col("y.root")) & ordered & near_size(F.col("x.n"), F.col("y.n")) & enough)
-    pairs = cross.select(F.least("x.num", "y.num").alias("a"), F.greatest("x.num", "y.num").alias("b")).distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = checkpointed(_verified(pairs.join(tried, ["a", "b"], "left_anti"), words))
-    release(rarest, open_, stars)
+    placed = written(texts.select("num", "n").join(root.withColumnRenamed("node", "num"), "num", "left").select("num", "n", F.coalesce("root", "num").alias("root")))
+    more = _rest(words, placed)
+    release(placed)
     root = _joined(root, more)
     named = texts.select("key", "num", "least", "copies").join(root.withColumnRenamed("node", "num"), "num", "left").withColumn("root", F.coalesce("root", "num"))
     classes = written(named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")))

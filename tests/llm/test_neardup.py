@@ -150,3 +150,40 @@ def test_short_texts_that_are_similar_always_meet(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in neardup.near_classes(docs).collect()}
     assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_linked_texts_that_meet_in_no_sketch_are_in_one_class(spark):
+    """Pairs that share half of their shingles, and crowds around a text that share a passage or belong to one class; links as brute force finds them."""
+    rnd = random.Random(21)
+    word = lambda: f"w{rnd.randrange(10**7)}"
+    texts, passage = [], [word() for _ in range(80)]
+
+    def edited(words, every):
+        return [word() if at % every == every // 2 else x for at, x in enumerate(words)]
+
+    for n in (40, 60, 90, 140, 300) * 16:
+        words = [word() for _ in range(n)]
+        texts += [words, edited(words, 9)]
+    for k in range(150):
+        texts.append(passage + [word() for _ in range(15 + k % 10)])
+    one = [word() for _ in range(100)]
+    texts += [edited(one, 9), *(one[:k] + [word()] + one[k + 1 :] for k in range(0, 100, 2))]
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.class_id for r in neardup.near_classes(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == classes(texts)
+
+
+def test_lists_of_any_size_are_compared_whole(spark):
+    """Every two texts of a list whose classes differ and that haven't met before are in one unit, in different blocks or in one."""
+    rnd = np.random.default_rng(2)
+    for size, roots in ((3, 2), (70, 70), (300, 2), (400, 40)):
+        root = np.where(np.arange(size) < size // 2, 0, rnd.integers(0, roots, size))
+        members = [(k, int(rnd.integers(50, 80)), int(root[k]), -1 - k if k % 3 else -1) for k in range(size)]
+        lists = spark.createDataFrame([(7, members)], "list long, members array<struct<num long, n int, root long, before long>>")
+        met = set()
+        for _, of in neardup._units(lists).toPandas().groupby(["i", "j"]):
+            rows = list(of.itertuples())
+            met |= {(min(x.num, y.num), max(x.num, y.num)) for x in rows for y in rows if x.num != y.num and (x.i == x.j or x.block != y.block)}
+        may = {(x, y) for x in range(size) for y in range(x + 1, size) if root[x] != root[y] and members[x][3] != members[y][3] and min(members[x][1], members[y][1]) >= 0.8 * max(members[x][1], members[y][1])}
+        assert may <= met
