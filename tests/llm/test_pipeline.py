@@ -85,3 +85,14 @@ def test_stages_on_empty_tables_and_clashing_names(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
         assert stage(spark, docs.where(F.lit(False)), str(tmp_path)).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs.where(F.lit(False)), str(tmp_path)).count() == 0
+
+
+def test_near_dedup_leaves_one_of_linked_texts_that_meet_in_no_sketch(spark):
+    """Texts of which each ninth word differs share less than half of their shingles, but align at 0.88: one of each two goes."""
+    rows = []
+    for k in range(80):
+        words = [f"w{k}x{i}" for i in range(300)]
+        rows += [(2 * k, " ".join(words), "en"), (2 * k + 1, " ".join(f"v{k}x{i}" if i % 9 == 4 else w for i, w in enumerate(words)), "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 160, 2))
