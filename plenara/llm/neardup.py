@@ -389,28 +389,30 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _unit_links(unit: pa.Table) -> pa.Table:
-    """Links (a, b) that join texts of a unit into classes: every pair is compared that no link has joined yet."""
-    num, root, before, block, i, j = (unit.column(c).to_numpy() for c in ("num", "root", "before", "block", "i", "j"))
-    words = [np.frombuffer(w, np.uint32) for w in unit.column("words").to_pylist()]
-    n = np.array([len(w) for w in words])
-    may = (root[:, None] != root) & (before[:, None] != before) & (np.minimum(n[:, None], n) >= SIMILARITY * np.maximum(n[:, None], n) - 1e-6)
+def _marks(words: np.ndarray) -> np.ndarray:
+    """16 bits of each labelled word in one half of all hashes, sorted."""
+    h = labelled(words.astype(np.uint64)) * _STEP
+    return np.sort((h[h < np.uint64(1 << 63)] >> np.uint64(40)).astype(np.uint16))
+
+
+def _unit_pairs(unit: pa.Table) -> pa.Table:
+    """Pairs (a, b) of a unit that may be linked: an alignment leaves out all words that one text has and the other hasn't, and of a half of them no more either."""
+    num, n, root, before, block, i, j = (unit.column(c).to_numpy() for c in ("num", "n", "root", "before", "block", "i", "j"))
+    marks = [np.frombuffer(m, np.uint16).astype(np.uint64) for m in unit.column("marks").to_pylist()]
+    longer = np.maximum(n[:, None], n)
+    may = (root[:, None] != root) & (before[:, None] != before) & (np.minimum(n[:, None], n) >= SIMILARITY * longer - 1e-6)
     if i[0] != j[0]:
         may &= block[:, None] != block
-    links = []
     if may.any():
-        # an alignment matches no more words than both texts have
-        may &= _common([labelled(w.astype(np.uint64)) for w in words]) >= SIMILARITY * np.maximum(n[:, None], n) - 1e-6
-        class_ = np.unique(root, return_inverse=True)[1]
-        for x, y in zip(*np.nonzero(np.triu(may)), strict=True):
-            if class_[x] != class_[y] and linked(words[x], words[y]):
-                class_[class_ == class_[y]] = class_[x]
-                links.append((num[x], num[y]))
-    return pa.table([pa.array([k[0] for k in links], pa.int64()), pa.array([k[1] for k in links], pa.int64())], names=["a", "b"])
+        # equal marks are told apart by their number; different words of one mark only add to what is common
+        common, size = _common([labelled(m) for m in marks]), np.array([len(m) for m in marks])
+        may &= (n - (size - common) >= SIMILARITY * longer - 1e-6) & (n[:, None] - (size[:, None] - common) >= SIMILARITY * longer - 1e-6)
+    x, y = np.nonzero(np.triu(may))
+    return pa.table([pa.array(np.minimum(num[x], num[y])), pa.array(np.maximum(num[x], num[y]))], names=["a", "b"])
 
 
 def _of_wanted(words: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of `words` whose num may be in `wanted`, by a table of bits of fixed size."""
+    """(num, n, marks) of `words` for every num in `wanted`, and few more, by a table of bits of fixed size."""
     slot = F.pmod(F.xxhash64("num"), F.lit(_WANTED)).cast("int")
     bits = np.zeros(_WANTED // 64, np.uint64)
     cells = wanted.select(F.shiftright(slot, 6).alias("cell"), F.expr("shiftleft(1L, cast(pmod(xxhash64(num), 64) AS int))").alias("bit"))
@@ -420,10 +422,12 @@ def _of_wanted(words: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             at = batch.column(2).to_numpy()
-            there = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(there.astype(bool))) for c in batch.columns[:2]], names=["num", "words"])
+            there = np.flatnonzero((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
+            words = [np.frombuffer(w, np.uint32) for w in batch.column(1).take(pa.array(there)).to_pylist()]
+            found = [batch.column(0).take(pa.array(there)), pa.array([len(w) for w in words], pa.int32()), pa.array([_marks(w).tobytes() for w in words], pa.binary())]
+            yield pa.RecordBatch.from_arrays(found, names=["num", "n", "marks"])
 
-    return words.select("num", "words", slot.alias("slot")).mapInArrow(run, "num long, words binary")
+    return words.select("num", "words", slot.alias("slot")).mapInArrow(run, "num long, n int, marks binary")
 
 
 def _rest(words: DataFrame, placed: DataFrame) -> DataFrame:
@@ -442,8 +446,10 @@ def _rest(words: DataFrame, placed: DataFrame) -> DataFrame:
     units = written(_units(met.where("least < most AND from < to").select("list", "members")))
     release(lists)
     texts = _of_wanted(words, units.select("num"))
-    more = units.join(texts, "num").groupBy("list", "i", "j").applyInArrow(_unit_links, "a long, b long")
-    more = checkpointed(more.distinct())
+    pairs = units.join(texts, "num").groupBy("list", "i", "j").applyInArrow(_unit_pairs, "a long, b long")
+    pairs = written(pairs.distinct())
+    more = checkpointed(_verified(pairs, words))
+    release(pairs)
     release(units)
     return more
 
