@@ -49,8 +49,10 @@ SLOTS = 1 << 18
 _AT_ONCE = 1 << 20
 #: Prefix shingles that a task packs at once, and those aimed at in a part in which texts meet.
 _PACKED, _IN_PART = 1 << 20, 1 << 17
-#: Texts and words of a block; of a list that is larger, blocks are compared two at a time.
+#: Texts (as many as a mask has bits) and words of a block; of a list that is larger, blocks are compared two at a time.
 _BLOCK, _BLOCK_WORDS = 64, 1 << 21
+#: Earlier lists of a text by which it is seen that two have met: the nearest, and the first.
+_NEAREST, _FIRST = 6, 10
 #: Bits of the table that says which texts may be compared at all.
 _WANTED = 1 << 24
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -342,13 +344,33 @@ def _blocks(n: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
+def _apart(may: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """`may` without the cells whose two sets, one of `a` and one of `b`, have an item in common."""
+    x, y = np.nonzero(may)
+    if len(x) <= _BLOCK:
+        left, right = {k: set(a[k].tolist()) for k in set(x.tolist())}, {k: set(b[k].tolist()) for k in set(y.tolist())}
+        out = np.zeros_like(may)
+        out[x, y] = [left[k].isdisjoint(right[m]) for k, m in zip(x.tolist(), y.tolist(), strict=True)]
+        return out
+    return may & (_common([*a, *b])[: len(a), len(a) :] == 0)
+
+
 def _units(lists: DataFrame) -> DataFrame:
-    """What is compared together: (list, i, j, block, num, root, before) for blocks i and j of each list of `members` (num, n, root, before)."""
+    """What is compared together: (list, i, j, block, at, num, mask) for blocks i and j of each list of `members`.
+
+    Members are (num, n, root, before); a field `earlier`, if there is one, names other lists that a
+    text stands in before this one. Texts with an earlier list in common have met there. `at` is the
+    text's place in its block; bits of `mask` say with which places of block j a text of block i is compared.
+    """
 
     def run(batches):
         for batch in batches:
             flat = batch.column(1).flatten()
             num, n, root, before = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("num", "n", "root", "before"))
+            known = flat.type.get_field_index("earlier") >= 0
+            if known:
+                items = flat.field("earlier").flatten().to_numpy(zero_copy_only=False)
+                starts = np.cumsum([0, *flat.field("earlier").value_lengths().to_pylist()])
             ends = np.cumsum([0, *batch.column(1).value_lengths().to_pylist()]).tolist()
             rows = [[] for _ in range(7)]
             for one, x, y in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:], strict=True):
@@ -360,15 +382,24 @@ def _units(lists: DataFrame) -> DataFrame:
                 for i, a in enumerate(inside):
                     for j, b in enumerate(inside[i:], i):
                         may = (root[a][:, None] != root[b]) & (before[a][:, None] != before[b]) & (np.minimum(n[a][:, None], n[b]) >= SIMILARITY * np.maximum(n[a][:, None], n[b]) - 1e-6)
-                        sides = [(i, a, may.any(axis=1) | may.any(axis=0))] if i == j else [(i, a, may.any(axis=1)), (j, b, may.any(axis=0))]
-                        for block_, of, there in sides:
-                            of = of[there]
-                            for row, value in zip(rows, ([one] * len(of), [i] * len(of), [j] * len(of), [block_] * len(of), num[of].tolist(), root[of].tolist(), before[of].tolist()), strict=True):
+                        if i == j:
+                            may = np.triu(may)
+                        if known and may.any():
+                            may = _apart(may, *([items[starts[k] : starts[k + 1]] for k in of] for of in (a, b)))
+                        if not may.any():
+                            continue
+                        mask = np.zeros((len(a), 64), np.uint8)
+                        mask[:, : len(b)] = may
+                        mask = np.packbits(mask, axis=1, bitorder="little").view(np.int64).ravel()
+                        sides = [(i, a, mask, may.any(axis=1) | may.any(axis=0))] if i == j else [(i, a, mask, may.any(axis=1)), (j, b, np.zeros(len(b), np.int64), may.any(axis=0))]
+                        for block_, of, bits, there in sides:
+                            at = np.flatnonzero(there)
+                            for row, value in zip(rows, ([one] * len(at), [i] * len(at), [j] * len(at), [block_] * len(at), at.tolist(), num[of[at]].tolist(), bits[at].tolist()), strict=True):
                                 row += value
-            names = ["list", "i", "j", "block", "num", "root", "before"]
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32() if c in ("i", "j", "block") else pa.int64()) for r, c in zip(rows, names, strict=True)], names=names)
+            names = ["list", "i", "j", "block", "at", "num", "mask"]
+            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64() if c in ("list", "num", "mask") else pa.int32()) for r, c in zip(rows, names, strict=True)], names=names)
 
-    return lists.mapInArrow(run, "list long, i int, j int, block int, num long, root long, before long")
+    return lists.mapInArrow(run, "list long, i int, j int, block int, at int, num long, mask long")
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
@@ -390,24 +421,19 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _marks(words: np.ndarray) -> np.ndarray:
-    """16 bits of each labelled word in one half of all hashes, sorted."""
-    h = labelled(words.astype(np.uint64)) * _STEP
-    return np.sort((h[h < np.uint64(1 << 63)] >> np.uint64(40)).astype(np.uint16))
+    """16 bits of each labelled word, sorted."""
+    return np.sort(((labelled(words.astype(np.uint64)) * _STEP) >> np.uint64(40)).astype(np.uint16))
 
 
 def _unit_pairs(unit: pa.Table) -> pa.Table:
-    """Pairs (a, b) of a unit that may be linked: an alignment leaves out all words that one text has and the other hasn't, and of a half of them no more either."""
-    num, n, root, before, block, i, j = (unit.column(c).to_numpy() for c in ("num", "n", "root", "before", "block", "i", "j"))
+    """Pairs (a, b) of a unit that may be linked: an alignment leaves out all words that one text has and the other hasn't."""
+    num, n, block, at, mask, i, j = (unit.column(c).to_numpy() for c in ("num", "n", "block", "at", "mask", "i", "j"))
     marks = [np.frombuffer(m, np.uint16).astype(np.uint64) for m in unit.column("marks").to_pylist()]
-    longer = np.maximum(n[:, None], n)
-    may = (root[:, None] != root) & (before[:, None] != before) & (np.minimum(n[:, None], n) >= SIMILARITY * longer - 1e-6)
-    if i[0] != j[0]:
-        may &= block[:, None] != block
-    if may.any():
-        # equal marks are told apart by their number; different words of one mark only add to what is common
-        common, size = _common([labelled(m) for m in marks]), np.array([len(m) for m in marks])
-        may &= (n - (size - common) >= SIMILARITY * longer - 1e-6) & (n[:, None] - (size[:, None] - common) >= SIMILARITY * longer - 1e-6)
-    x, y = np.nonzero(np.triu(may))
+    bits = np.unpackbits(np.ascontiguousarray(mask).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    may = bits[:, at].astype(bool) & (block == i[0])[:, None] & (block == j[0])
+    # equal marks are told apart by their number; different words of one mark only add to what is common
+    common, least = _common([labelled(m) for m in marks]), SIMILARITY * np.maximum(n[:, None], n) - 1e-6
+    x, y = np.nonzero(may & (common >= least))
     return pa.table([pa.array(np.minimum(num[x], num[y])), pa.array(np.maximum(num[x], num[y]))], names=["a", "b"])
 
 
@@ -434,15 +460,18 @@ def _rest(words: DataFrame, placed: DataFrame) -> DataFrame:
     """Links (a, b) that join classes further, found among all texts that `placed` (num, n, root) has in different classes.
 
     Texts meet in the lists of `_lists`. Two that share several are compared in the first of them only:
-    lists are in one order, the longest first, and texts that come to a list from the same one
-    (`before`) have met there.
+    lists are in one order, the longest first, and texts that have stood in an earlier one together
+    have met there. Of a text's earlier lists the nearest and the first ones are looked at; a pair
+    that shares others only is compared again.
     """
     lists = _lists(words).withColumn("list", F.monotonically_increasing_id())
     lists = written(lists.select("list", F.size("members").alias("size"), "members"))
     rows = lists.select("list", "size", F.explode("members").alias("num")).join(placed, "num")
-    before = F.lag("list").over(Window.partitionBy("num").orderBy(F.desc("size"), "list"))
-    rows = rows.withColumn("before", F.coalesce(before, -1 - F.col("num")))
-    met = rows.groupBy("list").agg(F.collect_list(F.struct("num", "n", "root", "before")).alias("members"), F.min("root").alias("least"), F.max("root").alias("most"), F.min("before").alias("from"), F.max("before").alias("to"))
+    own = Window.partitionBy("num").orderBy(F.desc("size"), "list")
+    first = own.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = [F.lag("list", k).over(own) for k in range(1, _NEAREST + 1)] + [F.nth_value("list", k).over(first) for k in range(1, _FIRST + 1)]
+    rows = rows.withColumns({"before": F.coalesce(F.lag("list").over(own), -1 - F.col("num")), "earlier": F.array_distinct(F.array_compact(F.array(*earlier)))})
+    met = rows.groupBy("list").agg(F.collect_list(F.struct("num", "n", "root", "before", "earlier")).alias("members"), F.min("root").alias("least"), F.max("root").alias("most"), F.min("before").alias("from"), F.max("before").alias("to"))
     units = written(_units(met.where("least < most AND from < to").select("list", "members")))
     release(lists)
     texts = _of_wanted(words, units.select("num"))

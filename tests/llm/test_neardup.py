@@ -187,3 +187,35 @@ def test_lists_of_any_size_are_compared_whole(spark):
             met |= {(min(x.num, y.num), max(x.num, y.num)) for x in rows for y in rows if x.num != y.num and (x.i == x.j or x.block != y.block)}
         may = {(x, y) for x in range(size) for y in range(x + 1, size) if root[x] != root[y] and members[x][3] != members[y][3] and min(members[x][1], members[y][1]) >= 0.8 * max(members[x][1], members[y][1])}
         assert may <= met
+
+
+def test_texts_that_meet_in_many_lists_are_paired_once(spark):
+    """Lists 1, 2, 3 with other texts between: the pair of 0 and 1 comes from the first only; 2 and 3 meet the rest where they come in."""
+    words = [f"w{i}" for i in range(60)]
+    schema = "list long, members array<struct<num long, n int, root long, before long, earlier array<long>>>"
+    one = [(k, 60, k, -1 - k, []) for k in (0, 1)]
+    two = [(0, 60, 0, 1, [1]), (2, 60, 2, -3, [])]
+    three = [(0, 60, 0, 2, [2, 1]), (1, 60, 1, 1, [1]), (2, 60, 2, 2, [2]), (3, 60, 3, -4, [])]
+    units = neardup._units(spark.createDataFrame([(1, one), (2, two), (3, three)], schema))
+    marks = neardup._marks(neardup.hashed(neardup.words_of(" ".join(words))).astype(np.uint32)).tobytes()
+    texts = spark.createDataFrame([(k, 60, bytearray(marks)) for k in range(4)], "num long, n int, marks binary")
+    pairs = units.join(texts, "num").groupBy("list", "i", "j").applyInArrow(neardup._unit_pairs, "a long, b long")
+    assert sorted((r.a, r.b) for r in pairs.collect()) == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
+
+
+def test_crowds_that_are_not_alike_enough_are_not_read_whole(spark, monkeypatch):
+    """Texts of a crowd of which a quarter of the words differ share shingles in many lists, but no pair of them goes on to be aligned."""
+    rnd = random.Random(3)
+    base, texts = [f"w{rnd.randrange(10**7)}" for _ in range(240)], []
+    for _ in range(40):
+        words = list(base)
+        for at in rnd.sample(range(240), 36):
+            words[at] = f"v{rnd.randrange(10**7)}"
+        texts.append(neardup.hashed(neardup.words_of(" ".join(words))).astype(np.uint32))
+    assert all(len(np.intersect1d(a, b)) < 0.8 * 240 for k, a in enumerate(texts) for b in texts[:k])
+    words = spark.createDataFrame([(k, bytearray(t.tobytes())) for k, t in enumerate(texts)], "num long, words binary")
+    placed = spark.createDataFrame([(k, 240, k) for k in range(40)], "num long, n int, root long")
+    read = []
+    monkeypatch.setattr(neardup, "_verified", lambda pairs, words: read.append(pairs.count()) or pairs)
+    neardup._rest(words, placed)
+    assert read == [0]
