@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -73,6 +74,12 @@ def release(*gone: DataFrame | str) -> None:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that nobody holds any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @atexit.register
 def _release_all() -> None:
     with contextlib.suppress(Exception):  # the session may be gone, and its folders with it

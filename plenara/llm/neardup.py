@@ -21,20 +21,25 @@ of any size costs little more than its members as long as its members are of one
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plenara.llm.common import add_columns, checkpointed, give_back, release, table, without, written
+from plenara.llm.common import add_columns, checkpointed, give_back, release, swept, table, without, written
 from plenara.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: The share of the longer text's shingles that linked texts have in common.
 SHARED = 0.4
+#: Linked texts share prefix shingles beyond the first: so large a share of the shorter one's shingles, if prefixes are longer by it.
+MORE = 0.1
 #: The share from which texts count as close; the search makes no difference between these and other linked ones.
 CLOSE = 0.85
 #: Sketches of a text, and shingles in a sketch. Texts of which a tenth of the words differ, here and there, share
@@ -42,9 +47,10 @@ CLOSE = 0.85
 SKETCHES, IN_SKETCH = 48, 3
 #: Shingles up to which a text meets all that may be linked to it by exact prefixes.
 SHORT = 32
-WORDS_KEPT = 300_000
 #: Slots in which shingles are counted to tell rare from frequent ones; the counts are all that is broadcast (8 bytes each).
 SLOTS = 1 << 18
+#: Ranges of slots in which tasks hand on their counts.
+_RANGES = 64
 #: Hashes that are mixed for sketches at once.
 _AT_ONCE = 1 << 20
 #: Prefix shingles that a task packs at once, and those aimed at in a part in which texts meet.
@@ -57,20 +63,18 @@ _NEAREST, _FIRST = 6, 10
 _WANTED = 1 << 24
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
+#: Letters that are hashed at once.
+_LETTERS = 1 << 16
 _rng = np.random.default_rng(20240607)
 _ADD = _rng.integers(0, 1 << 63, (SKETCHES, 1), np.uint64)
 _TIMES = _rng.integers(0, 1 << 63, (SKETCHES, 1), np.uint64) | np.uint64(1)
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        made = self[word] = xxhash.xxh3_64_intdigest(word)
-        return made
-
-
-_words = _Words()
+#: A number for each byte, none for the gap; powers of a base, and of its inverse, modulo 2^64.
+_LETTER = _rng.integers(1, 1 << 63, 256, np.uint64)
+_LETTER[32] = 0
+_BASE = 0x9E3779B97F4A7C15
+_POWER = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(_LETTERS - 1, _BASE, np.uint64)]))
+_FURTHER, _BACK = pow(_BASE, _LETTERS, 1 << 64), pow(_BASE, -_LETTERS, 1 << 64)
+_INVERSE = np.multiply.accumulate(np.full(_LETTERS, pow(_BASE, -1, 1 << 64), np.uint64))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -84,15 +88,31 @@ def words_of(text: str) -> list[bytes]:
 
 
 def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    """A hash of each word: the sum of its letters' numbers times powers of a base by their place, mixed. Sums are running ones over all letters."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    text = np.frombuffer(b" ".join(words), np.uint8)
+    sums, unshift, total, scale, unscale, whole = [], [np.ones(1, np.uint64)], np.zeros(1, np.uint64), 1, 1, 1 << 64
+    for at in range(0, len(text), _LETTERS):
+        part = text[at : at + _LETTERS]
+        running = np.cumsum(_LETTER.take(part) * _POWER[: len(part)])
+        if at:
+            running = running * np.uint64(scale) + total
+        gaps = np.flatnonzero(part == 32)
+        sums.append(running[gaps])
+        unshift.append(_INVERSE[gaps] * np.uint64(unscale))
+        total, scale, unscale = running[-1:], scale * _FURTHER % whole, unscale * _BACK % whole
+    ends = np.concatenate([*sums, total])
+    return _mixed(_mixed(np.diff(ends, prepend=np.uint64(0)) * np.concatenate(unshift)))
 
 
 def labelled(h: np.ndarray) -> np.ndarray:
     """Hashes of (value, how often it has occurred so far): all are different."""
+    sorted_ = np.sort(h)
+    if not (sorted_[1:] == sorted_[:-1]).any():
+        return h
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
-    if not same.any():
-        return h
     at = np.arange(len(h))
     first = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), at, 0))
     label = np.empty(len(h), np.uint64)
@@ -107,8 +127,8 @@ def shingles(w: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     n = max(1, len(w) - size + 1)
     h = np.full(n, min(size, len(w)), np.uint64)
     for k in range(min(size, len(w))):
-        h = _mixed(h * _STEP + w[k : k + n])
-    return labelled(h)
+        h = h * _MIX + w[k : k + n] * _STEP
+    return labelled(_mixed(_mixed(h)))
 
 
 def sketches(h: np.ndarray) -> np.ndarray:
@@ -134,6 +154,17 @@ def prefix(n: int, share: float = SHARED) -> int:
     return n - math.ceil(share * n - 1e-6) + 1
 
 
+def more(n: int) -> int:
+    """How many shingles a text's prefix is longer, so that it holds as many more of every text that it is linked to (of a shorter one: as that one's prefix is longer)."""
+    return math.ceil(MORE * n - 1e-6) - 1
+
+
+def _met_at_least(n: Column) -> Column:
+    """How many of its prefix shingles a text of `n` words shares at least with any that it is linked to; one less, for shingles that agree in the bits that are kept."""
+    shorter = F.greatest(F.ceil(SIMILARITY * n - 1e-6) - (SHINGLE - 1), F.lit(1))
+    return F.greatest(F.ceil(MORE * shorter - 1e-6) - 1, F.lit(1))
+
+
 def buckets(h: np.ndarray) -> np.ndarray:
     """What texts meet by: sketches of those above SHORT shingles, prefixes of those up to SHORT and of those that may be linked to one."""
     out = [sketches(h)] if len(h) > SHORT else []
@@ -209,8 +240,36 @@ def sketched(docs: DataFrame, text: str = "text") -> DataFrame:
     return add_columns(docs, [text], "key binary, n int, words binary, sketches array<long>", make)
 
 
+def _wanted(nums: DataFrame) -> np.ndarray:
+    """A table of bits, of fixed size, that says which `num` may be among `nums`."""
+    bits = np.zeros(_WANTED // 64, np.uint64)
+    cells = nums.select(F.shiftright(_slot_of_num(), 6).alias("cell"), F.expr("shiftleft(1L, cast(pmod(xxhash64(num), 64) AS int))").alias("bit"))
+    for r in cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect():
+        bits[r.cell] = r.bits & 0xFFFFFFFFFFFFFFFF
+    return bits
+
+
+def _slot_of_num() -> Column:
+    return F.pmod(F.xxhash64("num"), F.lit(_WANTED)).cast("int")
+
+
+def _of_wanted(words: DataFrame, nums: DataFrame, schema: str, make: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """`num` and what `make` makes of `words`, for every num in `nums` and few more; nothing else is dealt out."""
+    bits = _wanted(nums)
+    names = ["num", *T.DataType.fromDDL(schema).fieldNames()]
+
+    def run(batches):
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            there = pa.array(np.flatnonzero((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(there), *make(batch.column(1).take(there))], names=names)
+
+    return words.select("num", "words", _slot_of_num().alias("slot")).mapInArrow(run, f"num long, {schema}")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are linked."""
+    """The pairs (a, b), a table that is written, whose texts are linked."""
+    texts = _of_wanted(texts, pairs.select(F.explode(F.array("a", "b")).alias("num")), "words binary", lambda words: [words])
     side = lambda c: texts.select(F.col("num").alias(c), F.col("words").alias(f"{c}_words"))
     with_words = pairs.join(side("a"), "a").join(side("b"), "b")
 
@@ -230,21 +289,43 @@ def _slot(shingle: np.ndarray) -> np.ndarray:
 
 
 def _frequencies(texts: DataFrame) -> np.ndarray:
-    """How many labelled shingles of all `texts` fall into each slot, summed task by task."""
+    """How many labelled shingles of all `texts` fall into each slot, summed task by task in ranges of slots."""
 
     def run(batches):
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for words in batch.column(0).to_pylist():
                 np.add.at(total, _slot(_of_words(words)), 1)
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["slot", "n"])
+        parts = [x.tobytes() for x in total.reshape(_RANGES, -1) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, x in enumerate(total.reshape(_RANGES, -1)) if x.any()], pa.int32()), pa.array(parts, pa.binary())], names=["range", "counts"])
+
+    def add(part):
+        counts = sum(np.frombuffer(c, np.int64) for c in part.column("counts").to_pylist())
+        return pa.table([part.column("range").slice(0, 1), pa.array([counts.tobytes()], pa.binary())], names=["range", "counts"])
+
+    out = np.zeros((_RANGES, SLOTS // _RANGES), np.int64)
+    for r in texts.select("words").mapInArrow(run, "range int, counts binary").groupBy("range").applyInArrow(add, "range int, counts binary").collect():
+        out[r.range] = np.frombuffer(r.counts, np.int64)
+    return out.ravel()
 
-    counted = texts.select("words").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    out = np.zeros(SLOTS, np.int64)
-    for r in counted.collect():
-        out[r.slot] = r.n
-    return out
+
+def _order(often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each slot, rare ones first, and the slot of each rank."""
+    slots = np.argsort(often, kind="stable").astype(np.uint64)
+    rank = np.empty(SLOTS, np.uint64)
+    rank[slots.astype(np.int64)] = np.arange(SLOTS, dtype=np.uint64)
+    return rank, slots
+
+
+def _rarest(h: np.ndarray, order: tuple[np.ndarray, np.ndarray], first: int) -> np.ndarray:
+    """The `first` of all different `h`, by the rank of their slot, then by the bits below."""
+    if first >= len(h):
+        return h
+    rank, slots = order
+    below = np.uint64(64 - (SLOTS - 1).bit_length())
+    rest = (np.uint64(1) << below) - np.uint64(1)
+    key = np.partition(rank[_slot(h)] << below | h & rest, first - 1)[:first]
+    return slots[(key >> below).astype(np.int64)] << below | key & rest
 
 
 def _packed(h: np.ndarray, at: np.ndarray, bits: int) -> list[tuple[int, int, bytes]]:
@@ -270,15 +351,17 @@ def _unpacked(count: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lists(texts: DataFrame) -> DataFrame:
-    """(id, members): all different lists of two or more texts that have a prefix shingle in common.
+    """(id, members, weight): all different lists of two or more texts that have a prefix shingle in common, and how many they have.
 
-    Shingles are in one order for all texts: by the count of their slot, then by hash. Of a text's
-    first `prefix` shingles any linked text has one among its own first. They are packed before
+    Shingles are in one order for all texts: by the rank of their slot's count, then by hash. Of a text's
+    first `prefix` shingles any linked text has one among its own first; prefixes are longer by `more`, so that it has
+    as many more of them. They are packed before
     they are dealt out, as most of them stand in one text only; those that agree in 40 bits or
     more count as one, which at most makes a list longer.
     """
     often = _frequencies(texts)
-    bits = min(12, max(8, int(often.sum() * (1 - SHARED) / _IN_PART).bit_length()))
+    bits = min(12, max(8, int(often.sum() * (1 - SHARED + MORE) / _IN_PART).bit_length()))
+    order = _order(often)
 
     def pack(batches):
         base, count, hs, ats = 0, 0, [], []
@@ -299,7 +382,7 @@ def _lists(texts: DataFrame) -> DataFrame:
                 if not hs:
                     base, count = num, 0
                 h = _of_words(words)
-                h = h[np.lexsort((h, often[_slot(h)]))[: prefix(len(h))]]
+                h = _rarest(h, order, prefix(len(h)) + more(len(h)))
                 hs.append(h)
                 ats.append(np.full(len(h), num - base, np.int64))
                 count += len(h)
@@ -320,17 +403,19 @@ def _lists(texts: DataFrame) -> DataFrame:
         low, num = low[fresh], num[fresh]
         cuts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1], [True]]))
         several = np.flatnonzero(np.diff(cuts) > 1)
-        found = {}
+        found, weight = {}, Counter()
         for x, y in zip(cuts[several].tolist(), cuts[several + 1].tolist(), strict=True):
             members = num[x:y]
-            found.setdefault(xxhash.xxh3_128_digest(members.tobytes()), members)
+            id = xxhash.xxh3_128_digest(members.tobytes())
+            found.setdefault(id, members)
+            weight[id] += 1
         flat = np.concatenate([*found.values(), np.zeros(0, np.int64)])
         ends = np.cumsum([0, *map(len, found.values())])
-        return pa.table([pa.array(list(found), pa.binary()), pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64()))], names=["id", "members"])
+        return pa.table([pa.array(list(found), pa.binary()), pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64())), pa.array([weight[id] for id in found], pa.int64())], names=["id", "members", "weight"])
 
     packed = texts.select("num", "words").mapInArrow(pack, "part int, base long, count int, data binary")
-    met = packed.groupBy("part").applyInArrow(meet, "id binary, members array<long>")
-    return met.groupBy("id").agg(F.first("members").alias("members"))
+    met = packed.groupBy("part").applyInArrow(meet, "id binary, members array<long>, weight long")
+    return met.groupBy("id").agg(F.first("members").alias("members"), F.sum("weight").alias("weight"))
 
 
 def _blocks(n: np.ndarray) -> np.ndarray:
@@ -421,39 +506,36 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _marks(words: np.ndarray) -> np.ndarray:
-    """16 bits of each labelled word, sorted."""
-    return np.sort(((labelled(words.astype(np.uint64)) * _STEP) >> np.uint64(40)).astype(np.uint16))
+    """16 bits of each word, sorted, as steps from one to the next: a byte each, then two for each of 255 or more."""
+    steps = np.diff(np.sort(((words.astype(np.uint64) * _STEP) >> np.uint64(40)).astype(np.uint16)), prepend=np.uint16(0))
+    return np.concatenate([np.minimum(steps, 255).astype(np.uint8), steps[steps >= 255].view(np.uint8)])
+
+
+def _unmarked(marks: bytes, n: int) -> np.ndarray:
+    """The sorted 16 bits of `n` words, each with how often it has stood before."""
+    raw = np.frombuffer(marks, np.uint8)
+    steps = raw[:n].astype(np.uint64)
+    steps[steps == 255] = np.frombuffer(raw[n:].tobytes(), np.uint16)
+    marks, at = np.cumsum(steps), np.arange(n)
+    first = np.maximum.accumulate(np.where(np.diff(marks, prepend=np.uint64(1 << 20)) != 0, at, 0))
+    return marks | (at - first).astype(np.uint64) << np.uint64(16)
 
 
 def _unit_pairs(unit: pa.Table) -> pa.Table:
     """Pairs (a, b) of a unit that may be linked: an alignment leaves out all words that one text has and the other hasn't."""
     num, n, block, at, mask, i, j = (unit.column(c).to_numpy() for c in ("num", "n", "block", "at", "mask", "i", "j"))
-    marks = [np.frombuffer(m, np.uint16).astype(np.uint64) for m in unit.column("marks").to_pylist()]
+    marks = [_unmarked(m, k) for m, k in zip(unit.column("marks").to_pylist(), n.tolist(), strict=True)]
     bits = np.unpackbits(np.ascontiguousarray(mask).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     may = bits[:, at].astype(bool) & (block == i[0])[:, None] & (block == j[0])
     # equal marks are told apart by their number; different words of one mark only add to what is common
-    common, least = _common([labelled(m) for m in marks]), SIMILARITY * np.maximum(n[:, None], n) - 1e-6
+    common, least = _common(marks), SIMILARITY * np.maximum(n[:, None], n) - 1e-6
     x, y = np.nonzero(may & (common >= least))
     return pa.table([pa.array(np.minimum(num[x], num[y])), pa.array(np.maximum(num[x], num[y]))], names=["a", "b"])
 
 
-def _of_wanted(words: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(num, n, marks) of `words` for every num in `wanted`, and few more, by a table of bits of fixed size."""
-    slot = F.pmod(F.xxhash64("num"), F.lit(_WANTED)).cast("int")
-    bits = np.zeros(_WANTED // 64, np.uint64)
-    cells = wanted.select(F.shiftright(slot, 6).alias("cell"), F.expr("shiftleft(1L, cast(pmod(xxhash64(num), 64) AS int))").alias("bit"))
-    for r in cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect():
-        bits[r.cell] = r.bits & 0xFFFFFFFFFFFFFFFF
-
-    def run(batches):
-        for batch in batches:
-            at = batch.column(2).to_numpy()
-            there = np.flatnonzero((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
-            words = [np.frombuffer(w, np.uint32) for w in batch.column(1).take(pa.array(there)).to_pylist()]
-            found = [batch.column(0).take(pa.array(there)), pa.array([len(w) for w in words], pa.int32()), pa.array([_marks(w).tobytes() for w in words], pa.binary())]
-            yield pa.RecordBatch.from_arrays(found, names=["num", "n", "marks"])
-
-    return words.select("num", "words", slot.alias("slot")).mapInArrow(run, "num long, n int, marks binary")
+def _marked(words: pa.Array) -> list[pa.Array]:
+    of = [np.frombuffer(w, np.uint32) for w in words.to_pylist()]
+    return [pa.array([len(w) for w in of], pa.int32()), pa.array([_marks(w).tobytes() for w in of], pa.binary())]
 
 
 def _rest(words: DataFrame, placed: DataFrame) -> DataFrame:
@@ -461,12 +543,14 @@ def _rest(words: DataFrame, placed: DataFrame) -> DataFrame:
 
     Texts meet in the lists of `_lists`. Two that share several are compared in the first of them only:
     lists are in one order, the longest first, and texts that have stood in an earlier one together
-    have met there. Of a text's earlier lists the nearest and the first ones are looked at; a pair
+    have met there. A text whose prefix shares fewer shingles with all others than with any it is
+    linked to is not looked at further. Of a text's earlier lists the nearest and the first ones are looked at; a pair
     that shares others only is compared again.
     """
     lists = _lists(words).withColumn("list", F.monotonically_increasing_id())
-    lists = written(lists.select("list", F.size("members").alias("size"), "members"))
-    rows = lists.select("list", "size", F.explode("members").alias("num")).join(placed, "num")
+    lists = written(lists.select("list", F.size("members").alias("size"), "weight", "members"))
+    rows = lists.select("list", "size", "weight", F.explode("members").alias("num")).join(placed, "num")
+    rows = rows.withColumn("shares", F.sum("weight").over(Window.partitionBy("num"))).where(F.col("shares") >= _met_at_least(F.col("n")))
     own = Window.partitionBy("num").orderBy(F.desc("size"), "list")
     first = own.rowsBetween(Window.unboundedPreceding, -1)
     earlier = [F.lag("list", k).over(own) for k in range(1, _NEAREST + 1)] + [F.nth_value("list", k).over(first) for k in range(1, _FIRST + 1)]
@@ -474,13 +558,15 @@ def _rest(words: DataFrame, placed: DataFrame) -> DataFrame:
     met = rows.groupBy("list").agg(F.collect_list(F.struct("num", "n", "root", "before", "earlier")).alias("members"), F.min("root").alias("least"), F.max("root").alias("most"), F.min("before").alias("from"), F.max("before").alias("to"))
     units = written(_units(met.where("least < most AND from < to").select("list", "members")))
     release(lists)
-    texts = _of_wanted(words, units.select("num"))
+    swept(words.sparkSession)
+    texts = _of_wanted(words, units.select("num"), "n int, marks binary", _marked)
     pairs = units.join(texts, "num").groupBy("list", "i", "j").applyInArrow(_unit_pairs, "a long, b long")
     pairs = written(pairs.distinct())
-    more = checkpointed(_verified(pairs, words))
-    release(pairs)
     release(units)
-    return more
+    swept(words.sparkSession)
+    links = checkpointed(_verified(pairs, words))
+    release(pairs)
+    return links
 
 
 def _joined(root: DataFrame, more: DataFrame) -> DataFrame:
@@ -512,6 +598,7 @@ def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     # numbers that follow the written order, fixed from here on
     texts = written(texts.withColumn("num", F.monotonically_increasing_id()))
     release(rows)
+    swept(docs.sparkSession)
     words = texts.select("num", "words")
     # what is joined with a bucket's many rows is written first, so that the join is dealt out by
     # itself and can be split where a bucket is large
@@ -525,9 +612,10 @@ def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     stars = met.select("num", "n", F.explode("sketches").alias("sketch")).join(leader, "sketch")
     stars = stars.where((F.col("num") != F.col("lead.num")) & near_size(F.col("n"), F.col("lead.n")))
     stars = written(stars.select(F.col("lead.num").alias("a"), F.col("num").alias("b")).distinct())
+    release(leader, met)
+    swept(docs.sparkSession)
     links = checkpointed(_verified(stars, words))
-    release(leader)
-    release(stars, met)
+    release(stars)
     # every linked pair that the stars haven't brought into one class
     root = components(links)
     placed = written(texts.select("num", "n").join(root.withColumnRenamed("node", "num"), "num", "left").select("num", "n", F.coalesce("root", "num").alias("root")))

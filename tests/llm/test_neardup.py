@@ -219,3 +219,64 @@ def test_crowds_that_are_not_alike_enough_are_not_read_whole(spark, monkeypatch)
     monkeypatch.setattr(neardup, "_verified", lambda pairs, words: read.append(pairs.count()) or pairs)
     neardup._rest(words, placed)
     assert read == [0]
+
+
+def test_texts_that_share_only_a_few_shingles_are_not_compared(spark, monkeypatch):
+    """A phrase that many else different texts have puts them in one list; what a linked text must share tells that none of them is linked."""
+    rnd = random.Random(8)
+    phrase = [f"w{k}" for k in range(9)]
+    texts = [phrase + [f"v{rnd.randrange(10**8)}" for _ in range(240)] for _ in range(60)]
+    other = [*texts[0][:100], "more", *texts[0][101:200], "words", *texts[0][201:]]
+    rows = [(k, bytearray(neardup.hashed(neardup.words_of(" ".join(t))).astype(np.uint32).tobytes())) for k, t in enumerate([*texts, other])]
+    words = spark.createDataFrame(rows, "num long, words binary")
+    placed = spark.createDataFrame([(k, 249, k) for k in range(len(rows))], "num long, n int, root long")
+    compared, plain = [], neardup._units
+    monkeypatch.setattr(neardup, "_units", lambda lists: compared.extend(m.num for r in lists.collect() for m in r.members) or plain(lists))
+    assert [(r.a, r.b) for r in neardup._rest(words, placed).collect()] == [(0, 60)]
+    assert set(compared) == {0, 60}
+
+
+def test_only_the_words_of_compared_texts_are_dealt_out(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = []
+    for k in range(0, 2000, 2):
+        one = np.array([rnd.randrange(1 << 32) for _ in range(60)], np.uint32)
+        rows += [(k, bytearray(one.tobytes())), (k + 1, bytearray(np.delete(one, 30).tobytes()))]
+    words = spark.createDataFrame(rows, "num long, words binary")
+    pairs = neardup.written(spark.createDataFrame([(0, 1), (4, 5), (6, 9)], "a long, b long"))
+    dealt, of = [], neardup._of_wanted
+    monkeypatch.setattr(neardup, "_of_wanted", lambda *args: dealt.append(of(*args).count()) or of(*args))
+    assert sorted((r.a, r.b) for r in neardup._verified(pairs, words).collect()) == [(0, 1), (4, 5)]
+    assert 6 <= dealt[0] <= 12
+
+
+def test_marks_are_little_more_than_a_byte_a_word_and_count_what_is_common():
+    rnd = np.random.default_rng(6)
+    for n in (1, 5, 300, 5000):
+        a = rnd.choice(rnd.integers(0, 1 << 32, max(1, n // 2), np.uint64), n).astype(np.uint32)
+        b = np.concatenate([a[: n // 2], rnd.integers(0, 1 << 32, n - n // 2, np.uint64).astype(np.uint32)])
+        x, y = neardup._marks(a).tobytes(), neardup._marks(b).tobytes()
+        common = neardup._common([neardup._unmarked(x, n), neardup._unmarked(y, n)])
+        true = sum(min((a == v).sum(), (b == v).sum()) for v in set(a.tolist()))
+        assert len(neardup._unmarked(x, n)) == n and true <= common[0, 1] <= true + 0.1 * n + 1
+    assert len(x) <= 1.1 * n
+
+
+def test_equal_words_have_equal_hashes_wherever_they_stand():
+    rnd = random.Random(2)
+    words = [bytes(rnd.choice(b"abc01\xc3\xa4") for _ in range(rnd.randrange(1, 7))) for _ in range(30_000)]
+    words += [b"z" * 70_000, b"q", b"z" * 70_000, b"q"]
+    found = {}
+    assert all(found.setdefault(w, h) == h for w, h in zip(words, neardup.hashed(words).tolist(), strict=True))
+    assert len(set(found.values())) == len(found) and neardup.hashed([b"q"])[0] == found[b"q"] and not len(neardup.hashed([]))
+
+
+def test_prefixes_are_the_rarest_by_one_order():
+    rnd = np.random.default_rng(7)
+    h = np.unique(rnd.integers(0, 1 << 63, 4000, np.uint64) << np.uint64(1))
+    often = rnd.integers(0, 5, neardup.SLOTS)
+    order = neardup._order(often)
+    rank = order[0][neardup._slot(h)]
+    assert (np.diff(often[order[1].astype(np.int64)]) >= 0).all()
+    for first in (1, 77, len(h) - 1, len(h), len(h) + 3):
+        assert set(neardup._rarest(h, order, first).tolist()) == set(h[np.lexsort((h, rank))[:first]].tolist())
