@@ -10,8 +10,10 @@ most, which makes the work linear in the piece.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
+from collections.abc import Callable
 from functools import lru_cache
 
 import ahocorasick
@@ -218,14 +220,24 @@ def offset_table(path: str) -> OffsetTable:
     return OffsetTable(path)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None, derived: tuple[str, Callable[[np.ndarray, str], tuple]] | None = None) -> DataFrame:
     """`docs` plus `ids array<int>`, the token ids of each whole text, and if `decoded` names a column, what they decode to.
 
     `path` is a vocabulary file that every executor has. Null and empty texts have no ids and
     decode to an empty text; a special token's string in a text is that token. Rows, repeated
     ones too, are independent; existing columns of these names are replaced. Decoding in the
-    same pass spares a second Python worker and the ids' way there.
+    same pass spares a second Python worker and the ids' way there. `derived` is for what needs
+    the ids and the decoded text only to compute something small: the columns that it names, and
+    a function of both that gives a row's values, come instead of ids and texts, of which neither goes back to the JVM.
     """
+    if derived is not None:
+
+        def small():
+            v, table_, none = vocabulary(path), offset_table(path), np.zeros(0, np.int32)
+            coded = lambda t: np.frombuffer(v.encode(t), np.int32) if t else none
+            return lambda texts: list(zip(*(derived[1](x, table_.decode(x).decode("utf-8", "replace")) for x in map(coded, texts)), strict=True))
+
+        return add_columns(docs, [text], derived[0], small, kept=[c for c in docs.columns if c != text])
 
     def make():
         def work(texts):
@@ -262,6 +274,11 @@ def ids_digest(ids: str = "ids") -> Column:
     return F.sha2(F.concat_ws(",", F.col(ids).cast("array<string>")), 256)
 
 
+def digests(ids: np.ndarray, decoded: str) -> tuple[int, str, str]:
+    """How many ids there are, and the digests of ids and text, as `ids_digest` and sha2 give them."""
+    return len(ids), hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -272,5 +289,4 @@ def op5_bpe_roundtrip(spark, sf_dir: str, path: str | None = None) -> DataFrame:
     """Encode and decode every whole text of `documents`; see the README's contract table."""
     path = path or default_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = encode(docs, path, decoded="decoded")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest().alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    return encode(docs, path, derived=("n_tokens long, ids_sha256 string, decoded_sha256 string", digests))

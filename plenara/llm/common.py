@@ -112,17 +112,18 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def add_columns(df: DataFrame, inputs: list[str], schema: str, make: Callable[[], Callable[..., list]], rows: int = 256, arrow: bool = False) -> DataFrame:
+def add_columns(df: DataFrame, inputs: list[str], schema: str, make: Callable[[], Callable[..., list]], rows: int = 256, arrow: bool = False, kept: list[str] | None = None) -> DataFrame:
     """`df` plus the columns of `schema`, computed from the columns `inputs` in Arrow batches.
 
     `make` runs once per task and returns a function from lists of Python values (one list per
     input; Arrow arrays if `arrow`) to lists or Arrow arrays (one per new column). A batch is cut into slices of `rows`
     rows, so that memory stays bounded when texts are long. An existing column with the name of
-    a new one is replaced.
+    a new one is replaced. `kept` names the columns of `df` that come back (all, if none are named).
     """
     added = T.DataType.fromDDL(schema)
     df = without(df, added.fieldNames())
     places = [df.columns.index(c) for c in inputs]
+    back = [i for i, c in enumerate(df.columns) if kept is None or c in kept]
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(added)
@@ -134,8 +135,8 @@ def add_columns(df: DataFrame, inputs: list[str], schema: str, make: Callable[[]
                 part = batch.slice(at, rows)
                 out = work(*[part.column(i) if arrow else part.column(i).to_pylist() for i in places])
                 new = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(out, target, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *target.names])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in back), *new], names=[*(part.schema.names[i] for i in back), *target.names])
             batch = part = out = new = None
             give_back()
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))
+    return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in back), *added.fields]))

@@ -36,3 +36,18 @@ def test_digests_and_empty_table(spark, tmp_path):
 def test_null_and_unknown_ids_add_nothing(spark):
     docs = spark.createDataFrame([([5, None, -3, 10**6],), (None,)], "ids array<int>")
     assert [r.decoded for r in bpe.decode(docs, bpe.default_path()).collect()] == ["&", ""]
+
+
+def test_digests_come_without_ids_and_texts(spark, tmp_path):
+    """Neither ids nor texts go back to the JVM, and the digests are those of what the operator returns."""
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = bpe.op5_bpe_roundtrip(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "array" not in plan and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    made = next(line for line in plan.splitlines() if "MapInArrow" in line)
+    assert "decoded#" not in made and "ids#" not in made
+    full = bpe.encode(docs, bpe.default_path(), decoded="decoded")
+    want = full.select("doc_id", F.size("ids").cast("long"), bpe.ids_digest(), F.sha2(F.col("decoded"), 256))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    assert [f.dataType for f in out.schema] == [f.dataType for f in want.schema]
